@@ -39,7 +39,7 @@ def sample_receivers(
         housed = spatial.point_in_polygon_join(
             measurements, buildings, "measured_height", DEFAULT_HEIGHT, key
         )
-    terrain = nodata_to_null(raster.raster_point_sample(housed, pixels, meta), "dn")
+    terrain = materialize(nodata_to_null(raster.raster_point_sample(housed, pixels, meta), "dn"), "terrain")
     filled = fill_area_mean(terrain, "dn", ["site_id"])
     grounded = filled.withColumn("dn", F.col("dn") + F.col("measured_height")).drop("measured_height")
     return join_site_params(grounded, sites)

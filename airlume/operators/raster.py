@@ -11,11 +11,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from airlume.operators.skew import salted_join
-from airlume.session import materialize
+from airlume.session import materialize, shuffle_width
 
 STRIP = 64
 BACKGROUND = 20
 RESOLUTION = 0.0001
+_SHIFT = 1 << 32
 _WINDOW = ["site_id", "rs", "re", "cs", "ce"]
 
 
@@ -67,12 +68,20 @@ def raster_strips(pixels: DataFrame, value: str, background: int | None = None)
     return materialize(packed.select("site_id", "r", "strip", px.alias("px")), "strips")
 
 
-def _window_strips(windows: DataFrame, strips: DataFrame, how: str, hot_rows: int | None) -> DataFrame:
-    """The part of every strip that lies inside every distinct window, as ``px``."""
+def distinct_windows(cells: DataFrame) -> DataFrame:
+    """Distinct windows and how many cells look through each (``_rows``)."""
+    return materialize(cells.groupBy(*_WINDOW).agg(F.count(F.lit(1)).alias("_rows")), "windows")
+
+
+def _window_strips(windows: DataFrame, strips: DataFrame, how: str) -> DataFrame:
+    """The part of every strip that lies inside every window, as ``px``.
+
+    Windows are distinct, so a strip meets at most as many of them as there are
+    ways to place a footprint on 64 pixels: no strip is a hot key.
+    """
     parts = (
         windows.select(*_WINDOW)
         .where((F.col("re") > F.col("rs")) & (F.col("ce") > F.col("cs")))
-        .distinct()
         .withColumn("r", F.explode(F.sequence(F.col("rs"), F.col("re") - 1)))
         .withColumn(
             "strip",
@@ -81,7 +90,7 @@ def _window_strips(windows: DataFrame, strips: DataFrame, how: str, hot_rows: in
     )
     left = F.greatest(F.col("cs").cast("long"), F.col("strip") * STRIP)
     right = F.least(F.col("ce").cast("long"), (F.col("strip") + 1) * STRIP)
-    joined = salted_join(parts, strips, ["site_id", "r", "strip"], how, hot_rows)
+    joined = parts.join(strips, ["site_id", "r", "strip"], how)
     return joined.select(
         *_WINDOW,
         (right - left).cast("int").alias("n_px"),
@@ -89,33 +98,33 @@ def _window_strips(windows: DataFrame, strips: DataFrame, how: str, hot_rows: in
     )
 
 
-def window_max(windows: DataFrame, strips: DataFrame, nodata: float, hot_rows: int | None = None) -> DataFrame:
+def window_max(windows: DataFrame, strips: DataFrame, nodata: float) -> DataFrame:
     """Highest valid pixel per distinct window."""
     valid = F.array_max(F.filter("px", lambda v: v != nodata))
-    parts = _window_strips(windows, strips, "inner", hot_rows)
+    parts = _window_strips(windows, strips, "inner")
     return parts.groupBy(*_WINDOW).agg(F.max(valid).alias("value")).where(F.col("value").isNotNull())
 
 
-def window_mode(
-    windows: DataFrame, strips: DataFrame, background: int = BACKGROUND, hot_rows: int | None = None
-) -> DataFrame:
+def window_mode(windows: DataFrame, strips: DataFrame, background: int = BACKGROUND) -> DataFrame:
     """Most frequent pixel value per distinct window, the smallest on a tie."""
-    parts = _window_strips(windows, strips, "left", hot_rows)
+    parts = _window_strips(windows, strips, "left")
     burned = F.coalesce("px", F.array_repeat(F.lit(background), F.col("n_px")))
     counts = (
         parts.select(*_WINDOW, F.explode(burned).alias("type"))
         .groupBy(*_WINDOW, "type")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    top = F.max(F.struct("n", (-F.col("type")).alias("t")))
-    return counts.groupBy(*_WINDOW).agg((-top["t"]).cast("int").alias("value"))
+    # Count and value in one number: the highest count wins, then the lowest value.
+    best = F.max(F.col("n") * _SHIFT - F.col("type"))
+    return counts.groupBy(*_WINDOW).agg(F.pmod(-best, F.lit(_SHIFT)).cast("int").alias("value"))
 
 
-def on_windows(cells: DataFrame, values: DataFrame, name: str, hot_rows: int | None = None) -> DataFrame:
+def on_windows(
+    cells: DataFrame, values: DataFrame, name: str, windows: DataFrame, hot_rows: int | None = None
+) -> DataFrame:
     """Bring per-window values back to the cells (left join, one value per window)."""
-    return salted_join(cells, values.withColumnRenamed("value", name), _WINDOW, "left", hot_rows).drop(
-        *_WINDOW[1:]
-    )
+    named = values.withColumnRenamed("value", name)
+    return salted_join(cells, named, _WINDOW, "left", hot_rows, windows).drop(*_WINDOW[1:])
 
 
 def raster_window_max(
@@ -125,7 +134,8 @@ def raster_window_max(
     """Highest valid pixel under every footprint, NULL where there is none."""
     windowed = with_windows(cells, meta)
     strips = raster_strips(pixels, "value")
-    return on_windows(windowed, window_max(windowed, strips, nodata, hot_rows), value, hot_rows)
+    windows = distinct_windows(windowed)
+    return on_windows(windowed, window_max(windows, strips, nodata), value, windows, hot_rows)
 
 
 def layer_grid(polygons: DataFrame, resolution: float = RESOLUTION) -> DataFrame:
@@ -156,7 +166,9 @@ def rasterize_polygons(polygons: DataFrame, grid: DataFrame, value: str = "type"
     counts for the left and upper sides only. Each polygon is cut into pixel
     rows, and each row into the column runs between outline crossings.
     """
-    boxed = polygons.join(grid, "site_id").select(
+    # Polygons are spread out before each becomes many pixels.
+    spread = polygons.repartition(shuffle_width(polygons.sparkSession), "site_id", "poly_id")
+    boxed = spread.join(grid, "site_id").select(
         "site_id", "poly_id", value, "xs", "ys", "x0", "y0", "dx", "dy", "nrows", "ncols",
         F.ceil((F.col("y0") - F.array_max("ys")) / F.col("dy") - 0.5 - _ON_EDGE).alias("r_from"),
         (F.ceil((F.col("y0") - F.array_min("ys")) / F.col("dy") - 0.5 - _ON_EDGE) - 1).alias("r_to"),
@@ -189,8 +201,7 @@ def rasterize_polygons(polygons: DataFrame, grid: DataFrame, value: str = "type"
         ranged.where("c_from <= c_to")
         .select("site_id", "poly_id", value, "r", F.explode(F.sequence(F.col("c_from").cast("int"), F.col("c_to").cast("int"))).alias("c"))
         .groupBy("site_id", "r", "c")
-        .agg(F.max(F.struct("poly_id", value)).alias("_top"))
-        .select("site_id", "r", "c", F.col(f"_top.{value}").alias(value))
+        .agg(F.max_by(value, "poly_id").alias(value))
     )
 
 
@@ -202,8 +213,9 @@ def footprint_landuse_mode(
     grid = layer_grid(polygons, resolution)
     windowed = with_windows(cells, grid)
     strips = raster_strips(rasterize_polygons(polygons, grid, value), value, background)
-    modes = window_mode(windowed, strips, background, hot_rows)
-    return on_windows(windowed, modes, value, hot_rows).withColumn(
+    windows = distinct_windows(windowed)
+    modes = window_mode(windows, strips, background)
+    return on_windows(windowed, modes, value, windows, hot_rows).withColumn(
         value, F.coalesce(F.col(value), F.lit(background))
     )
 

@@ -12,15 +12,29 @@ HOT_ROWS = 1_000_000
 # Any key outside the largest MAX_HOT_KEYS holds under 1/MAX_HOT_KEYS of all rows.
 MAX_HOT_KEYS = 1_000
 MAX_PIECES = 1_024
+BROADCAST_BYTES = 10 * 1024 * 1024
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int) -> DataFrame | None:
+def known_small(df: DataFrame) -> bool:
+    """True when Catalyst's size of ``df`` is below the broadcast limit.
+
+    Meant for scans and aggregates of written tables, whose size is the file
+    size or less; expanded tables are written out before they are joined.
+    """
+    return df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() <= BROADCAST_BYTES
+
+
+def hot_keys(
+    df: DataFrame, keys: Sequence[str], hot_rows: int, counts: DataFrame | None = None
+) -> DataFrame | None:
     """Keys above ``hot_rows`` and the number of pieces each is split into.
 
     A distributed top-k: at most MAX_HOT_KEYS rows reach the driver, whatever
     the size of ``df``. Null keys never match anything and are left alone.
+    ``counts`` (keys, _rows) saves the counting pass where it is known already.
     """
-    counts = df.na.drop(subset=list(keys)).groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+    if counts is None:
+        counts = df.na.drop(subset=list(keys)).groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
     pieces = F.least(F.ceil(F.col("_rows") / hot_rows), F.lit(MAX_PIECES)).cast("int")
     top = (
         counts.where(F.col("_rows") > hot_rows)
@@ -38,14 +52,18 @@ def salted_join(
     on: Sequence[str],
     how: str = "inner",
     hot_rows: int | None = None,
+    counts: DataFrame | None = None,
 ) -> DataFrame:
     """Equi-join (inner or left) that spreads hot keys of ``left``.
 
-    Rows of a hot key are dealt over its pieces by a hash of the row, and the
+    A ``right`` below the checked broadcast limit needs no exchange at all.
+    Otherwise rows of a hot key are dealt over its pieces by a hash of the row, and the
     matching rows of ``right`` are repeated once per piece, so every pair still
     meets exactly once. Keys that are not hot take the plain path untouched.
     """
-    hot = hot_keys(left, on, hot_rows or HOT_ROWS)
+    if hot_rows is None and known_small(right):
+        return left.join(F.broadcast(right), list(on), how)
+    hot = hot_keys(left, on, hot_rows or HOT_ROWS, counts)
     if hot is None:
         return left.join(right, list(on), how)
     hot = F.broadcast(hot)  # at most MAX_HOT_KEYS rows
