@@ -148,16 +148,12 @@ def ring_contains(x: Column, y: Column, xs: Column, ys: Column) -> Column:
     return odd & ~F.exists(_edges(xs), touches)
 
 
-def ring_meets_rect(
+def _edge_meets_rect(
     xs: Column, ys: Column, rx1: Column, ry1: Column, rx2: Column, ry2: Column
 ) -> Column:
-    """True when a closed ring and an axis-aligned rectangle share a point.
-
-    Either an edge of the ring reaches into the rectangle, or the rectangle
-    lies wholly inside the ring.
-    """
+    """True when some edge of the ring has a point in the closed rectangle."""
 
-    def edge_hits(i: Column) -> Column:
+    def hits(i: Column) -> Column:
         x1, y1 = F.element_at(xs, i), F.element_at(ys, i)
         x2, y2 = F.element_at(xs, i + 1), F.element_at(ys, i + 1)
         apart = (
@@ -166,14 +162,28 @@ def ring_meets_rect(
             | (F.greatest(y1, y2) < ry1)
             | (F.least(y1, y2) > ry2)
         )
-        # The rectangle is missed when all four corners lie on one side.
+        # The edge misses the rectangle when all four corners lie on one side.
         sides = [
             (x2 - x1) * (cy - y1) - (y2 - y1) * (cx - x1)
             for cx, cy in ((rx1, ry1), (rx1, ry2), (rx2, ry1), (rx2, ry2))
         ]
         return ~apart & (F.least(*sides) <= 0) & (F.greatest(*sides) >= 0)
 
-    return F.exists(_edges(xs), edge_hits) | ring_contains(rx1, ry1, xs, ys)
+    return F.exists(_edges(xs), hits)
+
+
+def ring_meets_rect(
+    xs: Column, ys: Column, rx1: Column, ry1: Column, rx2: Column, ry2: Column
+) -> Column:
+    """True when a closed ring and an axis-aligned rectangle share a point."""
+    return _edge_meets_rect(xs, ys, rx1, ry1, rx2, ry2) | ring_contains(rx1, ry1, xs, ys)
+
+
+def ring_covers_rect(
+    xs: Column, ys: Column, rx1: Column, ry1: Column, rx2: Column, ry2: Column
+) -> Column:
+    """True when the rectangle lies strictly inside the ring."""
+    return ring_contains(rx1, ry1, xs, ys) & ~_edge_meets_rect(xs, ys, rx1, ry1, rx2, ry2)
 
 
 def ring_rect_overlap(

@@ -12,11 +12,17 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from airlume.functions.geometry import ring_contains, ring_meets_rect, ring_rect_overlap
+from airlume.functions.geometry import (
+    ring_contains,
+    ring_covers_rect,
+    ring_meets_rect,
+    ring_rect_overlap,
+)
 from airlume.operators.skew import salted_join
-from airlume.session import materialize
+from airlume.session import materialize, shuffle_width
 
 BUCKET = 0.002
+FINE_BUCKET = 0.0005
 _KEYS = ["site_id", "bx", "by"]
 
 
@@ -31,8 +37,8 @@ def _over_buckets(df: DataFrame, x1: str, y1: str, x2: str, y2: str, bucket: flo
     )
 
 
-def polygon_index(polygons: DataFrame, aggregates: Sequence[Column], bucket: float = BUCKET) -> DataFrame:
-    """Bucketed polygon layer, written once so that its true size is known.
+def _bucketed(polygons: DataFrame, aggregates: Sequence[Column], bucket: float) -> DataFrame:
+    """One row per outline and bucket.
 
     Copies of one outline are combined by ``aggregates`` first: a layer with
     the same polygon many times over must not multiply the candidate pairs.
@@ -45,7 +51,50 @@ def polygon_index(polygons: DataFrame, aggregates: Sequence[Column], bucket: flo
         F.array_max("xs").alias("x2"),
         F.array_max("ys").alias("y2"),
     )
-    return materialize(_over_buckets(boxed, "x1", "y1", "x2", "y2", bucket), "polygon-index")
+    # Outlines are spread out before each becomes many rows.
+    spread = boxed.repartition(shuffle_width(polygons.sparkSession), "site_id", "x1", "y1", "x2", "y2")
+    return _over_buckets(spread, "x1", "y1", "x2", "y2", bucket)
+
+
+def covering_index(
+    polygons: DataFrame, value: str, rank: Column, bucket: float
+) -> tuple[DataFrame, DataFrame]:
+    """Index for "the lowest-ranked polygon here": (full, partial) bucket tables.
+
+    Where a bucket lies wholly inside polygons no test is needed later, and one
+    row per bucket with the best of them is enough. Polygons that reach only
+    into a part of a bucket are kept for the exact test, unless the bucket's
+    full polygon outranks them anyway. Deep stacks of polygons thus shrink to
+    one row before any point meets them.
+    """
+    ranked = polygons.withColumn("_rank", rank)
+    index = _bucketed(
+        ranked, [F.min("_rank").alias("_rank"), F.min_by(value, "_rank").alias("_value")], bucket
+    )
+    square = [c * F.lit(bucket) for c in (F.col("bx"), F.col("by"), F.col("bx") + 1, F.col("by") + 1)]
+    # A hair wider than the bucket, so that rounding cannot let a point slip out.
+    hair = bucket * 1e-6
+    square = [square[0] - hair, square[1] - hair, square[2] + hair, square[3] + hair]
+    covers = (
+        (F.col("x1") < square[0]) & (F.col("y1") < square[1])
+        & (F.col("x2") > square[2]) & (F.col("y2") > square[3])
+        & ring_covers_rect(F.col("xs"), F.col("ys"), *square)
+    )
+    judged = materialize(index.withColumn("_full", covers), "polygon-cover")
+    full = materialize(
+        judged.where("_full").groupBy(*_KEYS).agg(
+            F.min("_rank").alias("_rank"), F.min_by("_value", "_rank").alias("_value")
+        ),
+        "full-buckets",
+    )
+    best = full.select(*_KEYS, F.col("_rank").alias("_full_rank"))
+    partial = (
+        judged.where("not _full")
+        .join(best, _KEYS, "left")
+        .where(F.col("_full_rank").isNull() | (F.col("_rank") < F.col("_full_rank")))
+        .drop("_full", "_full_rank")
+    )
+    return full, materialize(partial, "partial-buckets")
 
 
 def point_in_polygon_join(
@@ -53,23 +102,21 @@ def point_in_polygon_join(
     bucket: float = BUCKET, hot_rows: int | None = None,
 ) -> DataFrame:
     """Attribute of the first polygon (lowest poly_id) the point is strictly inside."""
-    index = polygon_index(
-        polygons,
-        [F.min_by(value, "poly_id").alias("_value"), F.min("poly_id").alias("_first")],
-        bucket,
-    )
+    full, partial = covering_index(polygons, value, F.col("poly_id"), bucket)
     placed = points.select(
         "site_id", key, "longitude", "latitude",
         _bucket("longitude", bucket).alias("bx"), _bucket("latitude", bucket).alias("by"),
     )
     x, y = F.col("longitude"), F.col("latitude")
     in_box = (x > F.col("x1")) & (x < F.col("x2")) & (y > F.col("y1")) & (y < F.col("y2"))
-    hits = (
-        salted_join(placed, index, _KEYS, hot_rows=hot_rows)
+    tested = (
+        salted_join(placed, partial, _KEYS, hot_rows=hot_rows)
         .where(in_box)
         .where(ring_contains(x, y, F.col("xs"), F.col("ys")))
+        .select(key, "_rank", "_value")
     )
-    first = hits.groupBy(key).agg(F.min_by("_value", "_first").alias("_value"))
+    sure = salted_join(placed, full, _KEYS, hot_rows=hot_rows).select(key, "_rank", "_value")
+    first = tested.unionByName(sure).groupBy(key).agg(F.min_by("_value", "_rank").alias("_value"))
     return (
         points.join(first, key, "left")
         .withColumn(value, F.coalesce("_value", F.lit(default)))
@@ -77,6 +124,9 @@ def point_in_polygon_join(
     )
 
 
+_RECT = ("rx1", "ry1", "rx2", "ry2")
+
+
 def _meeting_pairs(
     boxes: DataFrame, index: DataFrame, bucket: float, hot_rows: int | None
 ) -> DataFrame:
@@ -94,31 +144,31 @@ def _meeting_pairs(
     )
 
 
-_RECT = ("rx1", "ry1", "rx2", "ry2")
-
-
 def footprint_heights(
     cells: DataFrame, polygons: DataFrame, keys: Sequence[str], value: str = "measured_height",
-    bucket: float = BUCKET, hot_rows: int | None = None,
+    bucket: float = FINE_BUCKET, hot_rows: int | None = None,
 ) -> DataFrame:
-    """(keys, value) for every building height class a cell footprint touches.
+    """(keys, value) rows whose maximum is the highest building a footprint touches.
 
     Only cells with a match appear; several rows per cell are possible and are
     left to the aggregate that follows.
     """
-    index = polygon_index(polygons, [F.max(value).alias(value)], bucket)
+    full, partial = covering_index(polygons, value, -F.col(value), bucket)
     boxes = cells.select("site_id", *keys, *_RECT)
     rect = [F.col(c) for c in _RECT]
-    return (
-        _meeting_pairs(boxes, index, bucket, hot_rows)
+    tested = (
+        _meeting_pairs(boxes, partial, bucket, hot_rows)
         .where(ring_meets_rect(F.col("xs"), F.col("ys"), *rect))
-        .select(*keys, value)
+        .select(*keys, F.col("_value").alias(value))
     )
+    spread = _over_buckets(boxes, *_RECT, bucket).select(*_KEYS, *keys)
+    sure = salted_join(spread, full, _KEYS, hot_rows=hot_rows).select(*keys, F.col("_value").alias(value))
+    return tested.unionByName(sure)
 
 
 def footprint_max_height(
     cells: DataFrame, polygons: DataFrame, keys: Sequence[str], value: str = "measured_height",
-    bucket: float = BUCKET, hot_rows: int | None = None,
+    bucket: float = FINE_BUCKET, hot_rows: int | None = None,
 ) -> DataFrame:
     """Highest building touched by each cell footprint, NULL where there is none."""
     heights = footprint_heights(cells, polygons, keys, value, bucket, hot_rows)
@@ -134,10 +184,13 @@ def largest_overlap_join(
 
     Equal areas go to the lower poly_id; boxes that meet nothing keep NULL.
     """
-    index = polygon_index(
-        polygons,
-        [F.min_by(value, "poly_id").alias("_value"), F.min("poly_id").alias("_first")],
-        bucket,
+    index = materialize(
+        _bucketed(
+            polygons,
+            [F.min_by(value, "poly_id").alias("_value"), F.min("poly_id").alias("_first")],
+            bucket,
+        ),
+        "polygon-index",
     )
     rect = [F.col(c) for c in _RECT]
     # Round off the last float digits so that equal areas compare equal.
