@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from airlume.functions.geometry import GRID_COLS, GRID_M
+from airlume.functions.geometry import GRID_CELLS, GRID_COLS, GRID_M
 
 
 def path_step(distance: Column) -> Column:
@@ -20,16 +20,24 @@ def _slope_angle(gradient: Column) -> Column:
 
 
 def slope_array(height: Column, step: Column) -> Column:
-    """Slope along the path in [-1, 1]: central differences, one-sided at both ends."""
+    """Slope along the path in [-1, 1]: central differences, one-sided at both ends.
 
-    def at(h: Column, i: Column) -> Column:
+    The neighbours come as shifted copies zipped to the heights; looking them
+    up by index inside the lambda would evaluate ``height`` once per element.
+    """
+    last = GRID_CELLS - 1
+    before = F.concat(F.slice(height, 1, 1), F.slice(height, 1, last))
+    after = F.concat(F.slice(height, 2, last), F.slice(height, GRID_CELLS, 1))
+    rows = F.arrays_zip(before.alias("before"), height.alias("here"), after.alias("after"))
+
+    def at(z: Column, i: Column) -> Column:
         col = i % GRID_COLS
-        before = F.when(col > 0, F.get(height, i - 1)).otherwise(h)
-        after = F.when(col < GRID_COLS - 1, F.get(height, i + 1)).otherwise(h)
+        left = F.when(col > 0, z["before"]).otherwise(z["here"])
+        right = F.when(col < GRID_COLS - 1, z["after"]).otherwise(z["here"])
         steps = F.when((col > 0) & (col < GRID_COLS - 1), 2.0).otherwise(1.0)
-        return _slope_angle((after - before) / (steps * step))
+        return _slope_angle((right - left) / (steps * step))
 
-    return F.transform(height, at)
+    return F.transform(rows, at)
 
 
 def scale_height(height: Column) -> Column:

