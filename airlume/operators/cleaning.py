@@ -106,11 +106,11 @@ def _edge_values(
     known = F.when(F.col(column).isNotNull(), F.struct(F.col(index).alias("i"), F.col(column).alias("v")))
     name = "_prev" if forward else "_next"
     per_block = df.groupBy(*group, "_block").agg((F.max if forward else F.min)(known).alias("_edge"))
-    over = Window.partitionBy(*(group or [F.lit(0)])).orderBy("_block")
-    if forward:
-        reach = F.last("_edge", ignorenulls=True).over(over.rowsBetween(Window.unboundedPreceding, -1))
-    else:
-        reach = F.first("_edge", ignorenulls=True).over(over.rowsBetween(1, Window.unboundedFollowing))
+    # Looking ahead is looking back in reverse order: that frame grows row by row,
+    # while an open-ended frame ahead would be scanned anew for every row.
+    order = F.asc("_block") if forward else F.desc("_block")
+    over = Window.partitionBy(*(group or [F.lit(0)])).orderBy(order)
+    reach = F.last("_edge", ignorenulls=True).over(over.rowsBetween(Window.unboundedPreceding, -1))
     return per_block.select(*group, "_block", reach.alias(name))
 
 
@@ -149,9 +149,10 @@ def interpolate_linear(
     blocked = df.withColumn("_block", block)
     c = F.col(column)
     known = F.when(c.isNotNull(), F.struct(F.col(position).alias("i"), c.alias("v")))
-    order = Window.partitionBy(*keys).orderBy(index)
-    before = F.last(known, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first(known, ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing))
+    block_of = Window.partitionBy(*keys)
+    nearest = F.last(known, ignorenulls=True)
+    before = nearest.over(block_of.orderBy(F.asc(index)).rowsBetween(Window.unboundedPreceding, 0))
+    after = nearest.over(block_of.orderBy(F.desc(index)).rowsBetween(Window.unboundedPreceding, 0))
     left = _edge_values(blocked, column, group, position, forward=True)
     right = _edge_values(blocked, column, group, position, forward=False)
     a, b = F.col("_a"), F.col("_b")
