@@ -28,6 +28,7 @@ def slope_array(height: Column, step: Column) -> Column:
     last = GRID_CELLS - 1
     before = F.concat(F.slice(height, 1, 1), F.slice(height, 1, last))
     after = F.concat(F.slice(height, 2, last), F.slice(height, GRID_CELLS, 1))
+    spacing = F.when(step > 0, step)
     rows = F.arrays_zip(before.alias("before"), height.alias("here"), after.alias("after"))
 
     def at(z: Column, i: Column) -> Column:
@@ -35,7 +36,7 @@ def slope_array(height: Column, step: Column) -> Column:
         left = F.when(col > 0, z["before"]).otherwise(z["here"])
         right = F.when(col < GRID_COLS - 1, z["after"]).otherwise(z["here"])
         steps = F.when((col > 0) & (col < GRID_COLS - 1), 2.0).otherwise(1.0)
-        return _slope_angle((right - left) / (steps * step))
+        return _slope_angle((right - left) / (steps * spacing))
 
     return F.transform(rows, at)
 

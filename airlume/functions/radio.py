@@ -45,11 +45,12 @@ NO_READING_RSSI = -999
 
 
 def path_loss(pt_dbm: Column, freq_mhz: Column, distance: Column, eta: float) -> Column:
-    """Received power (dBm) over ``distance`` with decay exponent ``eta``."""
+    """Received power (dBm) over ``distance`` with decay exponent ``eta``; NULL at distance 0."""
+    apart = F.when(distance > 0, distance)
     wavelength = 3e8 / (freq_mhz * 1e6)
     power = F.pow(F.lit(10.0), 0.1 * pt_dbm)
     return 10 * F.log10(
-        power * F.pow(wavelength, 2) / (F.lit((4 * math.pi) ** 2) * F.pow(distance, F.lit(float(eta))))
+        power * F.pow(wavelength, 2) / (F.lit((4 * math.pi) ** 2) * F.pow(apart, F.lit(float(eta))))
     )
 
 

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from airlume.functions import radio
 from airlume.operators.cleaning import bin_edges, with_bins
-from airlume.operators.skew import salted_join
 
 # Bins of the bias table and the agreement it must exceed.
 DISTANCE_BINS = 100
@@ -180,4 +179,4 @@ def oof_report(predicted: DataFrame, models: Sequence[str], receivers: DataFrame
     out = predicted.withColumn("median_prediction", median_of(values, len(models))).withColumn(
         "median_abs_error", F.abs(F.col("median_prediction") - F.col("rssi_tv"))
     )
-    return salted_join(best_expert(out, models, "rssi_tv"), receivers, [key])
+    return best_expert(out, models, "rssi_tv").join(receivers, key)

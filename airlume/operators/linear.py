@@ -79,7 +79,7 @@ def kfold_oof_linear(rows: DataFrame, splits: DataFrame, k: int, key: str = "sam
     totals = per_fold.groupBy("expert_id").agg(*[F.sum(c).alias(f"t_{c}") for c in _NAMES])
     rest = per_fold.join(F.broadcast(totals), "expert_id").select(
         "expert_id", "fold", *[(F.col(f"t_{c}") - F.col(c)).alias(c) for c in _NAMES]
-    )
+    ).where(F.col("n") > 0)
     coefficients = solve(rest, ["expert_id", "fold"])
     return predict_linear(with_experts(rows, k), coefficients, ["expert_id", "fold"])
 

@@ -12,6 +12,7 @@ from airlume.functions import geometry as geo
 from airlume.functions import radio
 from airlume.operators import raster, spatial
 from airlume.operators.cleaning import DEFAULT_HEIGHT, fill_area_mean, nodata_to_null
+from airlume.operators.skew import salted_join
 from airlume.session import materialize, shuffle_width
 
 GEOMETRY = ("x_m", "y_m", "rise_m", "distance_m", "fresnel_h", "fresnel_v",
@@ -21,7 +22,7 @@ CELL = ["sample_id", "cell_idx"]
 
 def join_site_params(points: DataFrame, sites: DataFrame) -> DataFrame:
     """Attach transmitter position, power, frequency and antenna heights."""
-    return points.join(sites, "site_id")
+    return salted_join(points, sites, ["site_id"])
 
 
 def sample_receivers(
@@ -164,9 +165,9 @@ def build_features(
         .drop("_known"),
         "cells",
     )
-    means = sampled.groupBy("site_id").agg((F.sum("_sum") / F.sum("_n")).alias("_mean"))
-    joined = sampled.drop("site_id", "_n", "_sum").join(links, "sample_id").join(
-        materialize(means, "means"), "site_id"
+    means = sampled.groupBy("site_id").agg(F.try_divide(F.sum("_sum"), F.sum("_n")).alias("_mean"))
+    joined = salted_join(
+        sampled.drop("site_id", "_n", "_sum").join(links, "sample_id"), materialize(means, "means"), ["site_id"]
     )
     altitude = F.zip_with(
         "terrain", "building", lambda t, b: F.coalesce(t, F.col("_mean")) + F.coalesce(b, F.lit(0.0))

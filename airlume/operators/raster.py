@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from airlume.operators.skew import salted_join
+from airlume.operators.skew import known_small, salted_join
 from airlume.session import materialize, shuffle_width
 
 STRIP = 64
@@ -27,7 +27,7 @@ def raster_point_sample(
     """Value of the pixel that holds the point, NULL off the raster."""
     row = F.floor((F.col("y0") - F.col("latitude")) / F.col("dy")).cast("int")
     col = F.floor((F.col("longitude") - F.col("x0")) / F.col("dx")).cast("int")
-    placed = points.join(meta.select("site_id", "x0", "y0", "dx", "dy"), "site_id").select(
+    placed = salted_join(points, meta.select("site_id", "x0", "y0", "dx", "dy"), ["site_id"]).select(
         *points.columns, row.alias("r"), col.alias("c")
     )
     pixel = cells.select("site_id", "r", "c", F.col("value").alias(value))
@@ -44,7 +44,8 @@ def with_windows(cells: DataFrame, meta: DataFrame) -> DataFrame:
     c2 = (F.col("rx2") - F.col("x0")) / F.col("dx")
     r1 = (F.col("y0") - F.col("ry2")) / F.col("dy")
     r2 = (F.col("y0") - F.col("ry1")) / F.col("dy")
-    return cells.join(meta.select("site_id", "x0", "y0", "dx", "dy", "nrows", "ncols"), "site_id").select(
+    frame = meta.select("site_id", "x0", "y0", "dx", "dy", "nrows", "ncols")
+    return salted_join(cells, frame, ["site_id"]).select(
         *cells.columns,
         clip(F.floor(r1), "nrows").alias("rs"),
         clip(F.ceil(r2 + 1), "nrows").alias("re"),
@@ -90,7 +91,8 @@ def _window_strips(windows: DataFrame, strips: DataFrame, how: str) -> DataFrame
     )
     left = F.greatest(F.col("cs").cast("long"), F.col("strip") * STRIP)
     right = F.least(F.col("ce").cast("long"), (F.col("strip") + 1) * STRIP)
-    joined = parts.join(strips, ["site_id", "r", "strip"], how)
+    side = F.broadcast(strips) if known_small(strips) else strips.hint("merge")
+    joined = parts.join(side, ["site_id", "r", "strip"], how)
     return joined.select(
         *_WINDOW,
         (right - left).cast("int").alias("n_px"),
@@ -168,7 +170,7 @@ def rasterize_polygons(polygons: DataFrame, grid: DataFrame, value: str = "type"
     """
     # Polygons are spread out before each becomes many pixels.
     spread = polygons.repartition(shuffle_width(polygons.sparkSession), "site_id", "poly_id")
-    boxed = spread.join(grid, "site_id").select(
+    boxed = salted_join(spread, grid, ["site_id"]).select(
         "site_id", "poly_id", value, "xs", "ys", "x0", "y0", "dx", "dy", "nrows", "ncols",
         F.ceil((F.col("y0") - F.array_max("ys")) / F.col("dy") - 0.5 - _ON_EDGE).alias("r_from"),
         (F.ceil((F.col("y0") - F.array_min("ys")) / F.col("dy") - 0.5 - _ON_EDGE) - 1).alias("r_to"),

@@ -60,12 +60,15 @@ def salted_join(
     Otherwise rows of a hot key are dealt over its pieces by a hash of the row, and the
     matching rows of ``right`` are repeated once per piece, so every pair still
     meets exactly once. Keys that are not hot take the plain path untouched.
+
+    The merge hint keeps Catalyst from broadcasting ``left``: the size it knows
+    for an expanded table is that of the rows before they were multiplied.
     """
     if hot_rows is None and known_small(right):
         return left.join(F.broadcast(right), list(on), how)
     hot = hot_keys(left, on, hot_rows or HOT_ROWS, counts)
     if hot is None:
-        return left.join(right, list(on), how)
+        return left.join(right.hint("merge"), list(on), how)
     hot = F.broadcast(hot)  # at most MAX_HOT_KEYS rows
     deal = F.pmod(F.xxhash64(*[F.col(c) for c in left.columns]), F.coalesce("_pieces", F.lit(1)))
     dealt = left.join(hot, list(on), "left").withColumn("_salt", deal.cast("int")).drop("_pieces")
@@ -74,4 +77,4 @@ def salted_join(
         .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_pieces", F.lit(1)) - 1)))
         .drop("_pieces")
     )
-    return dealt.join(repeated, [*on, "_salt"], how).drop("_salt")
+    return dealt.join(repeated.hint("merge"), [*on, "_salt"], how).drop("_salt")
