@@ -161,10 +161,10 @@ def layer_grid(polygons: DataFrame, resolution: float = RESOLUTION) -> DataFrame
 _ON_EDGE = 1e-6
 
 
-def rasterize_polygons(polygons: DataFrame, grid: DataFrame, value: str = "type") -> DataFrame:
-    """Burned pixels (site_id, r, c, value); a later polygon covers an earlier one.
+def burn_strips(polygons: DataFrame, grid: DataFrame, value: str = "type") -> DataFrame:
+    """Strips (site_id, r, strip, px) of burned pixels, NULL where nothing was burned.
 
-    A pixel belongs to a polygon that holds its centre; a centre on the outline
+    A later polygon covers an earlier one. A pixel belongs to a polygon that holds its centre; a centre on the outline
     counts for the left and upper sides only. Each polygon is cut into pixel
     rows, and each row into the column runs between outline crossings.
     """
@@ -199,11 +199,39 @@ def rasterize_polygons(polygons: DataFrame, grid: DataFrame, value: str = "type"
         F.greatest(column_of(F.element_at("_x", F.col("_k"))), F.lit(0)).alias("c_from"),
         F.least(column_of(F.element_at("_x", F.col("_k") + 1)) - 1, F.col("ncols") - 1).alias("c_to"),
     )
-    return (
+    start = F.col("strip") * STRIP
+    runs_in_strip = (
         ranged.where("c_from <= c_to")
-        .select("site_id", "poly_id", value, "r", F.explode(F.sequence(F.col("c_from").cast("int"), F.col("c_to").cast("int"))).alias("c"))
-        .groupBy("site_id", "r", "c")
-        .agg(F.max_by(value, "poly_id").alias(value))
+        .withColumn("strip", F.explode(F.sequence(F.floor(F.col("c_from") / STRIP), F.floor(F.col("c_to") / STRIP))))
+        .select(
+            "site_id", "r", "strip", "poly_id", value,
+            (F.greatest(F.col("c_from"), start) - start).cast("int").alias("lo"),
+            (F.least(F.col("c_to"), start + (STRIP - 1)) - start).cast("int").alias("hi"),
+        )
+    )
+    # Of equal runs only the last polygon shows, and a strip has at most
+    # 64 * 65 / 2 different runs, however many polygons are stacked on it.
+    shown = runs_in_strip.groupBy("site_id", "r", "strip", "lo", "hi").agg(
+        F.max("poly_id").alias("p"), F.max_by(value, "poly_id").alias("v")
+    )
+    packed = shown.groupBy("site_id", "r", "strip").agg(
+        F.collect_list(F.struct("p", "v", "lo", "hi")).alias("_runs")
+    )
+
+    def paint(k: Column) -> Column:
+        return F.array_max(F.filter("_runs", lambda x: (x["lo"] <= k) & (k <= x["hi"])))["v"]
+
+    px = F.transform(F.sequence(F.lit(0), F.lit(STRIP - 1)), paint)
+    return packed.select("site_id", "r", "strip", px.alias("px"))
+
+
+def rasterize_polygons(polygons: DataFrame, grid: DataFrame, value: str = "type") -> DataFrame:
+    """Burned pixels as rows (site_id, r, c, value)."""
+    pixels = materialize(burn_strips(polygons, grid, value), "burned").select(
+        "site_id", "r", "strip", F.posexplode("px").alias("_k", value)
+    )
+    return pixels.where(F.col(value).isNotNull()).select(
+        "site_id", "r", (F.col("strip") * STRIP + F.col("_k")).cast("int").alias("c"), value
     )
 
 
@@ -214,7 +242,9 @@ def footprint_landuse_mode(
     """Majority land use under every footprint, ``background`` off the map."""
     grid = layer_grid(polygons, resolution)
     windowed = with_windows(cells, grid)
-    strips = raster_strips(rasterize_polygons(polygons, grid, value), value, background)
+    burned = burn_strips(polygons, grid, value)
+    covered = F.transform("px", lambda v: F.coalesce(v, F.lit(background)))
+    strips = materialize(burned.withColumn("px", covered), "landuse-strips")
     windows = distinct_windows(windowed)
     modes = window_mode(windows, strips, background)
     return on_windows(windowed, modes, value, windows, hot_rows).withColumn(
