@@ -320,7 +320,7 @@ def _predict_ensemble(spark: SparkSession, sf: str) -> DataFrame:
 def _write_ensemble(spark: SparkSession, sf: str) -> DataFrame:
     rows, folder = model_rows(spark, sf), new_folder(spark, "ensemble")
     fits = experts.train_experts(rows, _members(rows), K_FIT, **FIT)
-    files.write_ensemble(fits, folder, spark, numNetworks=K_FIT, channels="height,slope,landuse,freq,step")
+    files.write_ensemble(fits, folder, spark, n_experts=K_FIT, channels="height,slope,landuse,freq,step")
     return _shown(experts.predict_experts(files.read_ensemble(spark, folder), rows))
 
 
@@ -387,7 +387,7 @@ def _job_rows(trained: jobs.Trained) -> DataFrame:
 @query("job_train")
 def _job_train(spark: SparkSession, sf: str) -> DataFrame:
     trained = jobs.train(_all_features(spark, sf), K_FIT, **FIT)
-    files.write_ensemble(trained.experts, new_folder(spark, "ensemble"), spark, numNetworks=K_FIT)
+    files.write_ensemble(trained.experts, new_folder(spark, "ensemble"), spark, n_experts=K_FIT)
     return _job_rows(trained)
 
 
