@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from airlume.llm import simhash
+from airlume.llm import bpe, decontaminate, exact, simhash, substrings
 from airlume.llm.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,3 +35,106 @@ def hex64(value: Column) -> Column:
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", hex64(F.col("fingerprint")).alias("fingerprint"), "component_id")
+
+
+_OP3_SQL = r"""
+with n as (
+    select doc_id, coalesce(text, '') as t,
+           regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') as norm
+    from documents
+), g as (
+    select doc_id, norm,
+           first_value(doc_id) over (partition by norm order by length(t) desc, doc_id) as keep_id,
+           count(*) over (partition by norm) as group_size
+    from n
+)
+select doc_id, keep_id, group_size, doc_id = keep_id as kept, sha256(norm) as text_sha256 from g
+"""
+
+
+@query("op3_exact_dedup", _OP3_SQL)
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.exact_groups(table(spark, sf_dir, "documents"))
+
+
+_OP4_SQL = r"""
+with d as (
+    select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                      '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w
+    from documents
+), i as (
+    select item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                       '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w
+    from benchmark
+), iw as (
+    select distinct item_id, least(len(w), 13) as n, array_to_string(w[p:p + least(len(w), 13) - 1], ' ') as win
+    from (select item_id, w, unnest(range(1, greatest(len(w) - 12, 1) + 1)) as p from i where len(w) > 0)
+), sizes as (
+    select distinct n from iw
+), dw as (
+    select doc_id, p, n, array_to_string(w[p:p + n - 1], ' ') as win
+    from (select doc_id, w, n, unnest(range(1, len(w) - n + 2)) as p from d, sizes where len(w) >= n)
+), hits as (
+    select doc_id, item_id, p, n from dw join iw using (n, win)
+), covered as (
+    select doc_id, count(distinct q) as n_hit
+    from (select doc_id, unnest(range(p, p + n)) as q from hits) group by doc_id
+), items as (
+    select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as list
+    from (select distinct doc_id, cast(item_id as varchar) as item from hits) group by doc_id
+)
+select doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
+       sha256(coalesce(list, '')) as items_sha256,
+       coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated
+from d left join covered using (doc_id) left join items using (doc_id)
+"""
+
+
+@query("op4_benchmark_decontamination", _OP4_SQL)
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.benchmark_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        decontaminate.contaminated(F.col("n_hit"), F.col("n_words")).alias("contaminated"),
+    )
+
+
+_OP10_SQL = r"""
+with d as (
+    select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents
+), win as (
+    select doc_id, p, array_to_string(w[p:p + 12], ' ') as t
+    from (select doc_id, w, unnest(range(1, len(w) - 11)) as p from d where len(w) >= 13)
+), first as (
+    select t, min(doc_id) as first_id from win group by t having count(distinct doc_id) > 1
+), gone as (
+    select distinct doc_id, unnest(range(p, p + 13)) as q from win join first using (t) where doc_id > first_id
+), words as (
+    select doc_id, unnest(w) as word, unnest(range(1, len(w) + 1)) as q from d
+), kept as (
+    select doc_id, string_agg(word, ' ' order by q) as t, count(*) as n
+    from words anti join gone using (doc_id, q) group by doc_id
+)
+select doc_id, cast(len(w) as bigint) as n_words, len(w) - coalesce(n, 0) as n_removed, sha256(coalesce(t, '')) as kept_sha256
+from d left join kept using (doc_id)
+"""
+
+
+@query("op7_byte_bpe")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    ids = bpe.encode(table(spark, sf_dir, "documents"), path, pattern)
+    return bpe.decode(ids, path, pattern).select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        bpe.decimal_digest(F.col("ids")).alias("ids_sha256"),
+        F.sha2("data", 256).alias("decoded_sha256"),
+    )
+
+
+@query("op10_substring_dedup", _OP10_SQL)
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substrings.remove_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))

@@ -16,7 +16,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def written_bytes(df: DataFrame) -> int:
     """Size of what ``df`` reads, as Catalyst knows it from the files."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
 def ascii_lower(text: Column) -> Column:
