@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from airlume.llm import bpe, decontaminate, exact, simhash, substrings
+from airlume.llm import bpe, decontaminate, exact, lines, quality, secretscan, simhash, substrings, tokencounts, urls
 from airlume.llm.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -134,6 +134,80 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# The rules every url is judged by.
+RULES = [
+    urls.Rule("com", "/", True),
+    urls.Rule("example.com", "/en/", False),
+    urls.Rule("www.example.com", "/en/", True),
+    urls.Rule("net", "/es/", False),
+    urls.Rule("net", "/fr/", False),
+]
+
+
+@query("op2_token_counts")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencounts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query("op5_url_filter")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"), RULES)
+
+
+@query("op6_secret_scan")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secretscan.find_secrets(table(spark, sf_dir, "documents"))
+    number = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+    base = F.filter("spans", lambda s: s["kind"] < 3)
+    return found.select(
+        "doc_id", number(0).alias("n_assign"), number(1).alias("n_access"), number(2).alias("n_hex"),
+        F.sha2(secretscan.listed(base), 256).alias("base_sha256"),
+        secretscan.listed(F.col("spans")).alias("spans"),
+        F.size(F.filter("spans", lambda s: s["live"])).cast("long").alias("n_live"),
+    )
+
+
+@query("op8_quality_classifier")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+_OP9_SQL = r"""
+with l as (
+    select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line,
+           unnest(range(len(string_split(coalesce(text, ''), chr(10))))) as at
+    from documents
+), n as (
+    select *, row_number() over (partition by doc_id order by at) as place
+    from l where regexp_matches(line, '[^\x20\x09-\x0D]')
+), w as (
+    select doc_id, place, line as a, lead(line) over r as b, lead(line, 2) over r as c
+    from n window r as (partition by doc_id order by at)
+), later as (
+    select doc_id, place, row_number() over (partition by a, b, c order by doc_id, place) as k
+    from w where c is not null
+), gone as (
+    select distinct doc_id, unnest(range(place, place + 3)) as place from later where k > 1
+), kept as (
+    select l.doc_id, string_agg(l.line, chr(10) order by l.at) as t
+    from l left join n using (doc_id, at) left join gone on gone.doc_id = n.doc_id and gone.place = n.place
+    where gone.place is null group by l.doc_id
+), sizes as (
+    select doc_id, count(*) as n_lines from n group by doc_id
+), removed as (
+    select doc_id, count(*) as n_removed from gone group by doc_id
+)
+select doc_id, coalesce(n_lines, 0) as n_lines, coalesce(n_removed, 0) as n_removed, sha256(coalesce(t, '')) as kept_sha256
+from documents left join sizes using (doc_id) left join removed using (doc_id) left join kept using (doc_id)
+"""
+
+
+@query("op9_line_dedup", _OP9_SQL)
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lines.remove_repeated_runs(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 @query("op10_substring_dedup", _OP10_SQL)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substrings.remove_repeats(table(spark, sf_dir, "documents"))

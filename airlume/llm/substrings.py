@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from airlume.llm.tables import written_bytes
+from airlume.llm.tables import text_bytes
 from airlume.llm.textblocks import NO_ID, Words, blocks, encoded, mixed, xxhash64
 
 WINDOW = 13
@@ -48,7 +48,7 @@ def remove_repeats(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     empty table gives none. ``buckets`` (by default from the size of the input
     files) sets how finely hashes and documents are dealt, not the result.
     """
-    n = buckets or max(MIN_BUCKETS, -(-written_bytes(docs) // BUCKET_BYTES))
+    n = buckets or max(MIN_BUCKETS, -(-text_bytes(docs) // BUCKET_BYTES))
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     dealt = source.select(_owner_column(n).alias("bucket"), "doc_id", "text")
 

@@ -14,17 +14,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def written_bytes(df: DataFrame) -> int:
-    """Size of what ``df`` reads, as Catalyst knows it from the files."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+# Catalyst gives tables whose size it can't know one beyond this.
+_UNKNOWN_BYTES = 1 << 55
+
+
+def text_bytes(docs: DataFrame) -> int:
+    """Size of the files ``docs`` reads, as Catalyst knows it; else of its texts, counted."""
+    known = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    if known < _UNKNOWN_BYTES:
+        return known
+    return docs.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
 
 
 def ascii_lower(text: Column) -> Column:
     """A-Z in lower case, every other character as it is."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-
-
-def deal(df: DataFrame, width: int | None = None) -> DataFrame:
-    """Spread a scan of few files over the tasks when it has fewer pieces than that."""
-    wanted = width or df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= wanted else df.repartition(wanted)
