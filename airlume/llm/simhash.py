@@ -275,3 +275,13 @@ def joined(label: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
         np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
         while (label != label[label]).any():
             label = label[label]
+
+
+def drop_near(docs: DataFrame, max_difference: int = MAX_DIFFERENCE) -> DataFrame:
+    """The rows of ``docs`` that name their component, with all their columns.
+
+    Rows without doc_id always stay.
+    """
+    found = near_duplicates(docs, max_difference)
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone"))
+    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
