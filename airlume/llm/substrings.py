@@ -19,6 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -128,26 +129,38 @@ def _runs(docs: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarr
 
 
 def _packed(docs, low, high, lead, buckets, known) -> Iterator[pa.RecordBatch]:
-    """One row per bucket that has entries."""
+    """One row per bucket that has entries, ordered by document so that ids pack well."""
     bucket = (lead % np.uint64(buckets)).astype(np.int32)
-    order = np.argsort(bucket, kind="stable")
+    order = np.lexsort((docs, bucket))
     bucket = bucket[order]
     at = np.flatnonzero(np.diff(bucket, prepend=-1))
-    cuts = [*at.tolist(), len(bucket)]
-    columns = [x[order] if len(x) else x for x in (docs, low, high)]
-    rows = [[x[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)] if len(x) or not len(docs) else [None] * len(at) for x in columns]
-    yield pa.RecordBatch.from_arrays(
-        [pa.array(bucket[at], pa.int32()), pa.array([known] * len(at), pa.bool_()), *[pa.array(x, pa.binary()) for x in rows]],
-        names=["bucket", "known", "docs", "low", "high"],
-    )
+    ends = np.append(at, len(bucket)).tolist()
+    spans = [slice(a, b) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+    docs, low = docs[order], low[order]
+    high = [high[order][s].tobytes() for s in spans] if len(high) else [None] * len(spans)
+    columns = [
+        pa.array(bucket[at], pa.int32()), pa.array([known] * len(spans), pa.bool_()),
+        pa.array([_squeezed(docs[s]) for s in spans], pa.binary()),
+        pa.array([low[s].tobytes() for s in spans], pa.binary()), pa.array(high, pa.binary()),
+    ]
+    yield pa.RecordBatch.from_arrays(columns, names=["bucket", "known", "docs", "low", "high"])
+
+
+def _squeezed(docs: np.ndarray) -> bytes:
+    """Sorted ids as compressed differences, byte by byte of equal weight."""
+    steps = np.diff(docs, prepend=np.int64(0))
+    return zstandard.compress(steps.view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
 
 
-def _joined(table: pa.Table, name: str, kind: type) -> np.ndarray:
-    return np.frombuffer(b"".join(x for x in table.column(name).to_pylist() if x), kind)
+def _unsqueezed(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(np.int64).ravel())
 
 
 def _entries(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    return _joined(table, "docs", np.int64), _joined(table, "low", np.uint64), _joined(table, "high", np.uint64)
+    docs = [_unsqueezed(x) for x in table.column("docs").to_pylist()]
+    low, high = (np.frombuffer(b"".join(x for x in table.column(c).to_pylist() if x), np.uint64) for c in ("low", "high"))
+    return np.concatenate([np.zeros(0, np.int64), *docs]), low, high
 
 
 def _settle(buckets: int, both: bool):
