@@ -28,6 +28,7 @@ SHARE = 20
 
 # Separators: everything in ASCII but digits and letters, after lower-casing.
 _SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_ANY_CASE_SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def words_of(text: Column) -> Column:
@@ -35,7 +36,12 @@ def words_of(text: Column) -> Column:
     filled = F.coalesce(text, F.lit(""))
     # Pure ASCII takes the fast built-in.
     lowered = F.when(F.octet_length(filled) == F.char_length(filled), F.lower(filled)).otherwise(ascii_lower(filled))
-    return F.filter(F.split(lowered, _SEPARATORS), lambda w: w != "")
+    return F.array_remove(F.split(lowered, _SEPARATORS), "")
+
+
+def word_count(text: Column) -> Column:
+    """Number of ``words_of`` a text, which case does not change."""
+    return F.size(F.array_remove(F.split(F.coalesce(text, F.lit("")), _ANY_CASE_SEPARATORS), "")).cast("long")
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -43,7 +49,27 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def grams(words: Column, size: int) -> Column:
+def _paired(values: Column, by: int, join: Callable[[Column, Column], Column]) -> Column:
+    """``join`` of each value and the one ``by`` places on; the last ``by`` are of no use."""
+    return F.zip_with(values, F.slice(values, by + 1, F.greatest(F.size(values) - by, F.lit(0))), join)
+
+
+def _first(values: Column, n: Column) -> Column:
+    return F.slice(values, 1, F.greatest(n, F.lit(0)))
+
+
+def grams(words: Column) -> Column:
+    """Hash of the GRAM words from each word on that has that many, by doubling."""
+
+    def doubled(values: Column, size: int) -> Column:
+        if size == GRAM:
+            return _first(values, F.size(words) - GRAM + 1)
+        return let(_paired(values, size, lambda a, b: F.xxhash64(a, b)), lambda v: doubled(v, 2 * size))
+
+    return doubled(words, 1)
+
+
+def whole_runs(words: Column, size: int) -> Column:
     """Hash of the ``size`` words from each word on that has that many."""
     n = F.size(words) - size
     each = F.transform(
@@ -52,10 +78,20 @@ def grams(words: Column, size: int) -> Column:
     return F.when(n >= 0, each).otherwise(F.array().cast("array<bigint>"))
 
 
-def winnowed(hashes: Column) -> Column:
+def minima(hashes: Column) -> Column:
+    """Smallest of the SPAN hashes from each hash on that has that many."""
+
+    def reached(values: Column, cover: int) -> Column:
+        if cover == SPAN:
+            return _first(values, F.size(hashes) - SPAN + 1)
+        step = min(cover, SPAN - cover)
+        return let(_paired(values, step, lambda a, b: F.least(a, b)), lambda v: reached(v, cover + step))
+
+    return reached(hashes, 1)
+
+
+def _winnowed(hashes: Column) -> Column:
     """(place, hash) of the smallest hash of each run of SPAN hashes, ties included."""
-    n = F.size(hashes) - SPAN
-    least = F.transform(F.sequence(F.lit(0), n), lambda i: F.least(*[F.get(hashes, i + j) for j in range(SPAN)]))
 
     def keep(least: Column) -> Column:
         # The largest of the minima around a hash equals it where it is one of them.
@@ -63,23 +99,30 @@ def winnowed(hashes: Column) -> Column:
         around = lambda s: F.greatest(*[F.get(least, s["place"] - j) for j in range(SPAN)])
         return F.filter(places, lambda s: s["hash"] == around(s))
 
-    return F.when(n >= 0, let(least, keep)).otherwise(
-        F.array().cast("array<struct<place:int,hash:bigint>>")
-    )
+    return let(minima(hashes), keep)
+
+
+def _prints(words: Column, short: list[int]) -> Column:
+    """Distinct (hash, size) of a text: winnowed hashes, and all runs as long as a short item."""
+    found = [(GRAM, let(grams(words), minima))] + [(-m, whole_runs(words, m)) for m in short]
+
+    def sized(hashes: Column, size: int) -> Column:
+        return F.transform(F.array_distinct(hashes), lambda h: F.struct(h.alias("hash"), F.lit(size).alias("size")))
+
+    return F.concat(*[sized(h, size) for size, h in found])
 
 
 def _anchors(words: Column, short: list[int]) -> Column:
-    """(place, hash, size): winnowed hashes, and all runs as long as a short item."""
-    found = [(GRAM, let(grams(words, GRAM), winnowed))]
-    for m in short:
-        every = let(grams(words, m), lambda g: F.transform(g, lambda h, i: F.struct(i.alias("place"), h.alias("hash"))))
-        # Sizes of short items are negative, so that they never meet a longer item's hash.
-        found.append((-m, every))
-    sized = [
-        F.transform(a, lambda s, size=size: F.struct(s["place"].alias("place"), s["hash"].alias("hash"), F.lit(size).alias("size")))
-        for size, a in found
-    ]
-    return F.concat(*sized)
+    """(place, hash, size) of the same hashes. Sizes of short items are negative."""
+    placed = lambda g: F.transform(g, lambda h, i: F.struct(i.alias("place"), h.alias("hash")))
+    found = [(GRAM, let(grams(words), _winnowed))] + [(-m, let(whole_runs(words, m), placed)) for m in short]
+
+    def sized(anchors: Column, size: int) -> Column:
+        return F.transform(
+            anchors, lambda s: F.struct(s["place"].alias("place"), s["hash"].alias("hash"), F.lit(size).alias("size"))
+        )
+
+    return F.concat(*[sized(a, size) for size, a in found])
 
 
 def _context(words: Column, place: Column) -> Column:
@@ -87,6 +130,21 @@ def _context(words: Column, place: Column) -> Column:
     return F.array(*[F.get(words, place - SIDE + j) for j in range(WINDOW + SIDE)])
 
 
+def _met_words(words: Column, met: Column, short: list[int]) -> Column:
+    """(place, hash, size, ours) of the hashes in ``met``, with the words around each place."""
+
+    def at(hashes: Column, size: int) -> Column:
+        mine = F.transform(F.filter(met, lambda m: m["size"] == size), lambda m: m["hash"])
+        placed = F.transform(hashes, lambda h, i: F.struct(i.alias("place"), h.alias("hash")))
+        found = let(mine, lambda mine: F.filter(placed, lambda s: F.array_contains(mine, s["hash"])))
+        return F.transform(
+            found,
+            lambda s: F.struct(s["place"].alias("place"), s["hash"].alias("hash"), F.lit(size).alias("size"), _context(words, s["place"]).alias("ours")),
+        )
+
+    return F.concat(at(grams(words), GRAM), *[at(whole_runs(words, m), -m) for m in short])
+
+
 def benchmark_hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, n_words, n_hit and items for each row of ``docs`` (doc_id, text).
 
@@ -122,24 +180,22 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("_id"),
         F.xxhash64("text").alias("_version"),
     )
-    places = (
+    met = (
         keyed.select("_id", "_version", words_of(F.col("text")).alias("_words"))
-        .select("_id", "_version", F.explode(let(F.col("_words"), lambda w: _anchors(w, short))).alias("a"))
-        .select("_id", "_version", F.col("a.place").alias("_place"), F.col("a.hash").alias("_hash"), F.col("a.size").alias("_size"))
+        .select("_id", "_version", F.explode(let(F.col("_words"), lambda w: _prints(w, short))).alias("a"))
+        .select("_id", "_version", F.col("a.hash").alias("_hash"), F.col("a.size").alias("_size"))
     )
     # Written marks below the checked size are broadcast; larger ones meet by hash.
     prints = F.broadcast(prints) if known_small(marks) else prints.hint("merge")
-    met = places.join(prints, ["_hash", "_size"], "left_semi")
-    wanted = met.groupBy("_id", "_version").agg(F.collect_set(F.struct("_place", "_hash", "_size")).alias("_met"))
+    wanted = (
+        met.join(prints, ["_hash", "_size"], "left_semi").groupBy("_id", "_version")
+        .agg(F.collect_set(F.struct(F.col("_hash").alias("hash"), F.col("_size").alias("size"))).alias("_met"))
+    )
+    # Only texts that share a hash are looked at again, where they have it.
     around = (
-        keyed.select("_id", "_version", "text").distinct().join(wanted.hint("merge"), ["_id", "_version"])
+        keyed.select("_id", "_version", "text").join(wanted.hint("merge"), ["_id", "_version"])
         .select("_id", "_version", words_of(F.col("text")).alias("_words"), "_met")
-        .select(
-            "_id", "_version",
-            F.explode(
-                F.transform("_met", lambda s: F.struct(s["_place"].alias("place"), s["_hash"].alias("hash"), s["_size"].alias("size"), _context(F.col("_words"), s["_place"]).alias("ours")))
-            ).alias("a"),
-        )
+        .select("_id", "_version", F.explode(let(F.col("_words"), lambda w: _met_words(w, F.col("_met"), short))).alias("a"))
         .select("_id", "_version", F.col("a.place").alias("_place"), F.col("a.hash").alias("_hash"), F.col("a.size").alias("_size"), F.col("a.ours").alias("_ours"))
     )
     theirs = F.broadcast(marks) if known_small(marks) else marks.hint("merge")
@@ -147,7 +203,7 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         F.collect_set("_span").alias("_spans"), F.sort_array(F.collect_set("item")).alias("items")
     )
     hits = hits.select("_id", "_version", _covered(F.sort_array("_spans")).alias("n_hit"), "items")
-    sized = keyed.select("doc_id", "_id", "_version", F.size(words_of(F.col("text"))).cast("long").alias("n_words"))
+    sized = keyed.select("doc_id", "_id", "_version", word_count(F.col("text")).alias("n_words"))
     return sized.join(hits, ["_id", "_version"], "left").select(
         "doc_id", "_version", "n_words",
         F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"),
