@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from airlume.operators.ordering import rank_rows
 from airlume.operators.skew import salted_join
 from airlume.session import materialize
 
@@ -114,6 +115,15 @@ def _edge_values(
     return per_block.select(*group, "_block", reach.alias(name))
 
 
+def _carried(edges: DataFrame, keys: Sequence[str], side: str) -> tuple[DataFrame, Column]:
+    """``edges`` and the condition to bring them to their blocks; a missing group is a group."""
+    renamed = edges.withColumnsRenamed({k: f"_{side}_{k}" for k in keys})
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{side}_{k}"))
+    return renamed, same
+
+
 def forward_fill(
     df: DataFrame, column: str, group: Sequence[str], index: str, block_rows: int = BLOCK_ROWS
 ) -> DataFrame:
@@ -129,7 +139,7 @@ def forward_fill(
     near = F.last(F.col(column), ignorenulls=True).over(inside)
     return (
         blocked.withColumn("_near", near)
-        .join(carried, keys, "left")
+        .join(*_carried(carried, keys, "prev"), "left")
         .withColumn(column, F.coalesce("_near", "_prev.v"))
         .select(*df.columns)
     )
@@ -141,10 +151,14 @@ def interpolate_linear(
 ) -> DataFrame:
     """Missing values by straight line between the known neighbours.
 
-    Distance is measured in ``position`` (row positions; the index by default).
-    Leading gaps stay missing, trailing gaps repeat the last known value.
+    Distance is measured in ``position``, an integer column in the order of the
+    index; by default it is the place of a row in its group, whatever gaps the
+    index has. Leading gaps stay missing, trailing gaps repeat the last known value.
     """
-    position = position or index
+    if position is None:
+        placed = rank_rows(df, [index], group, "_position", "_of")
+        out = interpolate_linear(placed, column, group, "_position", "_position", block_rows)
+        return out.select(*df.columns)
     block, keys = _blocks(group, index, block_rows)
     blocked = df.withColumn("_block", block)
     c = F.col(column)
@@ -166,8 +180,8 @@ def interpolate_linear(
     return (
         blocked.withColumn("_before", before)
         .withColumn("_after", after)
-        .join(left, keys, "left")
-        .join(right, keys, "left")
+        .join(*_carried(left, keys, "prev"), "left")
+        .join(*_carried(right, keys, "next"), "left")
         .withColumn("_a", F.coalesce("_before", "_prev"))
         .withColumn("_b", F.coalesce("_after", "_next"))
         .withColumn(column, value)

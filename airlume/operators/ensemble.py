@@ -145,16 +145,22 @@ def top_g_groups(probs: DataFrame, g: int, key: str = "sample_id") -> DataFrame:
 
 def mixture_of_experts(
     df: DataFrame, models: Sequence[str], probs: DataFrame, groups: DataFrame, g: int = 1,
-    key: str = "sample_id",
+    key: str = "sample_id", offset: Column | None = None,
 ) -> DataFrame:
     """Probability-weighted group medians over the g most probable groups.
 
+    ``offset`` (a path loss, say) is added to every mixture. A sample without
+    group rows stays, with no mixture; a group
+    without experts is refused.
+
     ``groups`` maps at most 30 experts to groups. The chosen groups of a sample
     are gathered into one short array next to its expert columns.
     """
     members: dict[int, list[str]] = {}
     for row in groups.orderBy("expert_id").collect():
         members.setdefault(row["group_id"], []).append(models[row["expert_id"]])
+    if not members:
+        raise ValueError("no expert has a group")
     chosen = top_g_groups(probs, g, key).groupBy(key).agg(
         F.map_from_entries(F.collect_list(F.struct("group_id", "p"))).alias("_p")
     )
@@ -162,7 +168,8 @@ def mixture_of_experts(
     for group, names in sorted(members.items()):
         weight = F.coalesce(F.try_element_at("_p", F.lit(group)), F.lit(0.0))
         total = total + weight * median_of(F.array(*[F.col(m) for m in names]), len(names))
-    return df.join(chosen, key).withColumn("moe", total).drop("_p")
+    mixed = total if offset is None else total + offset
+    return df.join(chosen, key, "left").withColumn("moe", F.when(F.col("_p").isNotNull(), mixed)).drop("_p")
 
 
 def with_path_losses(df: DataFrame) -> DataFrame:

@@ -44,16 +44,18 @@ def box_stats(df: DataFrame, value: str, group: Sequence[str]) -> DataFrame:
 
 
 def boxes_per_expert(df: DataFrame, values: Sequence[str], slots: int = EXPERT_SLOTS) -> DataFrame:
-    """Boxes of each value over the samples an expert wins; losers stay as empty rows."""
-    spark = df.sparkSession
+    """Boxes of each value over the samples an expert wins; losers stay as empty rows.
+
+    ``slots`` is the least number of experts reported; all that win are.
+    """
     out = None
     for value in values:
         boxes = box_stats(
             df.select(F.col("best_model_idx").alias("expert_id"), F.col(value).cast("double").alias("v")),
             "v", ["expert_id"],
         )
-        all_slots = spark.range(slots).select(F.col("id").cast("int").alias("expert_id"))
-        part = all_slots.join(boxes, "expert_id", "left").withColumn("quantity", F.lit(value))
+        all_slots = df.sparkSession.range(slots).select(F.col("id").cast("int").alias("expert_id"))
+        part = all_slots.join(boxes, "expert_id", "full").withColumn("quantity", F.lit(value))
         part = part.withColumn("n", F.coalesce("n", F.lit(0)))
         out = part if out is None else out.unionByName(part)
     return out
@@ -69,9 +71,13 @@ def uncertainty_bin(u: Column) -> Column:
 
 
 def uncertainty_bin_boxes(df: DataFrame, band: str = "band") -> DataFrame:
-    """Boxes of the absolute error per fixed uncertainty bin and band."""
+    """Boxes of the absolute error per fixed uncertainty bin and band.
+
+    A bin that occurs in any band is reported for all of them, with n = 0 where
+    it is empty.
+    """
     binned = df.withColumn("bin", uncertainty_bin(F.col("uncertainty"))).where(F.col("bin").isNotNull())
-    return box_stats(binned, "abs_error", [band, "bin"])
+    return _filled(box_stats(binned, "abs_error", [band, "bin"]), band, "bin")
 
 
 def _all_combinations(counts: DataFrame, band: str, group: str) -> DataFrame:
@@ -82,6 +88,10 @@ def _all_combinations(counts: DataFrame, band: str, group: str) -> DataFrame:
     return frame.join(counts, [band, group], "left")
 
 
+def _filled(boxes: DataFrame, band: str, group: str) -> DataFrame:
+    return _all_combinations(boxes, band, group).withColumn("n", F.coalesce("n", F.lit(0)))
+
+
 def _whole() -> WindowSpec:
     return Window.partitionBy(F.lit(0))
 
@@ -103,7 +113,10 @@ def high_error_probability(df: DataFrame, limit: float = HIGH_ERROR_DB, band: st
 
 
 def with_quantile_group(df: DataFrame, band: str = "band") -> DataFrame:
-    """low / mid / high by the 20 % and 80 % quantiles of uncertainty in the band."""
+    """low / mid / high by the 20 % and 80 % quantiles of uncertainty in the band.
+
+    A row without an uncertainty is in no segment and is left out.
+    """
     cuts = materialize(
         quantiles(distribution(df, "uncertainty", [band]), "uncertainty", {"q20": 0.2, "q80": 0.8}, [band]),
         "cuts",
@@ -115,22 +128,26 @@ def with_quantile_group(df: DataFrame, band: str = "band") -> DataFrame:
             "segment",
             F.when(u <= F.col("q20"), QUANTILE_GROUPS[0])
             .when(u <= F.col("q80"), QUANTILE_GROUPS[1])
-            .otherwise(QUANTILE_GROUPS[2]),
+            .when(u > F.col("q80"), QUANTILE_GROUPS[2]),
         )
+        .where(F.col("segment").isNotNull())
         .drop("q20", "q80")
     )
 
 
 def quantile_boxes(df: DataFrame, band: str = "band") -> DataFrame:
-    return box_stats(with_quantile_group(df, band), "abs_error", [band, "segment"])
+    """Boxes of the absolute error per segment and band, n = 0 where one is empty."""
+    return _filled(box_stats(with_quantile_group(df, band), "abs_error", [band, "segment"]), band, "segment")
 
 
 def quantile_high_error_rate(df: DataFrame, rho: float, band: str = "band") -> DataFrame:
     """Row count and share (%) of errors above ``rho`` per segment and band."""
-    return with_quantile_group(df, band).groupBy(band, "segment").agg(
-        F.count(F.lit(1)).alias("n"),
-        (100.0 * F.count_if(F.col("abs_error") > rho) / F.count(F.lit(1))).alias("pct_high"),
+    counts = with_quantile_group(df, band).groupBy(band, "segment").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("abs_error") > rho).alias("_high")
     )
+    full = _filled(counts, band, "segment")
+    rate = F.when(F.col("n") > 0, 100.0 * F.col("_high") / F.col("n")).otherwise(F.lit(0.0))
+    return full.select(band, "segment", "n", rate.alias("pct_high"))
 
 
 def top_uncertainty_trend(df: DataFrame, rho: float) -> DataFrame:

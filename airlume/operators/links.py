@@ -26,12 +26,13 @@ def join_site_params(points: DataFrame, sites: DataFrame) -> DataFrame:
 
 
 def sample_receivers(
-    measurements: DataFrame, sites: DataFrame, buildings: DataFrame | None, pixels: DataFrame,
-    meta: DataFrame, key: str = "sample_id",
+    measurements: DataFrame, sites: DataFrame, buildings: DataFrame | None, pixels: DataFrame | None,
+    meta: DataFrame | None, key: str = "sample_id",
 ) -> DataFrame:
     """Altitude of every receiver: terrain (mean of its site where unknown) plus building.
 
-    Without a building layer every height is 0. Points at one position fall in
+    Without a terrain layer, anywhere or at its site, the ground is at 0. Without
+    a building layer every height is 0. Points at one position fall in
     the same building, so equal positions get equal heights.
     """
     if buildings is None:
@@ -40,8 +41,11 @@ def sample_receivers(
         housed = spatial.point_in_polygon_join(
             measurements, buildings, "measured_height", DEFAULT_HEIGHT, key
         )
-    terrain = materialize(nodata_to_null(raster.raster_point_sample(housed, pixels, meta), "dn"), "terrain")
-    filled = fill_area_mean(terrain, "dn", ["site_id"])
+    if pixels is None:
+        filled = housed.withColumn("dn", F.lit(0.0))
+    else:
+        terrain = materialize(nodata_to_null(raster.raster_point_sample(housed, pixels, meta), "dn"), "terrain")
+        filled = fill_area_mean(terrain, "dn", ["site_id"])
     grounded = filled.withColumn("dn", F.col("dn") + F.col("measured_height")).drop("measured_height")
     return join_site_params(grounded, sites)
 
@@ -113,11 +117,13 @@ def assemble_features(
 
 
 def sample_cells(
-    links: DataFrame, buildings: DataFrame | None, pixels: DataFrame, meta: DataFrame,
+    links: DataFrame, buildings: DataFrame | None, pixels: DataFrame | None, meta: DataFrame | None,
     landuse: DataFrame | None,
 ) -> DataFrame:
     """Per sample: arrays of terrain, building height and land use along the path.
 
+    Every sample has all its cells, whatever layers its site has.
+
     Each map is sampled on its own from the same cells, carrying only keys and
     one value; the partial results meet in a single exchange by sample. A
     missing land-use layer gives the background code everywhere.
@@ -127,7 +133,8 @@ def sample_cells(
     )
     none = F.lit(None).cast("double")
     no_type = F.lit(None).cast("int")
-    terrain = raster.raster_window_max(cells, pixels, meta).select(
+    sampled = cells.withColumn("dn", none) if pixels is None else raster.raster_window_max(cells, pixels, meta)
+    terrain = sampled.select(
         *CELL, F.col("dn").alias("terrain"), none.alias("building"), no_type.alias("landuse")
     )
     parts = terrain
@@ -148,15 +155,15 @@ def sample_cells(
 
 
 def build_features(
-    measurements: DataFrame, sites: DataFrame, buildings: DataFrame | None, pixels: DataFrame,
-    meta: DataFrame, landuse: DataFrame | None,
+    measurements: DataFrame, sites: DataFrame, buildings: DataFrame | None, pixels: DataFrame | None,
+    meta: DataFrame | None, landuse: DataFrame | None,
 ) -> DataFrame:
     """Feature arrays and target of every measurement, all sites in one job."""
     links = materialize(
         with_link_geometry(sample_receivers(measurements, sites, buildings, pixels, meta)), "links"
     )
     maps = sample_cells(links, buildings, pixels, meta, landuse)
-    # Terrain gaps take the mean over all cells of the site.
+    # Terrain gaps take the mean over all cells of the site, 0 where it has none.
     sampled = materialize(
         maps.join(links.select("sample_id", "site_id"), "sample_id")
         .withColumn("_known", F.filter("terrain", lambda v: v.isNotNull()))
@@ -170,7 +177,7 @@ def build_features(
         sampled.drop("site_id", "_n", "_sum").join(links, "sample_id"), materialize(means, "means"), ["site_id"]
     )
     altitude = F.zip_with(
-        "terrain", "building", lambda t, b: F.coalesce(t, F.col("_mean")) + F.coalesce(b, F.lit(0.0))
+        "terrain", "building", lambda t, b: F.coalesce(t, F.col("_mean"), F.lit(0.0)) + F.coalesce(b, F.lit(0.0))
     )
 
     def height_at(alt: Column, i: Column) -> Column:

@@ -76,7 +76,12 @@ def rank_rows(
     """
     blocks = _blocked(df, group, order)
     before = _earlier_blocks(blocks, group, F.count(F.lit(1)))
-    out = blocks.join(before, [*group, "_block"])
+    # A missing group value is a group like any other.
+    before = before.withColumnsRenamed({g: f"_of_{g}" for g in group}).withColumnRenamed("_block", "_in")
+    same = F.col("_block") == F.col("_in")
+    for g in group:
+        same = same & F.col(g).eqNullSafe(F.col(f"_of_{g}"))
+    out = blocks.join(before, same)
     columns = [F.col(c) for c in df.columns]
     columns.append((F.col("_before") + F.col("_pos") - F.col("_first") + 1).alias(rank))
     if total:

@@ -24,10 +24,10 @@ def raster_point_sample(
     points: DataFrame, cells: DataFrame, meta: DataFrame, value: str = "dn",
     hot_rows: int | None = None,
 ) -> DataFrame:
-    """Value of the pixel that holds the point, NULL off the raster."""
+    """Value of the pixel that holds the point, NULL off the raster or without one at the site."""
     row = F.floor((F.col("y0") - F.col("latitude")) / F.col("dy")).cast("int")
     col = F.floor((F.col("longitude") - F.col("x0")) / F.col("dx")).cast("int")
-    placed = salted_join(points, meta.select("site_id", "x0", "y0", "dx", "dy"), ["site_id"]).select(
+    placed = salted_join(points, meta.select("site_id", "x0", "y0", "dx", "dy"), ["site_id"], "left").select(
         *points.columns, row.alias("r"), col.alias("c")
     )
     pixel = cells.select("site_id", "r", "c", F.col("value").alias(value))
@@ -35,7 +35,10 @@ def raster_point_sample(
 
 
 def with_windows(cells: DataFrame, meta: DataFrame) -> DataFrame:
-    """Pixel window (rs..re-1, cs..ce-1) of every footprint, clipped to the raster."""
+    """Pixel window (rs..re-1, cs..ce-1) of every footprint, clipped to the raster.
+
+    A site without a raster keeps its rows, with no window.
+    """
 
     def clip(value: Column, size: str) -> Column:
         return F.greatest(F.least(value, F.col(size).cast("long")), F.lit(0)).cast("int")
@@ -45,7 +48,7 @@ def with_windows(cells: DataFrame, meta: DataFrame) -> DataFrame:
     r1 = (F.col("y0") - F.col("ry2")) / F.col("dy")
     r2 = (F.col("y0") - F.col("ry1")) / F.col("dy")
     frame = meta.select("site_id", "x0", "y0", "dx", "dy", "nrows", "ncols")
-    return salted_join(cells, frame, ["site_id"]).select(
+    return salted_join(cells, frame, ["site_id"], "left").select(
         *cells.columns,
         clip(F.floor(r1), "nrows").alias("rs"),
         clip(F.ceil(r2 + 1), "nrows").alias("re"),

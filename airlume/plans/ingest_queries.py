@@ -50,12 +50,13 @@ PARTS["complete"] = """
 
 
 @query("read_measurements", f"""
-    select distinct {rd('longitude', 6)} longitude, {rd('latitude', 6)} latitude, {rd('rssi', 6)} rssi
-    from (select * from {{complete}} union all select longitude, latitude, rssi - 1 from {{complete}}
-          union all select longitude, latitude, rssi - 4 from {{complete}}) q""")
+    select {rd('longitude', 6)} longitude, {rd('latitude', 6)} latitude, {rd('rssi', 6)} rssi
+    from (select distinct longitude, latitude, rssi
+          from (select * from {{complete}} union all select longitude, latitude, rssi - 1 from {{complete}}
+                union all select longitude, latitude, rssi - 4 from {{complete}}) r) q""")
 def _read_measurements(spark: SparkSession, sf: str) -> DataFrame:
     rows = files.read_measurements(spark, csv_folder(spark, sf))
-    return rows.select(*[r(c, 6).alias(c) for c in _ROW]).distinct()
+    return rows.select(*[r(c, 6).alias(c) for c in _ROW])
 
 
 @query("read_measurements_aliased", f"""
@@ -229,12 +230,13 @@ def _forward_fill(spark: SparkSession, sf: str) -> DataFrame:
 PARTS["interpolated"] = """
     select record_id, dataset_id, measured_height,
            case when alt is not null then alt when a is null then null when b is null then a
-                else a + (b - a) * ((record_id - ia) / (ib - ia)) end dn
+                else a + (b - a) * ((place - ia) * 1e0 / (ib - ia)) end dn
     from (select *, last_value(alt ignore nulls) over before a,
-                 last_value(case when alt is not null then record_id end ignore nulls) over before ia,
+                 last_value(case when alt is not null then place end ignore nulls) over before ia,
                  first_value(alt ignore nulls) over after b,
-                 first_value(case when alt is not null then record_id end ignore nulls) over after ib
-          from {known_altitudes}
+                 first_value(case when alt is not null then place end ignore nulls) over after ib
+          from (select *, row_number() over (partition by dataset_id order by record_id) place
+                from {known_altitudes}) k
           window before as (partition by dataset_id order by record_id rows between unbounded preceding and current row),
                  after as (partition by dataset_id order by record_id rows between current row and unbounded following)
          ) q"""

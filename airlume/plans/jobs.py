@@ -27,8 +27,8 @@ class Maps:
 
     sites: DataFrame
     buildings: DataFrame | None
-    pixels: DataFrame
-    meta: DataFrame
+    pixels: DataFrame | None
+    meta: DataFrame | None
     landuse: DataFrame | None
 
     def features(self, points: DataFrame) -> DataFrame:

@@ -26,6 +26,10 @@ RSSI_NAMES = ("rssi", "dn", "predicted_value")
 LOG_COLUMNS = ("id", "NodeID", "RouteInfo", "DestID", "SendTime", "SeqID", "RecvTime",
                "Latitude", "Longitude", "EncData", "RSSI")
 
+_NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)(e[+-]?[0-9]+)?$|^[+-]?(nan|inf|infinity)$"
+# Tasks a stored dataset is written by.
+WRITE_PIECES = 8
+
 _MEASUREMENT = ("longitude", "latitude", "rssi")
 
 
@@ -109,7 +113,8 @@ def _union_matching(spark: SparkSession, folder: str, resolve) -> tuple[DataFram
 
 
 def _number(c: str) -> Column:
-    return F.expr(f"try_cast(trim({c}) as double)")
+    # The cast alone would also take suffixes such as 5d.
+    return F.when(F.lower(F.trim(c)).rlike(_NUMBER), F.expr(f"try_cast(trim({c}) as double)"))
 
 
 def _numbers(df: DataFrame) -> DataFrame:
@@ -152,7 +157,10 @@ def ingest_report(spark: SparkSession, folder: str) -> DataFrame:
     """Per source: merged or why it was skipped, with kept and dropped row counts."""
     rows, skipped = _union_matching(spark, folder, _alias_names)
     numbers = _numbers(rows)
-    complete = F.col("longitude").isNotNull() & F.col("latitude").isNotNull() & F.col("rssi").isNotNull()
+    # The readers drop a cell that says NaN like a missing one.
+    complete = F.lit(True)
+    for c in _MEASUREMENT:
+        complete = complete & F.col(c).isNotNull() & ~F.isnan(c)
     counts = numbers.groupBy("source").agg(
         F.count_if(complete).alias("rows_kept"), F.count_if(~complete).alias("rows_dropped")
     )
@@ -196,8 +204,17 @@ def write_prediction(df: DataFrame, folder: str, stamp: str) -> str:
 
 
 def write_features(df: DataFrame, folder: str) -> None:
-    """Stored feature sets, one directory per dataset so that reads can skip the others."""
-    df.write.mode("append").partitionBy("dataset_id").parquet(folder)
+    """Stored feature sets, one directory per dataset so that reads can skip the others.
+
+    A dataset written again replaces what was stored of it; others stay. A dataset
+    of any size is dealt over several tasks, and each task has few datasets.
+    """
+    deal = F.pmod(F.xxhash64(*df.columns), F.lit(WRITE_PIECES))
+    (
+        df.repartition("dataset_id", deal)
+        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        .partitionBy("dataset_id").parquet(folder)
+    )
 
 
 def read_feature_sets(spark: SparkSession, folder: str, ids: Sequence[int]) -> DataFrame:
