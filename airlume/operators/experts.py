@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector
-from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
+from pyspark.ml.regression import GBTRegressor, RandomForestRegressionModel, RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -87,12 +87,25 @@ def train_experts(
 
     The loop runs over at most 30 experts; every fit is a distributed job.
     """
-    splits = materialize(splits, "splits", "expert_id")
-    fits = []
-    for e in range(k):
-        rows = train.join(splits.where(F.col("expert_id") == e).drop("expert_id"), key)
-        fits.append(Expert([_booster("target_db", max_iter, step, depth).fit(rows)]))
-    return fits
+    rows = _with_flags(train, splits, key)
+    return [Expert([_booster("target_db", max_iter, step, depth).fit(_of_expert(rows, e))]) for e in range(k)]
+
+
+def _with_flags(rows: DataFrame, splits: DataFrame, key: str) -> DataFrame:
+    """``rows`` with ``_flags``, expert to is-validation, at most 30 entries each.
+
+    One join serves the fits of all experts.
+    """
+    flags = splits.groupBy(key).agg(
+        F.map_from_entries(F.collect_set(F.struct("expert_id", "is_val"))).alias("_flags")
+    )
+    return materialize(rows.join(flags, key), "expert-rows")
+
+
+def _of_expert(rows: DataFrame, e: int) -> DataFrame:
+    """Rows in the split of expert ``e``."""
+    marked = rows.withColumn("is_val", F.try_element_at("_flags", F.lit(e)))
+    return marked.where(F.col("is_val").isNotNull()).drop("_flags")
 
 
 def fine_tune_experts(
@@ -100,11 +113,10 @@ def fine_tune_experts(
     depth: int = 2, key: str = "sample_id",
 ) -> list[Expert]:
     """Transfer: the base stays frozen, a small model learns its error on the new site."""
-    splits = materialize(splits, "splits", "expert_id")
+    rows = _with_flags(new, splits, key)
     tuned = []
     for e, expert in enumerate(experts):
-        rows = new.join(splits.where(F.col("expert_id") == e).drop("expert_id"), key)
-        missed = expert.predict(rows, "_base").withColumn("_missed", F.col("target_db") - F.col("_base"))
+        missed = expert.predict(_of_expert(rows, e), "_base").withColumn("_missed", F.col("target_db") - F.col("_base"))
         tuned.append(Expert([*expert.stages, _booster("_missed", max_iter, step, depth).fit(missed)]))
     return tuned
 
@@ -114,18 +126,11 @@ def incremental_experts(
     step: float = 0.1, depth: int = 4, key: str = "sample_id",
 ) -> list[Expert]:
     """Refit everything on old and new rows together, new rows weighing more."""
-    rows = materialize(
-        old.withColumn("_w", F.lit(1.0)).unionByName(new.withColumn("_w", F.lit(new_weight))), "refit"
-    )
-    splits = materialize(splits, "splits", "expert_id")
+    both = old.withColumn("_w", F.lit(1.0)).unionByName(new.withColumn("_w", F.lit(new_weight)))
+    rows = _with_flags(both, splits, key)
     return [
-        Expert([
-            _booster("target_db", max_iter, step, depth, "_w").fit(
-                rows.join(splits.where(F.col("expert_id") == e).drop("expert_id"), key)
-            )
-        ])
-        for e in range(k)
-    ]
+        Expert([_booster("target_db", max_iter, step, depth, "_w").fit(_of_expert(rows, e))]) for e in range(k)
+    ]
 
 
 def predict_experts(experts: Sequence[Expert], features: DataFrame, offset: Column | None = None) -> DataFrame:
@@ -139,19 +144,30 @@ def predict_experts(experts: Sequence[Expert], features: DataFrame, offset: Colu
 
 
 def kfold_oof(
-    features: DataFrame, splits: DataFrame, k: int, folds: int = 5, **options
-) -> DataFrame:
-    """Out-of-fold predictions of nonlinear experts; ``features`` has a ``fold``."""
+    features: DataFrame, splits: DataFrame, k: int, folds: int = 5, base: Sequence[Expert] | None = None,
+    **options,
+) -> DataFrame:
+    """Out-of-fold predictions of nonlinear experts; ``features`` has a ``fold``.
+
+    With ``base`` each fold fine-tunes those experts instead of starting anew.
+    """
     parts = None
     for f in range(folds):
-        experts = train_experts(features.where(F.col("fold") != f), splits, k, **options)
+        kept = features.where(F.col("fold") != f)
+        experts = (
+            train_experts(kept, splits, k, **options) if base is None
+            else fine_tune_experts(base, kept, splits, **options)
+        )
         part = predict_experts(experts, features.where(F.col("fold") == f))
         parts = part if parts is None else parts.unionByName(part)
     return parts
 
 
 def forest_parameters(n: int) -> dict[str, int]:
-    """Forest size by number of samples. Depth 30 is the deepest Spark allows."""
+    """Forest size by number of samples, for the caller to choose by.
+
+    Depth 30 is the deepest Spark allows.
+    """
     if n < 200:
         return {"numTrees": 200, "maxDepth": 4, "minInstancesPerNode": 5}
     if n < 1000:
@@ -159,21 +175,43 @@ def forest_parameters(n: int) -> dict[str, int]:
     return {"numTrees": 100, "maxDepth": 30, "minInstancesPerNode": 1}
 
 
-def judge_residual_forest(train: DataFrame, test: DataFrame, truth: str, **overrides) -> DataFrame:
-    """Learn truth minus median from the environment and add it to the test median.
+# Labelled rows a judge is fitted on, at most: its trees live on the driver and have
+# up to a leaf per row.
+JUDGE_ROWS = 100_000
+
 
-    ``train`` has ``x``, the truth and ``median_prediction`` (out-of-fold);
-    ``test`` has ``x`` and ``predicted_value``.
+def fit_judge(
+    train: DataFrame, truth: str, key: str = "sample_id", parameters: dict[str, int] | None = None,
+    max_rows: int = JUDGE_ROWS,
+) -> RandomForestRegressionModel:
+    """Forest of truth minus median by environment.
+
+    ``train`` has ``x``, the truth and ``median_prediction`` (out-of-fold). The fit
+    takes the ``max_rows`` rows with the smallest hash of ``key``; ``parameters``
+    are by default ``forest_parameters`` of their number.
     """
+    chosen = train.orderBy(F.xxhash64(key), key).limit(max_rows)
     rows = materialize(
-        train.select("x", (F.col(truth) - F.col("median_prediction")).alias("_residual")), "residuals"
+        chosen.select("x", (F.col(truth) - F.col("median_prediction")).alias("_residual")), "residuals"
     )
-    params = {**forest_parameters(rows.count()), **overrides}
-    forest = RandomForestRegressor(featuresCol="x", labelCol="_residual", seed=42, **params).fit(rows)
-    judged = forest.setPredictionCol("_shift").transform(test)
+    parameters = parameters or forest_parameters(rows.count())
+    return RandomForestRegressor(featuresCol="x", labelCol="_residual", seed=42, **parameters).fit(rows)
+
+
+def apply_judge(judge: RandomForestRegressionModel, test: DataFrame) -> DataFrame:
+    """``predicted_value_judge``: the median of ``test`` plus what the judge expects it to miss."""
+    judged = judge.setFeaturesCol("x").setPredictionCol("_shift").transform(test)
     return judged.withColumn("predicted_value_judge", F.col("predicted_value") + F.col("_shift")).drop("_shift")
 
 
+def judge_residual_forest(
+    train: DataFrame, test: DataFrame, truth: str, key: str = "sample_id",
+    parameters: dict[str, int] | None = None,
+) -> DataFrame:
+    """Fit a judge on ``train`` and apply it to ``test`` (``x`` and ``predicted_value``)."""
+    return apply_judge(fit_judge(train, truth, key, parameters), test)
+
+
 def cluster_bad_points(
     df: DataFrame, k: int, threshold: float, distance: str = "calc_dist", restarts: int = 10, seed: int = 42
 ) -> DataFrame:

@@ -29,13 +29,13 @@ def _blocked(df: DataFrame, group: Sequence[str], order: Sequence[Column | str])
     laid_out = (
         df.repartitionByRange(*keys)
         .sortWithinPartitions(*keys)
-        .withColumn("_row", F.monotonically_increasing_id())
+        .withColumn("_layout_row", F.monotonically_increasing_id())
     )
     return (
         materialize(laid_out, "blocks")
-        .withColumn("_block", F.shiftright("_row", _POSITION_BITS))
-        .withColumn("_pos", F.col("_row").bitwiseAND((1 << _POSITION_BITS) - 1))
-        .drop("_row")
+        .withColumn("_block", F.shiftright("_layout_row", _POSITION_BITS))
+        .withColumn("_pos", F.col("_layout_row").bitwiseAND((1 << _POSITION_BITS) - 1))
+        .drop("_layout_row")
     )
 
 
@@ -151,33 +151,11 @@ def shuffle_rank(
     group: Sequence[str] = (),
     rank: str = "rn",
     total: str | None = None,
-    hex_digits: int = 4,
 ) -> DataFrame:
     """Row number in a reproducible random order: md5 of seed, group and key.
 
-    Digests are uniform, so their leading digits are ready-made blocks of even
-    size. ``group`` is meant for a few members (experts); the broadcast summary
-    has at most 16**hex_digits rows per member.
+    The order is the same on every engine; blocks follow the number of rows.
     """
     parts = [F.lit(str(seed)), *[F.col(g).cast("string") for g in group], F.col(key).cast("string")]
-    tagged = df.withColumn("_digest", F.md5(F.concat_ws("-", *parts).cast("binary"))).withColumn(
-        "_block", F.conv(F.substring("_digest", 1, hex_digits), 16, 10).cast("long")
-    )
-    over = list(group) or [F.lit(0)]
-    earlier = Window.partitionBy(*over).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    per_block = tagged.groupBy(*group, "_block").agg(F.count(F.lit(1)).alias("_n"))
-    before = per_block.select(
-        *group,
-        "_block",
-        F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"),
-        F.sum("_n").over(Window.partitionBy(*over)).alias("_total"),
-    )
-    inside = Window.partitionBy(*group, "_block").orderBy("_digest", key)
-    ranked = tagged.withColumn("_pos", F.row_number().over(inside)).join(
-        F.broadcast(before), [*group, "_block"]
-    )
-    columns = [F.col(c) for c in df.columns]
-    columns.append((F.col("_before") + F.col("_pos")).cast("long").alias(rank))
-    if total:
-        columns.append(F.col("_total").alias(total))
-    return ranked.select(*columns)
+    tagged = df.withColumn("_digest", F.md5(F.concat_ws("-", *parts).cast("binary")))
+    return rank_rows(tagged, ["_digest", key], group, rank, total).drop("_digest")

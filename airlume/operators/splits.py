@@ -64,7 +64,7 @@ def expert_splits(
     members = train.select(
         key, F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("expert_id")
     )
-    ranked = shuffle_rank(members, key, seed, ["expert_id"], "_rn", "_n", hex_digits=3)
+    ranked = shuffle_rank(members, key, seed, ["expert_id"], "_rn", "_n")
     return ranked.withColumn("is_val", F.col("_rn") <= F.floor(F.lit(share) * F.col("_n"))).drop("_rn", "_n")
 
 

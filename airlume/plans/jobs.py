@@ -94,17 +94,21 @@ def transfer(
         old, _ = _train_and_test(incremental_from, 0.0, seed)
         both = members.unionByName(splits.expert_splits(old.select("row_id"), "row_id", k, seed))
         fits = experts.incremental_experts(
-            old, repeated.drop("copy"), both.dropDuplicates(["row_id", "expert_id"]), k, key="row_id", **fit
+            old, repeated.drop("copy"), both.groupBy("row_id", "expert_id").agg(F.min("is_val").alias("is_val")), k, key="row_id", **fit
         )
     return Trained(fits, test, _linear_baseline(training, members, test, k))
 
 
-def predict(fits: Sequence, features: DataFrame) -> DataFrame:
-    """Expert columns, median, spread and path-loss baselines for a feature table."""
+def predict(fits: Sequence, features: DataFrame, judge=None) -> DataFrame:
+    """Expert columns, median, spread and path-loss baselines for a feature table.
+
+    With a fitted ``judge`` also ``predicted_value_judge``.
+    """
     models = [f"model_{i}" for i in range(len(fits))]
     ready = materialize(experts.with_model_input(features).drop(*ARRAYS), "model-input")
     predicted = experts.predict_experts(fits, ready, _path_loss(ready))
-    return ensemble.with_path_losses(ensemble.ensemble_stats(predicted, models)).drop("x")
+    out = ensemble.with_path_losses(ensemble.ensemble_stats(predicted, models))
+    return (out if judge is None else experts.apply_judge(judge, out)).drop("x")
 
 
 def predict_area(areas: DataFrame, fits: Sequence, maps: Maps, folder: str, stamp: str) -> DataFrame:
@@ -115,9 +119,16 @@ def predict_area(areas: DataFrame, fits: Sequence, maps: Maps, folder: str, stam
         F.col("Longitude").alias("longitude"), F.col("Latitude").alias("latitude"),
         F.col("RSSI").cast("double").alias("rssi"),
     )
-    predicted = predict(fits, maps.features(points))
+    return predict_points(points, fits, maps, folder, stamp)
+
+
+def predict_points(
+    points: DataFrame, fits: Sequence, maps: Maps, folder: str, stamp: str, judge=None
+) -> DataFrame:
+    """Prediction for given points (sample_id, site_id, longitude, latitude, rssi), written as CSV."""
+    predicted = predict(fits, maps.features(points), judge)
     path = files.write_prediction(predicted, folder, stamp)
-    spark = areas.sparkSession
+    spark = points.sparkSession
     return spark.read.schema(predicted.schema).option("header", True).csv(path)
 
 

@@ -17,9 +17,6 @@ from airlume.sources.derived import MODEL_COLUMNS, polygons, table
 
 K = 5
 SEED = jobs.SEED
-# Small fits keep the checked runs short; real runs use the defaults.
-FIT = {"max_iter": 3, "depth": 3}
-K_FIT = 2
 
 
 def linear_rows(spark: SparkSession, sf: str) -> DataFrame:
@@ -272,7 +269,10 @@ def model_rows(spark: SparkSession, sf: str) -> DataFrame:
     return materialize(ready.drop("height", "slope", "landuse"), "model-rows")
 
 
-def _members(rows: DataFrame, k: int = K_FIT) -> DataFrame:
+_MODELS = [f"model_{i}" for i in range(K)]
+
+
+def _members(rows: DataFrame, k: int = K) -> DataFrame:
     return splits.expert_splits(rows.select("sample_id"), "sample_id", k, SEED)
 
 
@@ -283,7 +283,7 @@ def _shown(df: DataFrame) -> DataFrame:
 @query("train_experts")
 def _train_experts(spark: SparkSession, sf: str) -> DataFrame:
     rows = model_rows(spark, sf)
-    return _shown(experts.predict_experts(experts.train_experts(rows, _members(rows), K_FIT, **FIT), rows))
+    return _shown(experts.predict_experts(experts.train_experts(rows, _members(rows), K), rows))
 
 
 def _old_and_new(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -295,15 +295,15 @@ def _old_and_new(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 def _fine_tune_experts(spark: SparkSession, sf: str) -> DataFrame:
     rows = model_rows(spark, sf)
     old, new = _old_and_new(rows)
-    base = experts.train_experts(old, _members(old), K_FIT, **FIT)
-    return _shown(experts.predict_experts(experts.fine_tune_experts(base, new, _members(new), max_iter=2), rows))
+    base = experts.train_experts(old, _members(old), K)
+    return _shown(experts.predict_experts(experts.fine_tune_experts(base, new, _members(new)), rows))
 
 
 @query("incremental_experts")
 def _incremental_experts(spark: SparkSession, sf: str) -> DataFrame:
     rows = model_rows(spark, sf)
     old, new = _old_and_new(rows)
-    return _shown(experts.predict_experts(experts.incremental_experts(old, new, _members(rows), K_FIT, **FIT), rows))
+    return _shown(experts.predict_experts(experts.incremental_experts(old, new, _members(rows), K), rows))
 
 
 @query("predict_ensemble")
@@ -311,33 +311,33 @@ def _predict_ensemble(spark: SparkSession, sf: str) -> DataFrame:
     rows = surface_features(spark, sf).withColumn("target_db", F.col("rssi") + 90)
     rows = materialize(rows, "surface")
     ready = experts.with_model_input(rows)
-    fits = experts.train_experts(ready, _members(ready), K_FIT, **FIT)
+    fits = experts.train_experts(ready, _members(ready), K)
     out = jobs.predict(fits, rows)
-    return out.select("sample_id", "model_0", "model_1", "predicted_value", "uncertainty", "path_loss_eta_2", "path_loss_eta_3")
+    return out.select("sample_id", *_MODELS, "predicted_value", "uncertainty", "path_loss_eta_2", "path_loss_eta_3")
 
 
 @query("write_ensemble")
 def _write_ensemble(spark: SparkSession, sf: str) -> DataFrame:
     rows, folder = model_rows(spark, sf), new_folder(spark, "ensemble")
-    fits = experts.train_experts(rows, _members(rows), K_FIT, **FIT)
-    files.write_ensemble(fits, folder, spark, n_experts=K_FIT, channels="height,slope,landuse,freq,step")
+    fits = experts.train_experts(rows, _members(rows), K)
+    files.write_ensemble(fits, folder, spark, n_experts=K, channels="height,slope,landuse,freq,step")
     return _shown(experts.predict_experts(files.read_ensemble(spark, folder), rows))
 
 
 @query("judge_residual_forest")
 def _judge_residual_forest(spark: SparkSession, sf: str) -> DataFrame:
-    rows = splits.fold_of(model_rows(spark, sf), "sample_id", 3, SEED)
-    oof = experts.kfold_oof(materialize(rows, "folds"), _members(rows), K_FIT, 3, **FIT)
-    models = [f"model_{i}" for i in range(K_FIT)]
+    rows = splits.fold_of(model_rows(spark, sf), "sample_id", K, SEED)
+    oof = experts.kfold_oof(materialize(rows, "folds"), _members(rows), K)
+    models = [f"model_{i}" for i in range(K)]
     judged = ensemble.ensemble_stats(materialize(oof, "oof"), models)
     train = judged.withColumn("median_prediction", F.col("predicted_value"))
-    out = experts.judge_residual_forest(train, judged, "target_db", numTrees=20, maxDepth=5)
+    out = experts.judge_residual_forest(train, judged, "target_db")
     return out.select("sample_id", "predicted_value", "predicted_value_judge")
 
 
 def _clustered(spark: SparkSession, sf: str) -> DataFrame:
     d = geo.haversine(F.col("longitude"), F.col("latitude"), F.lit(133.0), F.lit(33.0))
-    return experts.cluster_bad_points(predictions(spark, sf).withColumn("calc_dist", d), 3, 4.79, restarts=3)
+    return experts.cluster_bad_points(predictions(spark, sf).withColumn("calc_dist", d), 3, 4.79)
 
 
 @query("cluster_bad_points")
@@ -386,28 +386,34 @@ def _job_rows(trained: jobs.Trained) -> DataFrame:
 
 @query("job_train")
 def _job_train(spark: SparkSession, sf: str) -> DataFrame:
-    trained = jobs.train(_all_features(spark, sf), K_FIT, **FIT)
-    files.write_ensemble(trained.experts, new_folder(spark, "ensemble"), spark, n_experts=K_FIT)
-    return _job_rows(trained)
+    trained = jobs.train(_all_features(spark, sf), K)
+    folder = new_folder(spark, "ensemble")
+    files.write_ensemble(
+        trained.experts, folder, spark, linear=trained.linear, held_out=trained.test, n_experts=K
+    )
+    stored = files.read_bundle(spark, folder)
+    return _job_rows(jobs.Trained(stored["experts"], stored["held_out"], stored["linear"]))
 
 
 @query("job_transfer")
 def _job_transfer(spark: SparkSession, sf: str) -> DataFrame:
     old, new = _old_and_new(_all_features(spark, sf))
-    base = jobs.train(old, K_FIT, **FIT)
-    return _job_rows(jobs.transfer(base.experts, new, 0.1, max_iter=2))
+    base = jobs.train(old, K)
+    return _job_rows(jobs.transfer(base.experts, new, 0.1))
+
+
+@query("job_transfer_incremental")
+def _job_transfer_incremental(spark: SparkSession, sf: str) -> DataFrame:
+    old, new = _old_and_new(_all_features(spark, sf))
+    base = jobs.train(old, K)
+    return _job_rows(jobs.transfer(base.experts, new, 0.1, incremental_from=old))
 
 
 @query("job_nearfield_finetune")
 def _job_nearfield_finetune(spark: SparkSession, sf: str) -> DataFrame:
     maps = _maps(spark, sf)
-    base = jobs.train(maps.features(table(spark, sf, "measurements")), K_FIT, **FIT)
-    # One bench per site stands for each customer's site visit.
-    visits = benches(spark, sf).groupBy("site_id").agg(
-        F.min_by("bench_id", "bench_id").alias("bench_id"), F.first("longitude").alias("longitude"),
-        F.first("latitude").alias("latitude"), F.array_sort(F.collect_set("first_rssi")).alias("rssi_list"),
-    )
-    return _job_rows(jobs.nearfield_fine_tune(visits, base.experts, maps, share=0.1, max_iter=2))
+    base = jobs.train(maps.features(table(spark, sf, "measurements")), K)
+    return _job_rows(jobs.nearfield_fine_tune(benches(spark, sf), base.experts, maps, share=0.1))
 
 
 def _site_areas(spark: SparkSession, sf: str) -> DataFrame:
@@ -422,11 +428,11 @@ def _site_areas(spark: SparkSession, sf: str) -> DataFrame:
 @query("job_predict_area")
 def _job_predict_area(spark: SparkSession, sf: str) -> DataFrame:
     maps = _maps(spark, sf)
-    trained = jobs.train(maps.features(table(spark, sf, "measurements")), K_FIT, **FIT)
+    trained = jobs.train(maps.features(table(spark, sf, "measurements")), K)
     out = jobs.predict_area(
         materialize(_site_areas(spark, sf), "areas"), trained.experts, maps, new_folder(spark, "area"), "20240101_000000"
     )
     return out.select(
-        "sample_id", "longitude", "latitude", "distance_m", "model_0", "model_1", "predicted_value", "uncertainty",
+        "sample_id", "longitude", "latitude", "distance_m", *_MODELS, "predicted_value", "uncertainty",
         "path_loss_eta_2", "path_loss_eta_3",
     )

@@ -55,3 +55,9 @@ def shuffle_width(spark: SparkSession) -> int:
         int(spark.conf.get("spark.sql.shuffle.partitions")),
         spark.sparkContext.defaultParallelism,
     )
+
+
+def remove_intermediates(spark: SparkSession) -> None:
+    """Delete what ``materialize`` wrote; results that still read it must be stored first."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/airlume")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -222,8 +222,21 @@ def read_feature_sets(spark: SparkSession, folder: str, ids: Sequence[int]) -> D
     return spark.read.parquet(folder).where(F.col("dataset_id").isin(*ids))
 
 
-def write_ensemble(experts: Sequence, folder: str, spark: SparkSession, **facts) -> None:
-    """Expert models plus a table saying which stage of which expert lies where."""
+def write_ensemble(
+    experts: Sequence, folder: str, spark: SparkSession, judge=None, linear: DataFrame | None = None,
+    held_out: DataFrame | None = None, **facts,
+) -> None:
+    """Expert models plus a table saying which stage of which expert lies where.
+
+    A fitted judge, the linear experts' results and the held-out rows go along.
+    """
+    if judge is not None:
+        judge.write().overwrite().save(f"{folder}/judge")
+    for name, rows in (("linear", linear), ("held_out", held_out)):
+        if rows is not None:
+            rows.write.mode("overwrite").parquet(f"{folder}/{name}")
+    parts = [n for n, x in (("judge", judge), ("linear", linear), ("held_out", held_out)) if x is not None]
+    facts = facts | {"parts": ",".join(parts)}
     rows = []
     for e, expert in enumerate(experts):
         for s, model in enumerate(expert.stages):
@@ -234,6 +247,20 @@ def write_ensemble(experts: Sequence, folder: str, spark: SparkSession, **facts)
     spark.createDataFrame(rows, schema).write.mode("overwrite").parquet(f"{folder}/metadata")
 
 
+def read_bundle(spark: SparkSession, folder: str) -> dict:
+    """All that ``write_ensemble`` stored: experts, facts, judge, linear and held_out (None if absent)."""
+    from pyspark.ml.regression import RandomForestRegressionModel
+
+    facts = spark.read.parquet(f"{folder}/metadata").select("facts").first()["facts"]
+    parts = facts.get("parts", "").split(",")
+    read = lambda n: spark.read.parquet(f"{folder}/{n}") if n in parts else None
+    return {
+        "experts": read_ensemble(spark, folder), "facts": facts,
+        "judge": RandomForestRegressionModel.load(f"{folder}/judge") if "judge" in parts else None,
+        "linear": read("linear"), "held_out": read("held_out"),
+    }
+
+
 def read_ensemble(spark: SparkSession, folder: str) -> list:
     from pyspark.ml.regression import GBTRegressionModel
 
