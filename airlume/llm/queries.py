@@ -176,22 +176,22 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 _OP9_SQL = r"""
 with l as (
     select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line,
-           unnest(range(len(string_split(coalesce(text, ''), chr(10))))) as at
+           unnest(range(len(string_split(coalesce(text, ''), chr(10))))) as ln
     from documents
 ), n as (
-    select *, row_number() over (partition by doc_id order by at) as place
+    select *, row_number() over (partition by doc_id order by ln) as place
     from l where regexp_matches(line, '[^\x20\x09-\x0D]')
 ), w as (
     select doc_id, place, line as a, lead(line) over r as b, lead(line, 2) over r as c
-    from n window r as (partition by doc_id order by at)
+    from n window r as (partition by doc_id order by ln)
 ), later as (
     select doc_id, place, row_number() over (partition by a, b, c order by doc_id, place) as k
     from w where c is not null
 ), gone as (
     select distinct doc_id, unnest(range(place, place + 3)) as place from later where k > 1
 ), kept as (
-    select l.doc_id, string_agg(l.line, chr(10) order by l.at) as t
-    from l left join n using (doc_id, at) left join gone on gone.doc_id = n.doc_id and gone.place = n.place
+    select l.doc_id, string_agg(l.line, chr(10) order by l.ln) as t
+    from l left join n using (doc_id, ln) left join gone on gone.doc_id = n.doc_id and gone.place = n.place
     where gone.place is null group by l.doc_id
 ), sizes as (
     select doc_id, count(*) as n_lines from n group by doc_id
