@@ -106,9 +106,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
     wanted = labels.where(F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id"))).select(
         F.col("doc_id").alias("_id"), F.col("quality").cast("int").alias("_label")
     ).distinct()
-    train = docs.select("doc_id", "text").join(wanted, F.col("doc_id") == F.col("_id")).select("_label", "text", "_id")
+    # One plan at every size: labels grow with the corpus, so they are not broadcast.
+    train = docs.select("doc_id", "text").join(wanted.hint("merge"), F.col("doc_id") == F.col("_id")).select("_label", "text")
     counts = (
-        train.select("_label", "text").mapInArrow(_count, "feature int, label int, n long")
+        train.mapInArrow(_count, "feature int, label int, n long")
         .groupBy("feature").agg(
             F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).alias("good"),
             F.sum(F.when(F.col("label") == 0, F.col("n")).otherwise(0)).alias("bad"),
