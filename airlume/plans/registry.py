@@ -15,6 +15,8 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 # Intermediate results that several oracles start from.
 PARTS: dict[str, str] = {}
+# Parts that are costly and joined by ranges: their plan must not be merged into another.
+SHARED = {"cells", "boxes", "dem_windows", "burned", "lu_windows"}
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
@@ -54,7 +56,9 @@ def with_parts(sql: str) -> str:
     for child in uses(sql):
         order += [n for n in _needed(child) if n not in order]
     plain = {n: n for n in [*PARTS, *DERIVED, *GIVEN]}
-    ctes = ",\n".join(f"{n} as ({_text(n).format(**plain)})" for n in order)
+    ctes = ",\n".join(
+        f"{n} as {'materialized ' if n in SHARED else ''}({_text(n).format(**plain)})" for n in order
+    )
     body = sql.format(**plain)
     return f"with {ctes}\n{body}" if ctes else body
 
