@@ -20,6 +20,8 @@ import tiktoken
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from airlume.llm.textblocks import slices
+
 # Code points of a chunk and of the part it shares with the next one.
 CHUNK = 16_384
 OVERLAP = 512
@@ -30,18 +32,28 @@ LOOKAHEAD = 3
 ROWS = 128
 
 
-@lru_cache(maxsize=4)
-def vocabulary(path: str, pattern: str) -> tuple[tiktoken.Encoding, list[bytes], regex.Pattern]:
-    """Encoder, bytes of every id, and the compiled pattern, once per worker."""
+def _ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    encoding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-    pieces = [b""] * (max(ranks.values()) + 1)
+        return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+
+
+@lru_cache(maxsize=2)
+def token_bytes(path: str) -> list[bytes]:
+    """Bytes of every id, once per worker."""
+    ranks = _ranks(path)
+    out = [b""] * (max(ranks.values()) + 1)
     for piece, rank in ranks.items():
-        pieces[rank] = piece
+        out[rank] = piece
+    return out
+
+
+@lru_cache(maxsize=2)
+def vocabulary(path: str, pattern: str) -> tuple[tiktoken.Encoding, regex.Pattern]:
+    """Encoder and compiled pattern, once per worker."""
+    encoding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=_ranks(path), special_tokens={})
     # \s has a few control characters more in this library than in the encoder's.
     same = pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")
-    return encoding, pieces, regex.compile(same)
+    return encoding, regex.compile(same)
 
 
 def encode(docs: DataFrame, path: str, pattern: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
@@ -76,11 +88,8 @@ def _chunks(long: DataFrame, chunk: int, overlap: int) -> DataFrame:
 def _encode_whole(path: str, pattern: str):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoding = vocabulary(path, pattern)[0]
-        for batch in batches:
-            for a in range(0, batch.num_rows, ROWS):
-                part = batch.slice(a, ROWS)
-                ids = [encoding.encode_ordinary(x) for x in part.column(1).to_pylist()]
-                yield _with_ids(part.column(0), ids)
+        for part in slices(batches, ROWS):
+            yield _with_ids(part.column(0), [encoding.encode_ordinary(x) for x in part.column(1).to_pylist()])
 
     return work
 
@@ -91,7 +100,7 @@ def _with_ids(doc_id: pa.Array, ids: list[list[int]]) -> pa.RecordBatch:
 
 def _encode_chunks(path: str, pattern: str):
     def work(table: pa.Table) -> pa.Table:
-        encoding, _, split = vocabulary(path, pattern)
+        encoding, split = vocabulary(path, pattern)
         table = table.sort_by("start")
         chunks = list(zip(table.column("start").to_pylist(), table.column("part").to_pylist(), strict=True))
         ids: list[int] = []
@@ -148,19 +157,17 @@ def _meeting(part: str, cuts: list[int], ahead: list[int], shift: int, begin: in
     return None
 
 
-def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
+def decode(encoded: DataFrame, path: str) -> DataFrame:
     """``encoded`` (doc_id, ids) with ``data``: the bytes of its ids one after another.
 
     Null ids decode to no bytes; an id that the vocabulary lacks is an error.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = vocabulary(path, pattern)[1]
-        for batch in batches:
-            for a in range(0, batch.num_rows, ROWS):
-                part = batch.slice(a, ROWS)
-                data = [b"".join(map(table.__getitem__, x)) if x else b"" for x in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(data, pa.binary())], names=["doc_id", "ids", "data"])
+        table = token_bytes(path)
+        for part in slices(batches, ROWS):
+            data = [b"".join(map(table.__getitem__, x)) if x else b"" for x in part.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(data, pa.binary())], names=["doc_id", "ids", "data"])
 
     return encoded.select("doc_id", "ids").mapInArrow(work, "doc_id long, ids array<int>, data binary")
 

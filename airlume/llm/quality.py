@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from airlume.llm.textblocks import Words, blocks, mixed
+from airlume.llm.textblocks import Words, blocks, mixed, slices
 
 # n-grams are hashed to so many features, which bounds model and statistics.
 FEATURE_BITS = 18
@@ -181,7 +181,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         found = [f.tobytes() for _, block in _blocks([batch]) for f in block]
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), batch.column(2), pa.array(found, pa.binary())], names=["label", "id", "found"]
@@ -200,7 +200,7 @@ def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
     at = names.index("text")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             keyed = pa.RecordBatch.from_arrays([pa.array(range(batch.num_rows)), batch.column(at)], names=["row", "text"])
             margins = [shared.value.margin(f) for _, block in _blocks([keyed]) for f in block]
             scores = 1 / (1 + np.exp(-SLOPE * np.array(margins, float)))

@@ -127,7 +127,7 @@ from d left join kept using (doc_id)
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
     ids = bpe.encode(table(spark, sf_dir, "documents"), path, pattern)
-    return bpe.decode(ids, path, pattern).select(
+    return bpe.decode(ids, path).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         bpe.decimal_digest(F.col("ids")).alias("ids_sha256"),

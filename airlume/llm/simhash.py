@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from airlume.llm.components import components
-from airlume.llm.textblocks import encoded
+from airlume.llm.textblocks import encoded, slices
 from airlume.operators.skew import salted_join
 from airlume.session import materialize
 
@@ -71,7 +71,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id and the 64-bit SimHash of each whole text, as a signed long."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             prints = np.array([simhash(x) for x in encoded(batch.column(1))], np.uint64)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(prints.view(np.int64))], names=["doc_id", "fingerprint"]

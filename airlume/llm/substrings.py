@@ -33,12 +33,14 @@ GRAM = WINDOW - (PERIOD - 1)
 # Bytes of input files for one bucket of hashes and of documents.
 BUCKET_BYTES = 4 << 20
 MIN_BUCKETS = 64
+# Bytes of text whose entries are folded and packed together.
+BLOCK_BYTES = 4 << 20
 
 _PACKED = "bucket int, known boolean, docs binary, low binary, high binary"
 _SEEDS = (11, 13)
 
 
-def remove_repeats(docs: DataFrame, buckets: int | None = None) -> DataFrame:
+def remove_repeats(docs: DataFrame, buckets: int | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, n_words, n_removed and kept_text of every row of ``docs`` (doc_id, text).
 
     Words are ``[^\\x20\\x09-\\x0D]+``; a window is 13 consecutive ones of a row.
@@ -47,13 +49,14 @@ def remove_repeats(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     empty texts have no words. Rows without doc_id stand behind all others, and
     rows that share one never remove each other. Other columns are ignored; an
     empty table gives none. ``buckets`` (by default from the size of the input
-    files) sets how finely hashes and documents are dealt, not the result.
+    files) sets how finely hashes and documents are dealt, ``block_bytes`` how many
+    texts are packed together; neither changes the result.
     """
     n = buckets or max(MIN_BUCKETS, -(-text_bytes(docs) // BUCKET_BYTES))
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     dealt = source.select(_owner_column(n).alias("bucket"), "doc_id", "text")
 
-    anchors = source.mapInArrow(_pack_anchors(n), _PACKED)
+    anchors = source.mapInArrow(_pack_anchors(n, block_bytes), _PACKED)
     shared = anchors.groupBy("bucket").applyInArrow(_settle(n, both=True), _PACKED)
     windows = (
         dealt.groupBy("bucket").cogroup(shared.groupBy("bucket")).applyInArrow(_pack_windows(n), _PACKED)
@@ -72,9 +75,9 @@ def _anchor_hashes(words: Words) -> tuple[np.ndarray, np.ndarray]:
     return at, words.grams(words.hashes(_SEEDS[0]), GRAM, _SEEDS[0])[at]
 
 
-def _pack_anchors(buckets: int):
+def _pack_anchors(buckets: int, block_bytes: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts in blocks(batches):
+        for ids, texts in blocks(batches, block_bytes):
             words = Words.of(texts)
             at, low = _anchor_hashes(words)
             yield from _folded(ids[words.doc[at]], low, np.zeros(0, np.uint64), buckets, both=True)

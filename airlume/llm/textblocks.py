@@ -15,9 +15,11 @@ import numpy as np
 import pyarrow as pa
 
 # Bytes of text worked on together; a longer text is a block of its own.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
 # Bytes hashed by one cumulative sum.
-SEGMENT_BYTES = 1 << 20
+SEGMENT_BYTES = 1 << 17
+# Rows of a batch turned into Python objects at a time.
+ROWS = 256
 # A row without an id stands behind all others.
 NO_ID = np.iinfo(np.int64).max
 
@@ -25,14 +27,16 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
-def blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, list[bytes]]]:
-    """(ids, texts) of at most about BLOCK_BYTES from batches of (id, text); nulls are empty."""
+def blocks(
+    batches: Iterable[pa.RecordBatch], block_bytes: int = BLOCK_BYTES
+) -> Iterator[tuple[np.ndarray, list[bytes]]]:
+    """(ids, texts) of at most about ``block_bytes`` from batches of (id, text); nulls are empty."""
     ids: list[int] = []
     texts: list[bytes] = []
     held = 0
-    for batch in batches:
+    for batch in slices(batches):
         for key, text in zip(batch.column(0).to_pylist(), encoded(batch.column(1)), strict=True):
-            if held and held + len(text) > BLOCK_BYTES:
+            if held and held + len(text) > block_bytes:
                 yield np.array(ids, np.int64), texts
                 ids, texts, held = [], [], 0
             ids.append(NO_ID if key is None else key)
@@ -42,6 +46,13 @@ def blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, list
         yield np.array(ids, np.int64), texts
 
 
+def slices(batches: Iterable[pa.RecordBatch], rows: int = ROWS) -> Iterator[pa.RecordBatch]:
+    """Batches of at most ``rows`` rows; texts are long, so Spark's own are large."""
+    for batch in batches:
+        for a in range(0, batch.num_rows, rows):
+            yield batch.slice(a, rows)
+
+
 def encoded(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     """UTF-8 bytes of a text column, empty for null."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

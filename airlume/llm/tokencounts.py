@@ -76,7 +76,7 @@ def trie_counts(words: list[str], path: str) -> dict[str, int]:
     return out
 
 
-def count_tokens(docs: DataFrame, path: str) -> DataFrame:
+def count_tokens(docs: DataFrame, path: str, keep: int = KEEP) -> DataFrame:
     """doc_id, n_pretokens and n_tokens of every row of ``docs`` (doc_id, text).
 
     Pre-tokens are runs of other than ``[\\x20\\x09-\\x0D]`` in the whole text, each
@@ -84,7 +84,8 @@ def count_tokens(docs: DataFrame, path: str) -> DataFrame:
     by the pieces at ``path`` (present on every executor). Null and empty texts
     have none. Rows that share a doc_id or have none are counted each on its own.
     Other columns are ignored; an empty table gives none. Nothing is shuffled: a
-    trie holds the pre-tokens of a bounded block.
+    trie holds the pre-tokens of a bounded block, and a worker keeps the counts of up to
+    ``keep`` of them from block to block.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,7 +101,7 @@ def count_tokens(docs: DataFrame, path: str) -> DataFrame:
                 part = batch.slice(at, to - at)
                 bags = [Counter(x.split()) for x in part.column(1).cast(pa.binary()).to_pylist()]
                 new = set().union(*bags).difference(known)
-                if len(known) + len(new) > KEEP:
+                if len(known) + len(new) > keep:
                     known, new = {}, set().union(*bags)
                 named = {SPACE + w.decode(): w for w in new}
                 known.update((named[w], n) for w, n in trie_counts(list(named), path).items())

@@ -41,7 +41,7 @@ def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids, and whether decoding them gives the text back."""
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    ids = bpe.decode(bpe.encode(docs, path, pattern), path, pattern)
+    ids = bpe.decode(bpe.encode(docs, path, pattern), path)
     return ids.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids",
         F.sha2("data", 256).alias("decoded_sha256"),

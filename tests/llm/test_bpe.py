@@ -18,7 +18,7 @@ def _strings():
 
 
 def test_pieces_meet_at_boundaries_of_the_whole_text():
-    encoding, _, split = vocabulary(PATH, PATTERN)
+    encoding, split = vocabulary(PATH, PATTERN)
     for text in _strings():
         whole = set(boundaries(text, split)) | {len(text)}
         for chunk, overlap in ((40, 4), (41, 12), (100, 50)):
@@ -36,13 +36,13 @@ def test_pieces_meet_at_boundaries_of_the_whole_text():
 
 @pytest.mark.parametrize(("chunk", "overlap"), [(16_384, 512), (30, 5), (64, 40)])
 def test_equals_the_library_and_comes_back(spark, texts, chunk, overlap):
-    encoding, _, _ = vocabulary(PATH, PATTERN)
+    encoding, _ = vocabulary(PATH, PATTERN)
     rows = list(enumerate(_strings())) + [(50, None), (51, ""), (52, "twice " * 9), (52, "twice " * 9), (None, "no id " * 20)]
     rows.append((60, " ".join(_strings()) * 12))
-    got = decode(encode(texts(rows), PATH, PATTERN, chunk, overlap), PATH, PATTERN).collect()
+    got = decode(encode(texts(rows), PATH, PATTERN, chunk, overlap), PATH).collect()
     want = sorted(((i, encoding.encode_ordinary(t or ""), (t or "").encode()) for i, t in rows), key=str)
     assert sorted(((r.doc_id, r.ids, bytes(r.data)) for r in got), key=str) == want
 
 
 def test_empty_table(spark, texts):
-    assert decode(encode(texts([]), PATH, PATTERN), PATH, PATTERN).count() == 0
+    assert decode(encode(texts([]), PATH, PATTERN), PATH).count() == 0

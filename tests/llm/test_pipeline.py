@@ -35,7 +35,7 @@ def test_each_stage_equals_brute_force_on_its_input(spark):
         # So few documents need not hold near copies that are not exact ones.
         assert 0 < len(kept) < len(rows) or name == "simhash near-dedup", name
         rows = kept
-    encoding, _, _ = vocabulary(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    encoding, _ = vocabulary(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     want = {i: (encoding.encode_ordinary(r.text), hashlib.sha256(r.text.encode()).hexdigest()) for i, r in rows.items()}
     got = {r.doc_id: (r.ids, r.decoded_sha256) for r in corpus_pipeline.run(spark, SF).collect()}
     assert got == want

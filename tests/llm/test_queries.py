@@ -24,7 +24,7 @@ def test_matches_sql(spark, name):
 
 
 def test_bpe_digests(spark):
-    encoding, _, _ = vocabulary(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    encoding, _ = vocabulary(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     sha = lambda b: hashlib.sha256(b).hexdigest()
     want = []
     for r in spark.read.parquet(f"{SF}/documents.parquet").collect():

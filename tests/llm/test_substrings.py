@@ -75,7 +75,6 @@ def test_equals_brute_force(spark, texts):
     assert remove_repeats(texts([])).count() == 0
 
 
-def test_small_blocks(spark, texts, monkeypatch):
-    monkeypatch.setattr(textblocks, "BLOCK_BYTES", 500)
+def test_small_blocks(spark, texts):
     rows = _cases()[:90]
-    assert _rows(remove_repeats(texts(rows))) == _plain(rows)
+    assert _rows(remove_repeats(texts(rows), block_bytes=500)) == _plain(rows)

@@ -33,12 +33,11 @@ def test_trie_equals_brute_force():
     assert trie_counts(words, PATH) == {w: _plain(w) for w in words}
 
 
-def test_counts_of_whole_texts(spark, texts, monkeypatch):
+def test_counts_of_whole_texts(spark, texts):
     words = _words()
     rows = [(0, None), (1, ""), (2, " \n"), (3, " ".join(words)), (3, " ".join(words)), (None, "the\tthem\x0btheme"), (4, "the " * 50_000)]
     want = sorted(((i, len((t or "").encode().split()), sum(_plain(SPACE + w.decode()) for w in (t or "").encode().split()[:400]) if i != 4 else 50_000 * _plain(SPACE + "the")) for i, t in rows), key=str)
     for keep in (tokencounts.KEEP, 10):
-        monkeypatch.setattr(tokencounts, "KEEP", keep)
-        got = count_tokens(texts(rows), PATH).collect()
+        got = count_tokens(texts(rows), PATH, keep).collect()
         assert sorted(((r.doc_id, r.n_pretokens, r.n_tokens) for r in got), key=str) == want
     assert count_tokens(texts([]), PATH).count() == 0
