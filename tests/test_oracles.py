@@ -5,10 +5,10 @@ from __future__ import annotations
 import pytest
 
 import __spark_entry__ as contract
+from airlume.plans.catalog import ORACLES, QUERIES
 from oracle import compare, connect
 
 SF = "/root/testdata/sf0.001"
-QUERIES, ORACLES = contract.queries(), contract.oracle_sql()
 # Jobs that train models several times are left to tests/oracle.py.
 SLOW = {n for n in QUERIES if n not in ORACLES and not n.startswith("cluster_")} - {"train_experts"}
 
