@@ -132,75 +132,46 @@ def _templates(counts: DataFrame) -> DataFrame:
     """(host, _parts) with template and smoothed share of blocked urls."""
     shapes = counts.withColumn("_name", F.col("_parts"))
     for level in range(LEVELS):
-        shapes = _widened(shapes, level)
-    for level in reversed(range(LEVELS)):
-        shapes = _merged(shapes, level)
-    # Purity, from the widest template down: everywhere, the first segments in all
-    # hosts, the host, then each longer beginning of the template within the host.
-    shares = shapes.withColumn("_share", F.lit(PRIOR))
-    first = F.get("_name", F.lit(0))
-    everywhere = [F.lit(0)]
-    shared = [F.coalesce(first, F.lit(""))]
-    within = [[F.col("host"), *[F.coalesce(F.get("_name", F.lit(i)), F.lit("")) for i in range(level)]] for level in range(LEVELS + 1)]
-    for keys in (everywhere, shared, *within):
-        shares = _smoothed(shares, keys)
+        shapes = _generalised(shapes, level)
+    shapes = materialize(shapes, "url-names")
+    # Purity, from the widest template down: everywhere, the first segment on all
+    # hosts, the host, the whole template. Each is the prior of the next.
+    total = shapes.agg(F.sum("_labelled").alias("n"), F.sum("_blocked").alias("b")).first()
+    share = _smoothed(F.lit(total["b"] or 0), F.lit(total["n"] or 0), F.lit(PRIOR))
+    first = shapes.withColumn("_first", F.coalesce(F.get("_name", F.lit(0)), F.lit("")))
+    for k, keys in enumerate((["_first"], ["host"], ["host", "_name"])):
+        sums = first.groupBy(*keys).agg(F.sum("_labelled").alias(f"_n{k}"), F.sum("_blocked").alias(f"_b{k}"))
+        shapes = (first if k == 0 else shapes).join(sums, keys)
+        share = _smoothed(F.col(f"_b{k}"), F.col(f"_n{k}"), share)
     template = F.concat(F.col("host"), F.lit("/"), F.array_join("_name", "/"))
-    return shares.select(
-        F.xxhash64("host", "_parts").alias("_key"), "host", "_parts", template.alias("_template"), "_share"
+    return shapes.select(
+        F.xxhash64("host", "_parts").alias("_key"), "host", "_parts", template.alias("_template"), share.alias("_share")
     )
 
 
-def _keyed(shapes: DataFrame, keys: list[Column]) -> tuple[DataFrame, list[str]]:
-    names = [f"_k{i}" for i in range(len(keys))]
-    return shapes.withColumns(dict(zip(names, keys, strict=True))), names
+def _smoothed(blocked: Column, labelled: Column, prior: Column) -> Column:
+    return (blocked + PRIOR_WEIGHT * prior) / (labelled + PRIOR_WEIGHT)
 
 
-def _prefix(level: int) -> list[Column]:
-    """Host and the segments above ``level``."""
-    return [F.col("host"), F.slice("_name", 1, level)] if level else [F.col("host"), F.array().cast("array<string>")]
+def _generalised(shapes: DataFrame, level: int) -> DataFrame:
+    """Segments at ``level`` that vary, or whose branches are alike, become a wildcard.
 
-
-def _replaced(level: int, value: Column) -> Column:
-    return F.transform("_name", lambda s, i: F.when(i == level, value).otherwise(s))
-
-
-def _widened(shapes: DataFrame, level: int) -> DataFrame:
-    """Children become one wildcard where a node has more than MAX_CHILDREN of them."""
-    keyed, names = _keyed(shapes, _prefix(level))
-    at = F.get("_name", F.lit(level))
-    children = keyed.select(*names, at.alias("_c")).where("_c is not null").distinct()
-    wide = children.groupBy(*names).agg(F.count(F.lit(1)).alias("_n_children")).where(F.col("_n_children") > MAX_CHILDREN)
-    wide = wide.select(*names, F.lit(True).alias("_wide"))
-    out = salted_join(keyed, materialize(wide, "url-wide"), names, "left")
-    name = F.when(F.col("_wide") & at.isNotNull(), _replaced(level, F.lit("*"))).otherwise(F.col("_name"))
-    return out.withColumn("_name", name).drop("_wide", *names)
-
-
-def _merged(shapes: DataFrame, level: int) -> DataFrame:
-    """Sibling branches whose block rates are alike become one wildcard branch.
-
-    A branch is compared with the mean of all its siblings; those within ALIKE
-    standard errors of it, and with a label, are merged.
+    All children of a node with more than MAX_CHILDREN do. Of other siblings those
+    do whose block rate lies within ALIKE standard errors of the rate of the node.
     """
-    keyed, names = _keyed(shapes, _prefix(level))
-    keyed = keyed.withColumn("_c", F.get("_name", F.lit(level)))
-    branch = keyed.where("_c is not null").groupBy(*names, "_c").agg(F.sum("_labelled").alias("_bl"), F.sum("_blocked").alias("_bb"))
-    node = branch.groupBy(*names).agg(F.sum("_bl").alias("_nl"), F.sum("_bb").alias("_nb"), F.count(F.lit(1)).alias("_nc"))
-    both = salted_join(branch, materialize(node, "url-nodes"), names)
-    rate, mean = F.col("_bb") / F.col("_bl"), (F.col("_nb") + 1) / (F.col("_nl") + 2)
-    alike = (F.col("_nc") > 1) & (F.col("_bl") > 0) & (
-        F.abs(rate - mean) <= ALIKE * F.sqrt(mean * (1 - mean) / F.col("_bl"))
+    node = ["host", "_above"]
+    keyed = shapes.withColumns({"_above": F.slice("_name", 1, level), "_child": F.get("_name", F.lit(level))})
+    branch = keyed.where("_child is not null").groupBy(*node, "_child").agg(
+        F.sum("_labelled").alias("_n_branch"), F.sum("_blocked").alias("_b_branch")
+    )
+    whole = branch.groupBy(*node).agg(
+        F.count(F.lit(1)).alias("_children"), F.sum("_n_branch").alias("_n_node"), F.sum("_b_branch").alias("_b_node")
     )
-    merge = materialize(both.where(alike).select(*names, "_c", F.lit(True).alias("_alike")), "url-alike")
-    out = salted_join(keyed, merge, [*names, "_c"], "left")
-    name = F.when(F.col("_alike"), _replaced(level, F.lit("*"))).otherwise(F.col("_name"))
-    return out.withColumn("_name", name).drop("_alike", "_c", *names)
-
-
-def _smoothed(shares: DataFrame, keys: list[Column]) -> DataFrame:
-    """Share of blocked urls of the template ``keys``, with the share above as prior."""
-    keyed, names = _keyed(shares, keys)
-    sums = keyed.groupBy(*names).agg(F.sum("_labelled").alias("_tl"), F.sum("_blocked").alias("_tb"))
-    joined = salted_join(keyed, materialize(sums, "url-shares"), names)
-    share = (F.col("_tb") + PRIOR_WEIGHT * F.col("_share")) / (F.col("_tl") + PRIOR_WEIGHT)
-    return joined.withColumn("_share", share).drop("_tl", "_tb", *names)
+    n = F.col("_n_branch")
+    rate, mean = F.try_divide("_b_branch", "_n_branch"), (F.col("_b_node") + 1) / (F.col("_n_node") + 2)
+    alike = (F.col("_children") > 1) & (n > 0) & (F.abs(rate - mean) <= ALIKE * F.sqrt(F.try_divide(mean * (1 - mean), n)))
+    folded = branch.join(whole, node).where((F.col("_children") > MAX_CHILDREN) | alike)
+    folded = materialize(folded.select(*node, "_child", F.lit(True).alias("_fold")), "url-folds")
+    out = salted_join(keyed, folded, [*node, "_child"], "left")
+    name = F.transform("_name", lambda s, i: F.when(i == level, F.lit("*")).otherwise(s))
+    return out.withColumn("_name", F.when(F.col("_fold"), name).otherwise(F.col("_name"))).drop("_fold", "_above", "_child")
