@@ -133,9 +133,9 @@ PARTS["lu_mode"] = """
           from {lu_pixels} group by sample_id, cell_idx, type) t
     where k = 1"""
 PARTS["cell_values"] = """
-    select c.*, coalesce(d.alt, avg(d.alt) over (partition by c.site_id)) + coalesce(b.bh, 0e0) dn_cell,
+    select c.*, coalesce(d.alt, avg(d.alt) over (partition by c.site_id), 0e0) + coalesce(b.bh, 0e0) dn_cell,
            coalesce(u.type, 20) type
-    from {cells} c join {dem_max} d on d.sample_id = c.sample_id and d.cell_idx = c.cell_idx
+    from {cells} c left join {dem_max} d on d.sample_id = c.sample_id and d.cell_idx = c.cell_idx
     left join {box_heights} b on b.sample_id = c.sample_id and b.cell_idx = c.cell_idx
     left join {lu_mode} u on u.sample_id = c.sample_id and u.cell_idx = c.cell_idx"""
 _HEIGHT = """
