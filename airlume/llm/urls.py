@@ -1,9 +1,10 @@
 """URL verdicts from fixed rules and, where none fits, from a tree of path templates.
 
 Each host has a tree of path segments. Segments that vary (numbers, long codes, and
-all children of a node with too many of them) become wildcards, and sibling
-branches with statistically alike labels are merged. A template is rejected by its
-labelled purity, smoothed toward the purity of the wider templates above it.
+the unlabelled children of a node with many) become wildcards, and sibling branches
+with statistically alike labels are merged. A branch whose labels differ stays, however
+many siblings it has. A template is rejected by its labelled purity, smoothed toward the
+purity of the wider templates above it.
 """
 
 from __future__ import annotations
@@ -18,9 +19,12 @@ from airlume.session import materialize
 
 # A segment is variable where this share of its characters are digits ...
 DIGIT_SHARE = 0.3
-# ... or it is this long, or its parent has more than this many children.
+# ... or it is this long, or has no labels and its parent more than this many children.
 LONG_SEGMENT = 24
 MAX_CHILDREN = 32
+# Name of merged siblings; a path has no "?", so it is free where a variable child
+# stays apart under its own "*".
+MERGED, OTHERS = "*", "?"
 # Levels of the tree that templates keep apart; deeper ones fold into the last.
 LEVELS = 4
 # Labelled urls the wider template counts for.
@@ -154,24 +158,33 @@ def _smoothed(blocked: Column, labelled: Column, prior: Column) -> Column:
 
 
 def _generalised(shapes: DataFrame, level: int) -> DataFrame:
-    """Segments at ``level`` that vary, or whose branches are alike, become a wildcard.
+    """Siblings at ``level`` whose labels do not tell them apart become a wildcard.
 
-    All children of a node with more than MAX_CHILDREN do. Of other siblings those
-    do whose block rate lies within ALIKE standard errors of the rate of the node.
+    Children do whose block rate lies within ALIKE standard errors of the rate of the
+    node, and children without labels of a node with more than MAX_CHILDREN. Those
+    whose rate differs stay at any number of children.
     """
     node = ["host", "_above"]
     keyed = shapes.withColumns({"_above": F.slice("_name", 1, level), "_child": F.get("_name", F.lit(level))})
     branch = keyed.where("_child is not null").groupBy(*node, "_child").agg(
         F.sum("_labelled").alias("_n_branch"), F.sum("_blocked").alias("_b_branch")
     )
+    variable = F.col("_child") == MERGED
     whole = branch.groupBy(*node).agg(
-        F.count(F.lit(1)).alias("_children"), F.sum("_n_branch").alias("_n_node"), F.sum("_b_branch").alias("_b_node")
+        F.count(F.lit(1)).alias("_children"), F.sum("_n_branch").alias("_n_node"), F.sum("_b_branch").alias("_b_node"),
+        F.coalesce(F.sum(F.when(variable, F.col("_n_branch"))), F.lit(0)).alias("_n_variable"),
+        F.coalesce(F.sum(F.when(variable, F.col("_b_branch"))), F.lit(0)).alias("_b_variable"),
     )
+    mean = (F.col("_b_node") + 1) / (F.col("_n_node") + 2)
+
+    def alike(b: str, n: str) -> Column:
+        return F.abs(F.try_divide(b, n) - mean) <= ALIKE * F.sqrt(F.try_divide(mean * (1 - mean), F.col(n)))
+
     n = F.col("_n_branch")
-    rate, mean = F.try_divide("_b_branch", "_n_branch"), (F.col("_b_node") + 1) / (F.col("_n_node") + 2)
-    alike = (F.col("_children") > 1) & (n > 0) & (F.abs(rate - mean) <= ALIKE * F.sqrt(F.try_divide(mean * (1 - mean), n)))
-    folded = branch.join(whole, node).where((F.col("_children") > MAX_CHILDREN) | alike)
-    folded = materialize(folded.select(*node, "_child", F.lit(True).alias("_fold")), "url-folds")
+    folds = (F.col("_children") > 1) & F.when(n > 0, alike("_b_branch", "_n_branch")).otherwise(F.col("_children") > MAX_CHILDREN)
+    apart = (F.col("_n_variable") > 0) & ~F.coalesce(alike("_b_variable", "_n_variable"), F.lit(True))
+    folded = branch.join(whole, node).where(folds)
+    folded = materialize(folded.select(*node, "_child", F.when(apart, OTHERS).otherwise(MERGED).alias("_fold")), "url-folds")
     out = salted_join(keyed, folded, [*node, "_child"], "left")
-    name = F.transform("_name", lambda s, i: F.when(i == level, F.lit("*")).otherwise(s))
-    return out.withColumn("_name", F.when(F.col("_fold"), name).otherwise(F.col("_name"))).drop("_fold", "_above", "_child")
+    name = F.transform("_name", lambda s, i: F.when(i == level, F.col("_fold")).otherwise(s))
+    return out.withColumn("_name", F.when(F.col("_fold").isNotNull(), name).otherwise(F.col("_name"))).drop("_fold", "_above", "_child")

@@ -60,3 +60,20 @@ def test_many_children_and_like_branches_become_wildcards(spark):
     rows = [(i, f"http://c.io/{'pq'[i % 2]}/x{i}") for i in range(40)]
     rules = [Rule("c.io", "/p/x1", True), Rule("c.io", "/p/", True), Rule("c.io", "/q/", True)]
     assert {r.template for r in judge(_pages(spark, rows), rules).collect()} == {"c.io/*/*"}
+
+
+def test_a_branch_that_differs_stays_among_many(spark):
+    ads = [f"http://d.io/ads/{w}{k}" for k in range(300) for w in ("x", "y")]
+    others = [f"http://d.io/{chr(97 + i % 26)}{chr(97 + i // 26)}-word/{w}{k}" for i in range(40) for k in range(4) for w in ("x", "y")]
+    got = judge(_pages(spark, list(enumerate(ads + others))), [Rule("d.io", "/ads/x", False), *(Rule("d.io", u[len("http://d.io") :], True) for u in others if "/x" in u)]).collect()
+    assert {(r.path.startswith("/ads/"), r.verdict) for r in got} == {(True, "block"), (False, "allow")}
+    assert {r.template for r in got if r.path.startswith("/ads/")} == {"d.io/ads/*"}
+
+
+def test_a_variable_child_that_differs_is_not_merged_with_its_siblings(spark):
+    rows = [f"http://e.io/{1000 + i}/{w}" for i in range(300) for w in ("x", "y")]
+    rows += [f"http://e.io/{chr(97 + i % 26)}{chr(97 + i // 26)}/{w}" for i in range(40) for w in ("y", "z")]
+    rules = [Rule("e.io", f"/{d}", False) for d in range(1, 10)] + [Rule("e.io", f"/{chr(97 + i)}a/y", True) for i in range(20)]
+    got = judge(_pages(spark, list(enumerate(rows))), rules).collect()
+    assert {r.template.split("/")[1] for r in got if r.path[1].isdigit()} == {"*"}
+    assert not {r.template.split("/")[1] for r in got if not r.path[1].isdigit()} & {"*"}
