@@ -10,6 +10,7 @@ purity of the wider templates above it.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,8 +26,6 @@ MAX_CHILDREN = 32
 # Name of merged siblings; a path has no "?", so it is free where a variable child
 # stays apart under its own "*".
 MERGED, OTHERS = "*", "?"
-# Levels of the tree that templates keep apart; deeper ones fold into the last.
-LEVELS = 4
 # Labelled urls the wider template counts for.
 PRIOR_WEIGHT = 4.0
 # Share of blocked urls everywhere, before any label is seen.
@@ -115,12 +114,8 @@ def _longest(rules: list[Rule]) -> Column:
 
 
 def segments(path: Column) -> Column:
-    """Segments of a path, variable ones as ``*``, at most LEVELS of them."""
-    parts = F.filter(F.split(path, "/"), lambda s: s != "")
-    shaped = F.transform(parts, _shape)
-    return F.when(F.size(shaped) <= LEVELS, shaped).otherwise(
-        F.concat(F.slice(shaped, 1, LEVELS - 1), F.array(F.lit("**")))
-    )
+    """All segments of a path, variable ones as ``*``."""
+    return F.transform(F.filter(F.split(path, "/"), lambda s: s != ""), _shape)
 
 
 def _shape(segment: Column) -> Column:
@@ -134,10 +129,7 @@ def _shape(segment: Column) -> Column:
 
 def _templates(counts: DataFrame) -> DataFrame:
     """(host, _parts) with template and smoothed share of blocked urls."""
-    shapes = counts.withColumn("_name", F.col("_parts"))
-    for level in range(LEVELS):
-        shapes = _generalised(shapes, level)
-    shapes = materialize(shapes, "url-names")
+    shapes = materialize(_named(counts), "url-names")
     # Purity, from the widest template down: everywhere, the first segment on all
     # hosts, the host, the whole template. Each is the prior of the next.
     total = shapes.agg(F.sum("_labelled").alias("n"), F.sum("_blocked").alias("b")).first()
@@ -153,6 +145,25 @@ def _templates(counts: DataFrame) -> DataFrame:
     )
 
 
+def _named(counts: DataFrame) -> DataFrame:
+    """``counts`` with the generalised segments of each shape as _name.
+
+    One pass per level, as long as shapes share a node there. A shape that ends
+    above the level, or is the only one below its node, has its name.
+    """
+    going, done = counts.withColumn("_name", F.col("_parts")), []
+    level = 0
+    while True:
+        done.append(going.where(F.size("_parts") <= level))
+        going = going.where(F.size("_parts") > level)
+        if going.isEmpty():
+            return reduce(DataFrame.unionByName, done)
+        passed = materialize(_generalised(going, level), "url-level")
+        done.append(passed.where("_alone").drop("_alone"))
+        going = passed.where("not _alone").drop("_alone")
+        level += 1
+
+
 def _smoothed(blocked: Column, labelled: Column, prior: Column) -> Column:
     return (blocked + PRIOR_WEIGHT * prior) / (labelled + PRIOR_WEIGHT)
 
@@ -162,16 +173,18 @@ def _generalised(shapes: DataFrame, level: int) -> DataFrame:
 
     Children do whose block rate lies within ALIKE standard errors of the rate of the
     node, and children without labels of a node with more than MAX_CHILDREN. Those
-    whose rate differs stay at any number of children.
+    whose rate differs stay at any number of children. ``_alone`` says that no other
+    shape is below the node.
     """
     node = ["host", "_above"]
     keyed = shapes.withColumns({"_above": F.slice("_name", 1, level), "_child": F.get("_name", F.lit(level))})
     branch = keyed.where("_child is not null").groupBy(*node, "_child").agg(
-        F.sum("_labelled").alias("_n_branch"), F.sum("_blocked").alias("_b_branch")
+        F.sum("_labelled").alias("_n_branch"), F.sum("_blocked").alias("_b_branch"), F.count(F.lit(1)).alias("_shapes_branch")
     )
     variable = F.col("_child") == MERGED
     whole = branch.groupBy(*node).agg(
-        F.count(F.lit(1)).alias("_children"), F.sum("_n_branch").alias("_n_node"), F.sum("_b_branch").alias("_b_node"),
+        F.count(F.lit(1)).alias("_children"), F.sum("_shapes_branch").alias("_shapes"),
+        F.sum("_n_branch").alias("_n_node"), F.sum("_b_branch").alias("_b_node"),
         F.coalesce(F.sum(F.when(variable, F.col("_n_branch"))), F.lit(0)).alias("_n_variable"),
         F.coalesce(F.sum(F.when(variable, F.col("_b_branch"))), F.lit(0)).alias("_b_variable"),
     )
@@ -183,8 +196,12 @@ def _generalised(shapes: DataFrame, level: int) -> DataFrame:
     n = F.col("_n_branch")
     folds = (F.col("_children") > 1) & F.when(n > 0, alike("_b_branch", "_n_branch")).otherwise(F.col("_children") > MAX_CHILDREN)
     apart = (F.col("_n_variable") > 0) & ~F.coalesce(alike("_b_variable", "_n_variable"), F.lit(True))
-    folded = branch.join(whole, node).where(folds)
-    folded = materialize(folded.select(*node, "_child", F.when(apart, OTHERS).otherwise(MERGED).alias("_fold")), "url-folds")
-    out = salted_join(keyed, folded, [*node, "_child"], "left")
+    merged = F.when(folds, F.when(apart, OTHERS).otherwise(MERGED))
+    told = branch.join(whole, node).where(folds | (F.col("_shapes") == 1))
+    told = materialize(told.select(*node, "_child", merged.alias("_fold"), (F.col("_shapes") == 1).alias("_alone")), "url-folds")
+    out = salted_join(keyed, told, [*node, "_child"], "left")
     name = F.transform("_name", lambda s, i: F.when(i == level, F.col("_fold")).otherwise(s))
-    return out.withColumn("_name", F.when(F.col("_fold").isNotNull(), name).otherwise(F.col("_name"))).drop("_fold", "_above", "_child")
+    return out.withColumns({
+        "_name": F.when(F.col("_fold").isNotNull(), name).otherwise(F.col("_name")),
+        "_alone": F.coalesce("_alone", F.lit(False)),
+    }).drop("_fold", "_above", "_child")

@@ -77,3 +77,14 @@ def test_a_variable_child_that_differs_is_not_merged_with_its_siblings(spark):
     got = judge(_pages(spark, list(enumerate(rows))), rules).collect()
     assert {r.template.split("/")[1] for r in got if r.path[1].isdigit()} == {"*"}
     assert not {r.template.split("/")[1] for r in got if not r.path[1].isdigit()} & {"*"}
+
+
+def test_branches_that_part_far_down_stay_apart(spark):
+    rows = [f"http://f.io/a/b/c/d/e/{kind}/{w}{k}" for kind in ("ads", "news") for k in range(40) for w in ("x", "y")]
+    rows += ["http://f.io/a", "http://f.io/" + "/".join("z" * k for k in range(1, 20))]
+    rules = [Rule("f.io", "/a/b/c/d/e/ads/x", False), Rule("f.io", "/a/b/c/d/e/news/x", True)]
+    got = judge(_pages(spark, list(enumerate(rows))), rules).collect()
+    assert len(got) == len(rows)
+    assert {(r.path[11:14], r.verdict, r.template) for r in got if "/e/" in r.path} == {
+        ("ads", "block", "f.io/*/b/c/d/e/ads/*"), ("new", "allow", "f.io/*/b/c/d/e/news/*")
+    }
