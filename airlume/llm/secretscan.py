@@ -2,9 +2,10 @@
 
 Fixed patterns give the base spans. The method adds candidates, long mixed strings
 outside those patterns, and judges them by who has them: a string that many
-repositories or owners share is a widely copied example, one that stays with few is
-a live-looking credential of its owner and is added. Base spans always stay and
-carry the same judgement.
+repositories or owners share, or many different texts of one owner, is a widely
+copied example, one that stays with few is a live-looking credential of its owner
+and is added. A copy of a whole text is not one more holder. Base spans always stay
+and carry the same judgement.
 """
 
 from __future__ import annotations
@@ -37,6 +38,10 @@ CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{20,}")
 # A string that more repositories, or more owners, have is a copied example.
 MAX_REPOSITORIES = 2
 MAX_OWNERS = 1
+# So is one that more different texts of an owner have, or that more owners have at
+# all, copies of whole texts included.
+MAX_TEXTS = 10
+MAX_COPYING_OWNERS = 5
 ROWS = 256
 
 _SPAN = "struct<start:int,end:int,kind:int,value:bigint>"
@@ -68,6 +73,7 @@ def candidates(text: str, base: list[tuple[int, int, int, str]]) -> Iterator[tup
 def find_secrets(
     docs: DataFrame, repository: Column | None = None, owner: Column | None = None,
     max_repositories: int = MAX_REPOSITORIES, max_owners: int = MAX_OWNERS,
+    max_texts: int = MAX_TEXTS, max_copying_owners: int = MAX_COPYING_OWNERS,
 ) -> DataFrame:
     """doc_id and spans (start, end, kind, live) of every row of ``docs`` (doc_id, text).
 
@@ -75,7 +81,10 @@ def find_secrets(
     empty. ``repository`` and ``owner`` are expressions over ``docs`` (by default
     source with lang, and source); a null one counts as one more unnamed. ``live``
     says that at most ``max_repositories`` repositories and ``max_owners`` owners
-    have the string. Base spans are all there, candidates only if live. Repeated
+    have the string, each owner in at most ``max_texts`` different texts. Equal texts
+    count once for that, for the owner who has the string in most texts (ties: the
+    larger hash); all their owners may be ``max_copying_owners``, or ``max_owners``
+    if that is more. Base spans are all there, candidates only if live. Repeated
     rows, rows that share a doc_id and rows without one are scanned each on its
     own. Other columns are ignored; an empty table gives none.
     """
@@ -84,19 +93,16 @@ def find_secrets(
     source = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce("text", F.lit("")).alias("text"),
-        F.xxhash64(repository).alias("repository"), F.xxhash64(owner).alias("owner"),
+        F.xxhash64(repository).alias("repository"), F.xxhash64(owner).alias("owner"), F.xxhash64("text").alias("content"),
     )
-    schema = f"doc_id long, row string, repository long, owner long, found array<{_SPAN}>"
+    schema = f"doc_id long, row string, repository long, owner long, content long, found array<{_SPAN}>"
     scanned = materialize(source.mapInArrow(_scan, schema), "secret-scan")
-    each = scanned.select("doc_id", "row", "repository", "owner", F.explode("found").alias("s")).select(
-        "doc_id", "row", "repository", "owner", F.col("s.value").alias("value"), "s"
+    each = scanned.select("doc_id", "row", "repository", "owner", "content", F.explode("found").alias("s")).select(
+        "doc_id", "row", "repository", "owner", "content", F.col("s.value").alias("value"), "s"
     )
     # Copies fold inside each task before the exchange; then owners are counted.
-    holders = each.groupBy("value", "repository", "owner").agg(F.lit(1).alias("_one"))
-    spread = holders.groupBy("value").agg(
-        F.countDistinct("repository").alias("_repositories"), F.countDistinct("owner").alias("_owners")
-    )
-    live = spread.where((F.col("_repositories") <= max_repositories) & (F.col("_owners") <= max_owners))
+    holders = materialize(each.select("value", "content", "repository", "owner").distinct(), "secret-holders")
+    live = _live(holders, max_repositories, max_owners, max_texts, max_copying_owners)
     live = materialize(live.select("value", F.lit(True).alias("_live")), "secret-owners")
     judged = salted_join(each, live, ["value"], "left").select(
         "row",
@@ -112,6 +118,29 @@ def find_secrets(
     )
 
 
+def _live(holders: DataFrame, max_repositories: int, max_owners: int, max_texts: int, max_copying_owners: int) -> DataFrame:
+    """The values of ``holders`` (value, content, repository, owner) that few hold."""
+    spread = holders.groupBy("value").agg(
+        F.countDistinct("content").alias("_texts"), F.countDistinct("owner").alias("_owners")
+    )
+    # What is left has a bounded number of texts and owners a value.
+    narrow = spread.where(
+        (F.col("_texts") <= max_texts * max_owners) & (F.col("_owners") <= max(max_copying_owners, max_owners))
+    )
+    few = materialize(salted_join(holders, materialize(narrow.select("value"), "secret-narrow"), ["value"]), "secret-few")
+    for keys, name in ((["value", "owner"], "_of_owner"), (["value", "owner", "repository"], "_of_repository")):
+        few = few.join(few.groupBy(*keys).agg(F.countDistinct("content").alias(name)), keys)
+    # A text belongs to the holder with most texts, its other holders have copies.
+    home = few.groupBy("value", "content").agg(F.max(F.struct("_of_owner", "owner", "_of_repository", "repository")).alias("home"))
+    owners = home.groupBy("value", "home.owner").agg(
+        F.count(F.lit(1)).alias("_texts"), F.collect_set("home.repository").alias("_repositories")
+    )
+    return owners.groupBy("value").agg(
+        F.count(F.lit(1)).alias("_owners"), F.max("_texts").alias("_texts"),
+        F.size(F.array_distinct(F.flatten(F.collect_list("_repositories")))).alias("_repositories"),
+    ).where((F.col("_repositories") <= max_repositories) & (F.col("_owners") <= max_owners) & (F.col("_texts") <= max_texts))
+
+
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Spans of each text. ``row`` is a name of its own for every row."""
     task, n = uuid4().hex, 0
@@ -129,8 +158,8 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows = [f"{task}-{n + i}" for i in range(part.num_rows)]
             n += part.num_rows
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array(rows), part.column(2), part.column(3), pa.array(found, pa.list_(span))],
-                names=["doc_id", "row", "repository", "owner", "found"],
+                [part.column(0), pa.array(rows), part.column(2), part.column(3), part.column(4), pa.array(found, pa.list_(span))],
+                names=["doc_id", "row", "repository", "owner", "content", "found"],
             )
 
 

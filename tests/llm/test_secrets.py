@@ -52,6 +52,16 @@ def test_ownership_separates_examples_from_live_ones(spark):
     assert find_secrets(docs.limit(0)).count() == 0
 
 
+def test_copies_of_a_text_are_one_holder_and_repeats_in_one_source_are_many(spark):
+    copied, shared, example = "OwnerSecret1234567890ab", "SharedSample987654321xy", "OneSourceSample1234567"
+    rows = [(0, f"mine {copied}", "src0", "en"), (1, f"also {copied}", "src0", "en"), (2, f"mine {copied}", "src1", "de")]
+    rows += [(10 + i, f"text {i} {shared}", f"src{i}", "en") for i in range(2)]
+    rows += [(100 + i, f"text {i} {example}", "src2", "en") for i in range(40)]
+    got = find_secrets(spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")).collect()
+    assert {r.doc_id for r in got if r.spans} == {0, 1, 2}
+    assert all(s.live for r in got for s in r.spans)
+
+
 def test_whole_table_equals_a_plain_scan(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = {r.doc_id: [(s.start, s.kind, s.end) for s in r.spans if s.kind < 3] for r in find_secrets(docs).collect()}
