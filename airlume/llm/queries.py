@@ -1,15 +1,28 @@
-"""Queries of the ten operators; each reads its whole table."""
+"""Queries of the operators; each reads its whole table."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from airlume.llm import bpe, decontaminate, exact, lines, quality, secretscan, simhash, substrings, tokencounts, urls
+from airlume.llm import (
+    audit,
+    bpe,
+    decontaminate,
+    exact,
+    lines,
+    phrases,
+    quality,
+    rules,
+    secretscan,
+    simhash,
+    substrings,
+    tokencounts,
+    urls,
+)
 from airlume.llm.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -215,6 +228,105 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
-@query("pipeline", corpus_pipeline.ORACLE_SQL)
-def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus_pipeline.run(spark, sf_dir)
+_OP11_SQL = r"""
+with d as (
+    select coalesce(lang, 'und') as lang,
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t
+    from documents
+), pieces as (
+    select lang, regexp_extract_all(piece, '[^\x20\x09]+') as w
+    from (select lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) as piece from d)
+), totals as (
+    select lang, cast(sum(len(w)) as bigint) as n from pieces group by lang
+), f as (
+    select lang, size, phrase, count(*) as f
+    from (
+        select lang, size, unnest([array_to_string(w[p:p + size - 1], ' ') for p in range(1, len(w) - size + 2)]) as phrase
+        from pieces, (select unnest(range(1, 6)) as size) where len(w) >= size
+    ) group by all having count(*) >= 100
+), c as (
+    select lang, size, phrase, f as a, string_split(phrase, ' ') as w from f where size > 1
+), cuts as (
+    select c.*, k, array_to_string(w[1:k], ' ') as first_part, array_to_string(w[k + 1:], ' ') as rest
+    from c, (select unnest(range(1, 5)) as k) where k < size
+), scored as (
+    select cuts.lang, cuts.size, cuts.phrase, a, n, k, x.f as l, y.f as r,
+           cast((1000 * cast(a as hugeint) * n) // (cast(x.f as hugeint) * y.f) as bigint) as score
+    from cuts join totals using (lang)
+    join f x on x.lang = cuts.lang and x.phrase = first_part
+    join f y on y.lang = cuts.lang and y.phrase = rest
+), best as (
+    select * from scored qualify row_number() over (partition by lang, phrase order by score, k) = 1
+), inner_phrases as (
+    select lang, phrase, max(a) as longer
+    from (
+        select lang, a, unnest(flatten([[array_to_string(w[p:p + s - 1], ' ') for p in range(1, size - s + 2)] for s in range(2, size)])) as phrase
+        from c where size > 2
+    ) group by lang, phrase
+)
+select lang, row_number() over (partition by lang order by score desc, a desc, phrase) as rank, phrase, a, l, r, n, score,
+       cast(k as bigint) as k
+from best left join inner_phrases using (lang, phrase)
+where longer is null or 100 * longer < 100 * a
+qualify row_number() over (partition by lang order by score desc, a desc, phrase) <= 2000
+"""
+
+
+@query("op11_phrase_collocations", _OP11_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+@query("op12_quality_rules")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+_OP13_SQL = r"""
+with d as (
+    select doc_id, coalesce(lang, '') as part, coalesce(text, '') as t,
+           regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w
+    from documents
+), known as (
+    select doc_id, max(quality) as quality, max(toxic) as toxic from labels group by doc_id
+), f as (
+    select part, coalesce(quality = 1, false) as good, coalesce(toxic = 1, false) as toxic,
+           [len(w) < 100, 100 * len(list_distinct(w)) < 80 * len(w),
+            100 * len(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * len(t), regexp_matches(t, '[#$%&*|]'),
+            doc_id > min(doc_id) over (partition by t)] as fails
+    from d left join known using (doc_id)
+), same as (
+    select part, good, toxic, fails, count(*) as c from f group by all
+), letters as (
+    select unnest(string_split('ABCDE', '')) as x
+), orders as (
+    select concat(v.x, w.x, x.x, y.x, z.x) as filter_order
+    from letters v, letters w, letters x, letters y, letters z
+    where len(list_distinct([v.x, w.x, x.x, y.x, z.x])) = 5
+), taken as (
+    select part, good, toxic, c, filter_order, [fails[strpos('ABCDE', filter_order[s])] for s in range(1, 6)] as failing
+    from same, orders
+), judged as (
+    select *, coalesce(nullif(list_position(failing, true), 0), 6) as gone, len(list_filter(failing, lambda z: z)) as n_failing
+    from taken
+), told as (
+    select part, filter_order, step,
+           coalesce(sum(c) filter (gone > step), 0) as kept,
+           coalesce(sum(c) filter (gone = step), 0) as removed,
+           coalesce(sum(c) filter (failing[step] and gone < step), 0) as redundant,
+           coalesce(sum(c) filter (failing[step] and n_failing = 1), 0) as unique_fails,
+           coalesce(sum(c) filter (gone = step and good), 0) as good_lost,
+           coalesce(sum(c) filter (gone = step and toxic), 0) as toxic_lost
+    from judged, (select unnest(range(1, 6)) as step) group by part, filter_order, step
+)
+select part, filter_order, cast(step as int) as step, cast(kept as bigint) as kept, cast(removed as bigint) as removed,
+       cast(redundant as bigint) as redundant, cast(unique_fails as bigint) as unique_fails,
+       cast(good_lost as bigint) as good_lost, cast(toxic_lost as bigint) as toxic_lost,
+       cast(sum(removed) over (partition by part, filter_order[step]) as bigint) as shapley
+from told
+"""
+
+
+@query("op13_filter_audit", _OP13_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

@@ -113,6 +113,19 @@ class Words:
         return self.place + size <= self.count[self.doc]
 
 
+def word_codes(words: Words) -> tuple[np.ndarray, pa.Array]:
+    """A number for each word, equal for equal words only, and the words by their numbers."""
+    size = words.end - words.start
+    offsets = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
+    inside = np.zeros(len(words.data) + 1, np.int8)
+    inside[words.start] = 1
+    inside[words.end] -= 1
+    letters = words.data[np.cumsum(inside[:-1]) > 0]
+    column = pa.LargeStringArray.from_buffers(len(size), pa.py_buffer(offsets), pa.py_buffer(letters))
+    coded = column.dictionary_encode()
+    return coded.indices.to_numpy().astype(np.int64), coded.dictionary
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """Spread every input bit over all output bits (multiply and shift rounds)."""
     x = x ^ (x >> np.uint64(32))
