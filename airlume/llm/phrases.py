@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame, Window
@@ -39,6 +40,7 @@ BUCKET_MASS = 1 << 24
 MIN_BUCKETS, MAX_BUCKETS = 32, 1 << 16
 # Entries added to a summary at a time.
 FOLD_ENTRIES = 1 << 20
+_lists = "lang array<string>, phrase array<string>, words array<int>, count array<long>"
 # Pieces a language's candidates are dealt over to be ranked.
 RANK_PIECES = 64
 
@@ -93,11 +95,8 @@ def exact_counts(docs: DataFrame, min_count: int, block_bytes: int, bucket_mass:
     for bucket, bits in _pairs(survivors.toArrow()):  # FILTER_BITS in all, whatever the corpus
         marks[bucket] = np.frombuffer(zstandard.decompress(bits), np.uint8)
     shared = docs.sparkSession.sparkContext.broadcast(marks.ravel())
-    return (
-        source.mapInArrow(_count(shared, block_bytes), "lang string, phrase string, words int, count long")
-        .groupBy("lang", "phrase", "words").agg(F.sum("count").alias("count"))
-        .where((F.col("count") >= min_count) | (F.col("words") == 0))
-    )
+    told = source.mapInArrow(_count(shared, buckets, block_bytes), f"bucket int, {_lists}")
+    return told.groupBy("bucket").applyInArrow(_sums(min_count), "lang string, phrase string, words int, count long")
 
 
 def _pairs(table: pa.Table) -> Iterator[tuple]:
@@ -270,13 +269,14 @@ def _summary(buckets: int, capacity: int, min_count: int):
     return work
 
 
-def _count(shared, block_bytes: int):
-    """Exact counts, block by block, of the n-grams that the filter lets through.
+def _count(shared, buckets: int, block_bytes: int):
+    """Exact counts, block by block, of the n-grams that the filter lets through, one row per bucket.
 
     n-grams are told apart by the numbers of their words, not by hashes. One can only
     be frequent if what it has left without its last word is, and that word too.
     """
     shift = np.uint64(KEY_BITS - FILTER_BITS)
+    width = np.uint64(KEY_BITS - (buckets.bit_length() - 1))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks = shared.value
@@ -287,42 +287,75 @@ def _count(shared, block_bytes: int):
 
         for langs, texts in _blocks(batches, block_bytes):
             words, text = _words(texts)
-            names, part = np.unique(np.array(langs, object), return_inverse=True)
-            part = part[text]
-            yield _rows(names, np.unique(part), [""] * len(np.unique(part)), 0, np.bincount(part)[np.unique(part)])
             if not len(text):
                 continue
+            names, part = np.unique(np.array(langs, object), return_inverse=True)
+            part = part[text]
+            present, n = np.unique(part, return_counts=True)
+            # The words of each lang come first, as its empty phrase.
+            found = [(np.zeros(len(present), np.int64), present, [""] * len(present), 0, n)]
             lang, hashes = _lang_hashes(langs, text), words.hashes(_SEED)
             code, vocabulary = word_codes(words)
-            at = np.flatnonzero(passes(_keys(words, lang, hashes, 1)))
+            at = np.arange(len(code))
             shorter = part  # number of the n-gram one shorter from each word on
             lone = np.zeros(len(code), bool)
-            lone[at] = True
             for k in range(1, MAX_WORDS + 1):
+                at = at[words.fits(k)[at]]
                 if k > 1:
-                    at = at[words.fits(k)[at]]
                     at = at[lone[at + k - 1]]
-                    at = at[passes(_keys(words, lang, hashes, k)[at])]
+                keys = _keys(words, lang, hashes, k)
+                at = at[passes(keys[at])]
                 if not len(at):
                     break
+                if k == 1:
+                    lone[at] = True
                 _, first, number, n = np.unique(
                     shorter[at] * len(vocabulary) + code[at + k - 1], return_index=True, return_inverse=True, return_counts=True
                 )
                 first = at[first]
                 phrases = [" ".join(x) for x in zip(*[vocabulary.take(pa.array(code[first + j])).to_pylist() for j in range(k)], strict=True)]
-                yield _rows(names, part[first], phrases, k, n)
+                found.append(((keys[first] >> width).astype(np.int64), part[first], phrases, k, n))
                 shorter = np.full(len(code), -1, np.int64)
                 shorter[at] = number
+            yield _by_bucket(names, found)
 
     return work
 
 
-def _rows(names: np.ndarray, part: np.ndarray, phrases: list[str], words: int, n: np.ndarray) -> pa.RecordBatch:
+def _by_bucket(names: np.ndarray, found: list[tuple]) -> pa.RecordBatch:
+    """(bucket, part, phrases, words, n) of each length as one row per bucket."""
+    bucket = np.concatenate([b for b, *_ in found])
+    order = np.argsort(bucket, kind="stable")
+    bucket = bucket[order]
+    at = np.flatnonzero(np.diff(bucket, prepend=-1))
+    offsets = pa.array([*at, len(bucket)], pa.int32())
+    part = np.concatenate([p for _, p, *_ in found])
     columns = [
-        pa.array(names[part].tolist(), pa.string()), pa.array(phrases, pa.string()),
-        pa.array(np.full(len(n), words, np.int32)), pa.array(n.astype(np.int64)),
+        pa.array(names[part[order]].tolist(), pa.string()),
+        pa.array([x for f in found for x in f[2]], pa.string()).take(pa.array(order)),
+        pa.array(np.concatenate([np.full(len(f[4]), f[3], np.int32) for f in found])[order]),
+        pa.array(np.concatenate([f[4] for f in found]).astype(np.int64)[order]),
     ]
-    return pa.RecordBatch.from_arrays(columns, names=["lang", "phrase", "words", "count"])
+    return pa.RecordBatch.from_arrays(
+        [pa.array(bucket[at], pa.int32()), *(pa.ListArray.from_arrays(offsets, c) for c in columns)],
+        names=["bucket", "lang", "phrase", "words", "count"],
+    )
+
+
+def _sums(min_count: int):
+    """Counts of a bucket over all blocks; those below the threshold go."""
+    keys = ["lang", "phrase", "words"]
+
+    def work(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in slices(batches):
+            part = pa.table({c: batch.column(c).flatten() for c in [*keys, "count"]})
+            held = pa.concat_tables([held, part]) if held else part
+            held = held.group_by(keys).aggregate([("count", "sum")]).select([*keys, "count_sum"]).rename_columns([*keys, "count"])
+        often = pc.or_(pc.greater_equal(held.column("count"), min_count), pc.equal(held.column("words"), 0))
+        yield from held.filter(often).to_batches()
+
+    return work
 
 
 def _part(start: Column | int, length: Column | int) -> Column:
