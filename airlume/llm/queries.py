@@ -192,16 +192,21 @@ with l as (
            unnest(range(len(string_split(coalesce(text, ''), chr(10))))) as ln
     from documents
 ), n as (
-    select *, row_number() over (partition by doc_id order by ln) as place
+    select *, row_number() over (partition by doc_id order by ln) as place, count(*) over (partition by doc_id) as of,
+           len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) as nw
     from l where regexp_matches(line, '[^\x20\x09-\x0D]')
 ), w as (
-    select doc_id, place, line as a, lead(line) over r as b, lead(line, 2) over r as c
-    from n window r as (partition by doc_id order by ln)
+    select doc_id, place, of, s, lines[1:s] as run, list_sum(words[1:s]) as total
+    from (
+        select doc_id, place, of, [line, lead(line) over r, lead(line, 2) over r] as lines,
+               [nw, lead(nw) over r, lead(nw, 2) over r] as words
+        from n window r as (partition by doc_id order by ln)
+    ), (select unnest([1, 2, 3]) as s) where place + s - 1 <= of
 ), later as (
-    select doc_id, place, row_number() over (partition by a, b, c order by doc_id, place) as k
-    from w where c is not null
+    select doc_id, place, s, row_number() over (partition by run, total < 13 and s < 3 order by doc_id, place) as k
+    from w where s = 3 or total >= 13 or s = of
 ), gone as (
-    select distinct doc_id, unnest(range(place, place + 3)) as place from later where k > 1
+    select distinct doc_id, unnest(range(place, place + s)) as place from later where k > 1
 ), kept as (
     select l.doc_id, string_agg(l.line, chr(10) order by l.ln) as t
     from l left join n using (doc_id, ln) left join gone on gone.doc_id = n.doc_id and gone.place = n.place
