@@ -13,17 +13,20 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from airlume.llm.textblocks import Words, blocks, mixed, slices
+from airlume.session import materialize
 
 # n-grams are hashed to so many features, which bounds model and statistics.
 FEATURE_BITS = 18
 FEATURES = 1 << FEATURE_BITS
-# Labelled rows the hinge loss is fitted on, at most; the counts take all.
+# Labelled rows the hinge loss is fitted on, half of each class, and bytes of their
+# features, at most; the counts take all.
 SAMPLE_ROWS = 6_000
+SAMPLE_BYTES = 64 << 20
 EPOCHS = 12
 COST = 1.0
 SMOOTHING = 1.0
@@ -96,12 +99,16 @@ class Model:
         return float(scaled @ self.weight[found] / norm + self.bias) if norm else self.bias
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
+def fit(
+    docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES
+) -> Model:
     """A model from the rows of ``docs`` (doc_id, text) labelled 0 or 1 and not held out.
 
-    Counts are taken over all of them, the hinge loss over the ``sample_rows`` with
-    the smallest hash of their id. Labels other than 0 and 1 are ignored. Without
-    any training row of both classes every score is one half.
+    Counts are taken over all of them. The hinge loss takes, of each class, half of
+    ``sample_rows`` ids with the smallest hash, as long as their features fit half of
+    ``sample_bytes``, and one in any case: a rare class is never lost. Of rows that share
+    an id the smallest text is in it, once for each label. Labels other than 0 and 1 are
+    ignored. Without any training row of both classes every score is one half.
     """
     wanted = labels.where(F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id"))).select(
         F.col("doc_id").alias("_id"), F.col("quality").cast("int").alias("_label")
@@ -122,17 +129,30 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
     ratio -= np.log((tally[0] + SMOOTHING) / (tally[0].sum() + SMOOTHING * FEATURES))
     ratio[tally.sum(0) == 0] = 0  # unseen
 
-    chosen = wanted.orderBy(F.xxhash64("_id"), "_id", "_label").limit(sample_rows)
-    rows = (
-        docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))
-        .select("_label", "text", "_id").mapInArrow(_extract, "label int, id long, found binary")
-        .toArrow()  # at most sample_rows texts, as features
-        .sort_by([("id", "ascending"), ("label", "ascending")])
-    )
+    rows = _sample(docs, wanted, sample_rows, sample_bytes).toArrow().sort_by([("id", "ascending"), ("label", "ascending")])
     found = [np.frombuffer(x, np.int32) for x in rows.column("found").to_pylist()]
     return descend(found, rows.column("label").to_numpy(), ratio)
 
 
+def _sample(docs: DataFrame, wanted: DataFrame, sample_rows: int, sample_bytes: int) -> DataFrame:
+    """label, id and found of the rows the loss is fitted on: so many, with so many bytes, at most."""
+    order = [F.xxhash64("_id"), F.col("_id")]
+    chosen = [wanted.where(F.col("_label") == c).orderBy(*order).limit(max(sample_rows // 2, 1)) for c in (0, 1)]
+    texts = (
+        docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+        .join(F.broadcast(chosen[0].unionByName(chosen[1])), F.col("doc_id") == F.col("_id"))  # sample_rows ids
+        .groupBy("_label", "_id").agg(F.min("text").alias("text"))
+    )
+    found = texts.select("_label", "text", "_id").mapInArrow(_extract, "label int, id long, found binary")
+    found = materialize(found, "quality-sample")
+    # Only sizes take part in the order; a class has half of sample_rows rows.
+    by_class = Window.partitionBy("label").orderBy(F.xxhash64("id"), "id")
+    sizes = found.select("label", "id", F.octet_length("found").alias("_bytes"))
+    fits = sizes.withColumns({"_sum": F.sum("_bytes").over(by_class), "_row": F.row_number().over(by_class)})
+    fits = fits.where((F.col("_sum") <= sample_bytes // 2) | (F.col("_row") == 1)).select("label", "id")
+    return found.join(F.broadcast(fits), ["label", "id"], "left_semi")
+
+
 def descend(found: list[np.ndarray], labels: np.ndarray, ratio: np.ndarray) -> Model:
     """Dual coordinate descent for the hinge loss, rows in a seeded order."""
     weight, bias = np.zeros(FEATURES), 0.0

@@ -15,7 +15,7 @@ from itertools import combinations, repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
@@ -50,8 +50,15 @@ def near_duplicates(docs: DataFrame, max_difference: int = MAX_DIFFERENCE) -> Da
     empty text has fingerprint zero, linked like any other. Repeated rows keep
     their own result row each. A row without doc_id names no component; it gets
     the component of its fingerprint where a row with an id has the same one,
-    else null. Other columns of ``docs`` are ignored. An empty table gives none.
+    else null. A doc_id is one node: rows that share it, whatever their texts, do not
+    link by that alone, but what is linked to the smallest id of either fingerprint is
+    one component where both have the same. Other columns of ``docs`` are ignored. An empty table gives none.
     """
+    return _components_of(docs, max_difference).drop("version")
+
+
+def _components_of(docs: DataFrame, max_difference: int) -> DataFrame:
+    """``near_duplicates`` with ``version``, a hash of the text that tells rows of one id apart."""
     prints = materialize(fingerprints(docs), "simhash")
     nodes = materialize(
         prints.groupBy("fingerprint").agg(F.min("doc_id").alias("node")).where("node is not null"),
@@ -63,22 +70,26 @@ def near_duplicates(docs: DataFrame, max_difference: int = MAX_DIFFERENCE) -> Da
         .select("fingerprint", F.coalesce("component", "node").alias("component_id"))
     )
     return salted_join(prints, materialize(named, "simhash-named"), ["fingerprint"], "left").select(
-        "doc_id", "fingerprint", "component_id"
+        "doc_id", "version", "fingerprint", "component_id"
     )
 
 
+def _version(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and the 64-bit SimHash of each whole text, as a signed long."""
+    """doc_id, version and the 64-bit SimHash of each whole text, as a signed long."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             prints = np.array([simhash(x) for x in encoded(batch.column(1))], np.uint64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(prints.view(np.int64))], names=["doc_id", "fingerprint"]
+                [batch.column(0), batch.column(2), pa.array(prints.view(np.int64))], names=["doc_id", "version", "fingerprint"]
             )
 
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return source.mapInArrow(work, "doc_id long, fingerprint long")
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", _version(F.col("text")).alias("version"))
+    return source.mapInArrow(work, "doc_id long, version long, fingerprint long")
 
 
 def simhash(text: bytes) -> int:
@@ -278,10 +289,12 @@ def joined(label: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
 
 
 def drop_near(docs: DataFrame, max_difference: int = MAX_DIFFERENCE) -> DataFrame:
-    """The rows of ``docs`` that name their component, with all their columns.
+    """The rows of ``docs`` (doc_id, text) that name their component, with all their columns.
 
-    Rows without doc_id always stay.
+    Rows without doc_id always stay. Rows that share one are judged each by its own
+    text; whole repeats of a row stay or go together. An empty table gives none.
     """
-    found = near_duplicates(docs, max_difference)
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    found = _components_of(docs, max_difference).where("doc_id <> component_id")
+    gone = found.select(F.col("doc_id").alias("_gone"), F.col("version").alias("_gone_version")).distinct()
+    same = (docs["doc_id"] == gone["_gone"]) & (_version(docs["text"]) == gone["_gone_version"])
+    return docs.join(gone, same, "left_anti")

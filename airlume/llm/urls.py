@@ -1,9 +1,9 @@
 """URL verdicts from fixed rules and, where none fits, from a tree of path templates.
 
 Each host has a tree of path segments. Segments that vary (numbers, long codes, and
-the unlabelled children of a node with many) become wildcards, and sibling branches
-with statistically alike labels are merged. A branch whose labels differ stays, however
-many siblings it has. A template is rejected by its labelled purity, smoothed toward the
+children without labels) become wildcards, and sibling branches with statistically alike
+labels are merged. A branch whose labels differ stays. How many siblings a branch has
+decides nothing. A template is rejected by its labelled purity, smoothed toward the
 purity of the wider templates above it.
 """
 
@@ -20,12 +20,14 @@ from airlume.session import materialize
 
 # A segment is variable where this share of its characters are digits ...
 DIGIT_SHARE = 0.3
-# ... or it is this long, or has no labels and its parent more than this many children.
+# ... or it is this long.
 LONG_SEGMENT = 24
-MAX_CHILDREN = 32
 # Name of merged siblings; a path has no "?", so it is free where a variable child
 # stays apart under its own "*".
 MERGED, OTHERS = "*", "?"
+# What follows these names where no merged sibling has labels: such urls are a template
+# of their own, which tells nothing of labelled ones and is shown without the mark.
+UNKNOWN = "?"
 # Labelled urls the wider template counts for.
 PRIOR_WEIGHT = 4.0
 # Share of blocked urls everywhere, before any label is seen.
@@ -131,20 +133,34 @@ def _templates(counts: DataFrame) -> DataFrame:
     """(host, _parts) with template and smoothed share of blocked urls."""
     shapes = materialize(_named(counts), "url-names")
     # Purity, from the widest template down: everywhere, the first segment on all
-    # hosts, the host, the whole template. Each is the prior of the next.
+    # hosts, the host, the whole template. Each is the prior of the next. Members of a
+    # template differ in their first segment where it was merged; those with labels
+    # speak for it, so that others do not change what it is known for.
     total = shapes.agg(F.sum("_labelled").alias("n"), F.sum("_blocked").alias("b")).first()
     share = _smoothed(F.lit(total["b"] or 0), F.lit(total["n"] or 0), F.lit(PRIOR))
-    first = shapes.withColumn("_first", F.coalesce(F.get("_name", F.lit(0)), F.lit("")))
-    for k, keys in enumerate((["_first"], ["host"], ["host", "_name"])):
-        sums = first.groupBy(*keys).agg(F.sum("_labelled").alias(f"_n{k}"), F.sum("_blocked").alias(f"_b{k}"))
-        shapes = (first if k == 0 else shapes).join(sums, keys)
-        share = _smoothed(F.col(f"_b{k}"), F.col(f"_n{k}"), share)
-    template = F.concat(F.col("host"), F.lit("/"), F.array_join("_name", "/"))
+    shapes = shapes.withColumn("_first", F.coalesce(F.get("_parts", F.lit(0)), F.lit("")))
+    first = _sums(shapes, ["_first"], "_n0", "_b0").withColumn("_own", _smoothed(F.col("_b0"), F.col("_n0"), share))
+    shapes = salted_join(shapes, materialize(first.select("_first", "_own"), "url-first"), ["_first"])
+    shapes = materialize(shapes, "url-priors")
+    spoken = F.try_divide(F.sum(F.col("_labelled") * F.col("_own")), F.sum("_labelled"))
+    whole = shapes.groupBy("host", "_name").agg(
+        F.sum("_labelled").alias("_n2"), F.sum("_blocked").alias("_b2"), spoken.alias("_spoken")
+    )
+    shapes = salted_join(shapes, materialize(_sums(shapes, ["host"], "_n1", "_b1"), "url-hosts"), ["host"])
+    shapes = salted_join(shapes, materialize(whole, "url-wholes"), ["host", "_name"])
+    share = _smoothed(F.col("_b1"), F.col("_n1"), F.coalesce("_spoken", "_own"))
+    share = _smoothed(F.col("_b2"), F.col("_n2"), share)
+    shown = F.transform("_name", lambda s: F.when(s.isin(MERGED + UNKNOWN, OTHERS + UNKNOWN), F.substring(s, 1, 1)).otherwise(s))
+    template = F.concat(F.col("host"), F.lit("/"), F.array_join(shown, "/"))
     return shapes.select(
         F.xxhash64("host", "_parts").alias("_key"), "host", "_parts", template.alias("_template"), share.alias("_share")
     )
 
 
+def _sums(shapes: DataFrame, keys: list[str], n: str, b: str) -> DataFrame:
+    return shapes.groupBy(*keys).agg(F.sum("_labelled").alias(n), F.sum("_blocked").alias(b))
+
+
 def _named(counts: DataFrame) -> DataFrame:
     """``counts`` with the generalised segments of each shape as _name.
 
@@ -172,8 +188,8 @@ def _generalised(shapes: DataFrame, level: int) -> DataFrame:
     """Siblings at ``level`` whose labels do not tell them apart become a wildcard.
 
     Children do whose block rate lies within ALIKE standard errors of the rate of the
-    node, and children without labels of a node with more than MAX_CHILDREN. Those
-    whose rate differs stay at any number of children. ``_alone`` says that no other
+    node. Children without labels become a wildcard apart from them, so they change
+    nothing for the others however many they are. An only child keeps its name. ``_alone`` says that no other
     shape is below the node.
     """
     node = ["host", "_above"]
@@ -194,9 +210,9 @@ def _generalised(shapes: DataFrame, level: int) -> DataFrame:
         return F.abs(F.try_divide(b, n) - mean) <= ALIKE * F.sqrt(F.try_divide(mean * (1 - mean), F.col(n)))
 
     n = F.col("_n_branch")
-    folds = (F.col("_children") > 1) & F.when(n > 0, alike("_b_branch", "_n_branch")).otherwise(F.col("_children") > MAX_CHILDREN)
+    folds = (F.col("_children") > 1) & F.when(n > 0, alike("_b_branch", "_n_branch")).otherwise(F.lit(True))
     apart = (F.col("_n_variable") > 0) & ~F.coalesce(alike("_b_variable", "_n_variable"), F.lit(True))
-    merged = F.when(folds, F.when(apart, OTHERS).otherwise(MERGED))
+    merged = F.when(folds, F.concat(F.when(apart, OTHERS).otherwise(MERGED), F.when(n > 0, "").otherwise(UNKNOWN)))
     told = branch.join(whole, node).where(folds | (F.col("_shapes") == 1))
     told = materialize(told.select(*node, "_child", merged.alias("_fold"), (F.col("_shapes") == 1).alias("_alone")), "url-folds")
     out = salted_join(keyed, told, [*node, "_child"], "left")

@@ -5,7 +5,7 @@ import zlib
 import numpy as np
 from pyspark.sql import functions as F
 
-from airlume.llm.quality import FEATURES, descend, drop_poor, features, held_out, judge
+from airlume.llm.quality import FEATURES, _sample, descend, drop_poor, features, fit, held_out, judge, score
 
 SF = "/root/testdata/sf0.1"
 
@@ -69,3 +69,32 @@ def test_features_are_indicators_of_the_text_alone():
 
 def test_fold_of_missing_id(spark, texts):
     assert texts([(None, "x")]).select(held_out(F.col("doc_id"))).first()[0] is False
+
+
+def test_a_rare_class_is_not_lost_and_rows_are_bounded(spark, texts):
+    rows = [(i, f"fine prose about rivers {i % 7} and hills {i}") for i in range(4000)]
+    rows += [(9000 + i, f"BUY!! NOW!! $$$ {i}") for i in range(12)]
+    labels = spark.createDataFrame([(i, int(i < 9000)) for i, _ in rows], "doc_id long, quality int")
+    got = {r.doc_id: r.score for r in judge(texts(rows), labels, sample_rows=100).collect()}
+    assert max(got[9000 + i] for i in range(12)) < 0.5 < min(got[i] for i in range(4000))
+    one = texts([(1, f"text {i}") for i in range(500)] + [(2, "other"), (3, "more " * 50)])
+    wanted = spark.createDataFrame([(1, 1), (2, 0), (3, 0)], "_id long, _label int")
+    assert sorted((r.label, r.id) for r in _sample(one, wanted, 10, 1 << 20).collect()) == [(0, 2), (0, 3), (1, 1)]
+    assert len(_sample(one, wanted, 10, 1).collect()) == 2
+
+
+def test_counts_ratios_and_scores_by_plain_means(spark, texts):
+    rows = [(i, "fine prose " * (i % 5) + f"river {i % 9}" if i % 3 else f"BUY NOW!! {i % 4} fine") for i in range(90)]
+    labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(90)], "doc_id long, quality int")
+    model = fit(texts(rows), labels)
+    train = [(i, t) for i, t in rows if zlib.crc32(str(i).encode()) % 3 != 1]
+    tally = np.zeros((2, FEATURES))
+    for i, t in train:
+        tally[int(i % 3 > 0), features([t.encode()])[0]] += 1
+    want = np.log((tally + 1) / (tally.sum(1, keepdims=True) + FEATURES))
+    assert np.allclose(model.ratio, np.where(tally.sum(0) > 0, want[1] - want[0], 0))
+    for r in score(texts(rows), model).collect():
+        x = np.zeros(FEATURES)
+        f = features([r.text.encode()])[0]
+        x[f] = model.ratio[f]
+        assert abs(r.score - 1 / (1 + np.exp(-2 * (x @ model.weight / np.linalg.norm(x) + model.bias)))) < 1e-9

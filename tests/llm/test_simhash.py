@@ -6,7 +6,7 @@ import numpy as np
 import xxhash
 
 from airlume.llm.components import components
-from airlume.llm.simhash import descend, links, near_duplicates, simhash, traverse
+from airlume.llm.simhash import drop_near, descend, links, near_duplicates, simhash, traverse
 
 
 def _plain_print(text: str) -> int:
@@ -104,3 +104,14 @@ def test_descend_sends_pairs_once(spark):
     assert all((a ^ b).bit_count() <= 2 and a <= b for a, b in pairs)
     # 32 prefixes with themselves, with each other, and with those that have the first bit too
     assert len(pairs) == 32 + 32 * (5 + 10) // 2 + 32 * (1 + 5)
+
+
+def test_drop_near_judges_rows_of_one_id_by_their_texts(spark, texts):
+    a, b = " ".join(f"a{i}" for i in range(300)), " ".join(f"b{i}" for i in range(300))
+    rows = [(3, a), (5, a), (5, b), (5, b), (9, b), (None, a), (None, None), (11, ""), (12, None)]
+    docs = texts(rows)
+    kept = drop_near(docs)
+    assert kept.columns == docs.columns
+    want = [(3, a), (5, b), (5, b), (None, a), (None, None), (11, "")]
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted(want, key=str)
+    assert drop_near(texts([])).count() == 0

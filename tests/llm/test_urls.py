@@ -88,3 +88,18 @@ def test_branches_that_part_far_down_stay_apart(spark):
     assert {(r.path[11:14], r.verdict, r.template) for r in got if "/e/" in r.path} == {
         ("ads", "block", "f.io/*/b/c/d/e/ads/*"), ("new", "allow", "f.io/*/b/c/d/e/news/*")
     }
+
+
+def test_siblings_without_labels_never_flip_a_verdict(spark):
+    def verdicts(more):
+        rows = [f"http://z.io/{d}/{w}" for d in ("ads", "shop", "news") for w in ("x", "y", "w1", "w2")]
+        rows += ["http://z.io/uaa/x", "http://q.io/lone/x", "http://q.io/lone/y", "http://r.io/shop/z"]
+        known = len(rows)
+        rows += [f"http://{h}.io/u{chr(97 + i % 26)}{chr(98 + i // 26)}/{w}" for h in "zqr" for i in range(more) for w in "xz"]
+        rules = [Rule("z.io", "/ads/", False), Rule("z.io", "/shop/w", False), Rule("z.io", "/news/", True), Rule("q.io", "/lone/x", True)]
+        got = {r.page_id: (r.verdict, round(r.share, 9)) for r in judge(_pages(spark, list(enumerate(rows))), rules).collect()}
+        return {i: got[i] for i in range(known)}
+
+    few = verdicts(0)
+    for more in (1, 26, 27, 40):
+        assert verdicts(more) == few, more
