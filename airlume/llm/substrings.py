@@ -33,6 +33,10 @@ GRAM = WINDOW - (PERIOD - 1)
 # Bytes of input files for one bucket of hashes and of documents.
 BUCKET_BYTES = 4 << 20
 MIN_BUCKETS = 64
+# Rows of one id, or without, that have more bytes of text are dealt over more buckets.
+HOT_BYTES = 4 * BUCKET_BYTES
+# Any id outside the largest MAX_HOT_IDS has under 1/MAX_HOT_IDS of all text.
+MAX_HOT_IDS = 1_000
 # Bytes of text whose entries are folded and packed together.
 BLOCK_BYTES = 4 << 20
 
@@ -40,7 +44,9 @@ _PACKED = "bucket int, known boolean, docs binary, low binary, high binary"
 _SEEDS = (11, 13)
 
 
-def remove_repeats(docs: DataFrame, buckets: int | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def remove_repeats(
+    docs: DataFrame, buckets: int | None = None, block_bytes: int = BLOCK_BYTES, hot_bytes: int = HOT_BYTES
+) -> DataFrame:
     """doc_id, n_words, n_removed and kept_text of every row of ``docs`` (doc_id, text).
 
     Words are ``[^\\x20\\x09-\\x0D]+``; a window is 13 consecutive ones of a row.
@@ -50,18 +56,20 @@ def remove_repeats(docs: DataFrame, buckets: int | None = None, block_bytes: int
     rows that share one never remove each other. Other columns are ignored; an
     empty table gives none. ``buckets`` (by default from the size of the input
     files) sets how finely hashes and documents are dealt, ``block_bytes`` how many
-    texts are packed together; neither changes the result.
+    texts are packed together, ``hot_bytes`` from how much text on rows that share an
+    id, or lack one, are dealt over several buckets; none changes the result.
     """
     n = buckets or max(MIN_BUCKETS, -(-text_bytes(docs) // BUCKET_BYTES))
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    dealt = source.select(_owner_column(n).alias("bucket"), "doc_id", "text")
+    pieces = _pieces(source, n, hot_bytes)
+    dealt = source.select(_owner_column(n, pieces).alias("bucket"), "doc_id", "text")
 
     anchors = source.mapInArrow(_pack_anchors(n, block_bytes), _PACKED)
-    shared = anchors.groupBy("bucket").applyInArrow(_settle(n, both=True), _PACKED)
+    shared = anchors.groupBy("bucket").applyInArrow(_settle(n, pieces, both=True), _PACKED)
     windows = (
         dealt.groupBy("bucket").cogroup(shared.groupBy("bucket")).applyInArrow(_pack_windows(n), _PACKED)
     )
-    repeats = windows.groupBy("bucket").applyInArrow(_settle(n, both=False), _PACKED)
+    repeats = windows.groupBy("bucket").applyInArrow(_settle(n, pieces, both=False), _PACKED)
     return (
         dealt.groupBy("bucket").cogroup(repeats.groupBy("bucket"))
         .applyInArrow(_cut, "doc_id long, n_words long, n_removed long, kept_text string")
@@ -166,7 +174,17 @@ def _entries(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate([np.zeros(0, np.int64), *docs]), low, high
 
 
-def _settle(buckets: int, both: bool):
+def _pieces(source: DataFrame, buckets: int, hot_bytes: int) -> dict[int, int]:
+    """Over how many buckets the texts of an id are dealt, where there are many under it."""
+    size = F.sum(F.octet_length("text") + 16)
+    rows = (
+        source.groupBy(F.coalesce("doc_id", F.lit(NO_ID)).alias("id")).agg(size.alias("bytes"), F.count(F.lit(1)).alias("n"))
+        .where((F.col("bytes") > hot_bytes) & (F.col("n") > 1)).orderBy(F.desc("bytes"), "id").limit(MAX_HOT_IDS).collect()
+    )
+    return {r["id"]: min(-(-r["bytes"] // hot_bytes), buckets) for r in rows}
+
+
+def _settle(buckets: int, pieces: dict[int, int], both: bool):
     """Tell documents which of their hashes others have too, or a smaller document has."""
 
     def work(table: pa.Table) -> pa.Table:
@@ -178,7 +196,15 @@ def _settle(buckets: int, both: bool):
         tell = several if both else docs != docs[first]
         more, more_low, _ = _entries(table.filter(known))
         docs, low = np.concatenate([docs[tell], more]), np.concatenate([low[tell], more_low])
-        return pa.Table.from_batches(_packed(docs, low, low[:0], _owner(docs, buckets), buckets, True))
+        owner = _owner(docs, buckets)
+        if pieces:
+            # What an id is told goes to each of its buckets.
+            times = np.ones(len(docs), np.int64)
+            for hot, n in pieces.items():
+                times[docs == hot] = n
+            docs, low, owner = (np.repeat(x, times) for x in (docs, low, owner))
+            owner += (np.arange(len(docs)) - np.repeat(np.cumsum(times) - times, times)).astype(np.uint64)
+        return pa.Table.from_batches(_packed(docs, low, low[:0], owner, buckets, True))
 
     return work
 
@@ -188,8 +214,14 @@ def _owner(docs: np.ndarray, buckets: int) -> np.ndarray:
     return (xxhash64(docs).view(np.int64) % buckets).astype(np.uint64)
 
 
-def _owner_column(buckets: int) -> Column:
-    return F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(NO_ID))), F.lit(buckets)).cast("int")
+def _owner_column(buckets: int, pieces: dict[int, int]) -> Column:
+    """Bucket of a row: that of its id or, of several, one by its text and where it was read."""
+    key = F.coalesce("doc_id", F.lit(NO_ID))
+    owner = F.pmod(F.xxhash64(key), F.lit(buckets))
+    if pieces:
+        many = F.create_map(*[F.lit(x).cast("long") for pair in pieces.items() for x in pair])
+        owner = F.pmod(owner + F.pmod(F.xxhash64("text", F.spark_partition_id()), F.coalesce(F.element_at(many, key), F.lit(1))), F.lit(buckets))
+    return owner.cast("int")
 
 
 def _members(words: Words, ids: np.ndarray, at: np.ndarray, low: np.ndarray, told: pa.Table) -> np.ndarray:

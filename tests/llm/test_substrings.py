@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from airlume.llm import textblocks
-from airlume.llm.substrings import COVER, PERIOD, remove_repeats
+from airlume.llm.substrings import COVER, PERIOD, _owner_column, _pieces, remove_repeats
 from airlume.llm.textblocks import NO_ID, Words, xxhash64
 
 
@@ -78,3 +78,16 @@ def test_equals_brute_force(spark, texts):
 def test_small_blocks(spark, texts):
     rows = _cases()[:90]
     assert _rows(remove_repeats(texts(rows), block_bytes=500)) == _plain(rows)
+
+
+def test_half_of_the_rows_without_id_or_with_one_id(spark, texts):
+    draw = random.Random(5)
+    passage = " ".join(f"p{i}" for i in range(30))
+    rows = [(None if i % 2 else 7 if i % 4 else i, " ".join(draw.choices("abcdefgh", k=20)) + f" {passage} {i}") for i in range(160)]
+    rows += [(None, passage)] * 40 + [(3, passage)]
+    docs = texts(rows).repartition(6)
+    assert _rows(remove_repeats(docs, buckets=16, hot_bytes=1000)) == _plain(rows)
+    pieces = _pieces(docs, 16, 1000)
+    assert set(pieces) == {NO_ID, 7}
+    sizes = [r[1] for r in docs.groupBy(_owner_column(16, pieces)).count().collect()]
+    assert max(sizes) < 60 and len(sizes) > 10
