@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -122,74 +123,110 @@ def footprint_rect(lon: Column, lat: Column, distance: Column) -> dict[str, Colu
     }
 
 
-def _edges(xs: Column) -> Column:
-    return F.sequence(F.lit(1), F.size(xs) - 1)
+def ring_edges(xs: Column, ys: Column, hole: bool = False) -> Column:
+    """Edges (x1, y1, x2, y2) of a ring, counter-clockwise, or clockwise for a hole.
 
+    An open ring is closed, edges without length are left out.
+    """
+    points = F.arrays_zip(xs.alias("x"), ys.alias("y"))
+    ends = F.concat(F.slice(points, 2, F.greatest(F.size(points) - 1, F.lit(0))), F.slice(points, 1, 1))
+
+    def edge(a: Column, b: Column) -> Column:
+        return F.struct(a["x"].alias("x1"), a["y"].alias("y1"), b["x"].alias("x2"), b["y"].alias("y2"))
+
+    long = F.filter(F.zip_with(points, ends, edge), lambda e: (e["x1"] != e["x2"]) | (e["y1"] != e["y2"]))
+    doubled = F.aggregate(
+        long, F.lit(0.0), lambda acc, e: acc + (e["x1"] - xs[0]) * (e["y2"] - ys[0]) - (e["x2"] - xs[0]) * (e["y1"] - ys[0])
+    )
+    back = F.reverse(F.transform(long, lambda e: F.struct(
+        e["x2"].alias("x1"), e["y2"].alias("y1"), e["x1"].alias("x2"), e["y1"].alias("y2")
+    )))
+    return F.when(doubled > 0 if hole else doubled < 0, back).otherwise(long)
 
-def ring_contains(x: Column, y: Column, xs: Column, ys: Column) -> Column:
-    """True when the point is strictly inside the closed ring."""
 
-    def count(acc: Column, i: Column) -> Column:
-        x1, y1 = F.element_at(xs, i), F.element_at(ys, i)
-        x2, y2 = F.element_at(xs, i + 1), F.element_at(ys, i + 1)
-        straddles = (y1 > y) != (y2 > y)
-        return acc + F.when(straddles & (x < x1 + (y - y1) * (x2 - x1) / (y2 - y1)), 1).otherwise(0)
+def parts_edges(parts: Column) -> Column:
+    """Edges of a polygon of several parts: arrays of rings (xs, ys), of which the first is the shell, the rest are holes."""
 
-    def touches(i: Column) -> Column:
-        x1, y1 = F.element_at(xs, i), F.element_at(ys, i)
-        x2, y2 = F.element_at(xs, i + 1), F.element_at(ys, i + 1)
-        return (
-            ((x2 - x1) * (y - y1) == (y2 - y1) * (x - x1))
-            & x.between(F.least(x1, x2), F.greatest(x1, x2))
-            & y.between(F.least(y1, y2), F.greatest(y1, y2))
+    def part(rings: Column) -> Column:
+        shell = ring_edges(rings[0]["xs"], rings[0]["ys"])
+        holes = F.transform(
+            F.slice(rings, 2, F.greatest(F.size(rings) - 1, F.lit(0))), lambda ring: ring_edges(ring["xs"], ring["ys"], True)
         )
+        return F.concat(shell, F.flatten(holes))
 
-    odd = F.aggregate(_edges(xs), F.lit(0), count) % 2 == 1
-    return odd & ~F.exists(_edges(xs), touches)
+    return F.flatten(F.transform(F.filter(parts, lambda rings: F.size(rings) > 0), part))
 
 
-def _edge_meets_rect(
-    xs: Column, ys: Column, rx1: Column, ry1: Column, rx2: Column, ry2: Column
-) -> Column:
-    """True when some edge of the ring has a point in the closed rectangle."""
+def _straddles(a: Column, b: Column, line: Column) -> Column:
+    return (a > line) != (b > line)
+
+
+def crosses_left(e: Column, x: Column, y: Column) -> Column:
+    """True when an edge crosses the height ``y`` left of ``x``."""
+    return _straddles(e["y1"], e["y2"], y) & (x > edge_x(e, y))
+
+
+def edge_x(e: Column, y: Column) -> Column:
+    """Where an edge that is not level reaches the height ``y``."""
+    return e["x1"] + (y - e["y1"]) * (e["x2"] - e["x1"]) / (e["y2"] - e["y1"])
+
+
+def edge_y(e: Column, x: Column) -> Column:
+    """Where an edge that is not upright reaches ``x``."""
+    return e["y1"] + (x - e["x1"]) * (e["y2"] - e["y1"]) / (e["x2"] - e["x1"])
+
+
+def edge_touches(e: Column, x: Column, y: Column) -> Column:
+    """True when the point lies on the edge."""
+    return (
+        ((e["x2"] - e["x1"]) * (y - e["y1"]) == (e["y2"] - e["y1"]) * (x - e["x1"]))
+        & x.between(F.least(e["x1"], e["x2"]), F.greatest(e["x1"], e["x2"]))
+        & y.between(F.least(e["y1"], e["y2"]), F.greatest(e["y1"], e["y2"]))
+    )
+
+
+def _number(edges: Column, test: Callable[[Column], Column]) -> Column:
+    return F.aggregate(edges, F.lit(0), lambda acc, e: acc + F.when(test(e), 1).otherwise(0))
+
+
+def edges_contain(edges: Column, x: Column, y: Column) -> Column:
+    """True when the point is strictly inside the outline that all of its edges are given of."""
+    return (_number(edges, lambda e: crosses_left(e, x, y)) % 2 == 1) & ~F.exists(edges, lambda e: edge_touches(e, x, y))
+
 
-    def hits(i: Column) -> Column:
-        x1, y1 = F.element_at(xs, i), F.element_at(ys, i)
-        x2, y2 = F.element_at(xs, i + 1), F.element_at(ys, i + 1)
+def edges_contain_from(edges: Column, x: Column, y: Column, cx: Column, cy: Column, inside: Column) -> Column:
+    """The same from the edges near the point alone, given whether the corner (cx, cy) left below it is ``inside``.
+
+    The way leads up from the corner to the height of the point, then to the right.
+    """
+    up = _number(edges, lambda e: _straddles(e["x1"], e["x2"], cx) & (edge_y(e, cx) > cy) & (edge_y(e, cx) <= y))
+    right = _number(edges, lambda e: crosses_left(e, x, y) & (edge_x(e, y) > cx))
+    odd = (inside.cast("int") + up + right) % 2 == 1
+    return odd & ~F.exists(edges, lambda e: edge_touches(e, x, y))
+
+
+def edges_meet_rect(edges: Column, rx1: Column, ry1: Column, rx2: Column, ry2: Column) -> Column:
+    """True when some edge has a point in the closed rectangle."""
+
+    def hits(e: Column) -> Column:
         apart = (
-            (F.greatest(x1, x2) < rx1)
-            | (F.least(x1, x2) > rx2)
-            | (F.greatest(y1, y2) < ry1)
-            | (F.least(y1, y2) > ry2)
+            (F.greatest(e["x1"], e["x2"]) < rx1)
+            | (F.least(e["x1"], e["x2"]) > rx2)
+            | (F.greatest(e["y1"], e["y2"]) < ry1)
+            | (F.least(e["y1"], e["y2"]) > ry2)
         )
         # The edge misses the rectangle when all four corners lie on one side.
         sides = [
-            (x2 - x1) * (cy - y1) - (y2 - y1) * (cx - x1)
+            (e["x2"] - e["x1"]) * (cy - e["y1"]) - (e["y2"] - e["y1"]) * (cx - e["x1"])
             for cx, cy in ((rx1, ry1), (rx1, ry2), (rx2, ry1), (rx2, ry2))
         ]
         return ~apart & (F.least(*sides) <= 0) & (F.greatest(*sides) >= 0)
 
-    return F.exists(_edges(xs), hits)
+    return F.exists(edges, hits)
 
 
-def ring_meets_rect(
-    xs: Column, ys: Column, rx1: Column, ry1: Column, rx2: Column, ry2: Column
-) -> Column:
-    """True when a closed ring and an axis-aligned rectangle share a point."""
-    return _edge_meets_rect(xs, ys, rx1, ry1, rx2, ry2) | ring_contains(rx1, ry1, xs, ys)
-
-
-def ring_covers_rect(
-    xs: Column, ys: Column, rx1: Column, ry1: Column, rx2: Column, ry2: Column
-) -> Column:
-    """True when the rectangle lies strictly inside the ring."""
-    return ring_contains(rx1, ry1, xs, ys) & ~_edge_meets_rect(xs, ys, rx1, ry1, rx2, ry2)
-
-
-def ring_rect_overlap(
-    xs: Column, ys: Column, rx1: Column, ry1: Column, rx2: Column, ry2: Column
-) -> Column:
-    """Exact area shared by a simple ring and an axis-aligned rectangle.
+def edges_rect_overlap(edges: Column, rx1: Column, ry1: Column, rx2: Column, ry2: Column) -> Column:
+    """Exact area shared by a polygon, holes left out, and an axis-aligned rectangle.
 
     Sums, edge by edge, the area between the rectangle's floor and the edge
     clamped to the rectangle; edges of opposite direction cancel outside.
@@ -200,9 +237,8 @@ def ring_rect_overlap(
         # Antiderivative of y limited to [0, top].
         return F.when(y <= 0, 0.0).when(y <= top, y * y / 2).otherwise(top * y - top * top / 2)
 
-    def add(acc: Column, i: Column) -> Column:
-        x1, y1 = F.element_at(xs, i), F.element_at(ys, i) - ry1
-        x2, y2 = F.element_at(xs, i + 1), F.element_at(ys, i + 1) - ry1
+    def add(acc: Column, e: Column) -> Column:
+        x1, y1, x2, y2 = e["x1"], e["y1"] - ry1, e["x2"], e["y2"] - ry1
         slope = (y2 - y1) / (x2 - x1)
         xa = F.least(F.greatest(x1, rx1), rx2)
         xb = F.least(F.greatest(x2, rx1), rx2)
@@ -211,4 +247,11 @@ def ring_rect_overlap(
         tilted = (clamp_integral(yb) - clamp_integral(ya)) / slope
         return acc + F.when(x1 == x2, 0.0).when(y1 == y2, flat).otherwise(tilted)
 
-    return F.abs(F.aggregate(_edges(xs), F.lit(0.0), add))
+    return F.abs(F.aggregate(edges, F.lit(0.0), add))
+
+
+def ring_rect_overlap(
+    xs: Column, ys: Column, rx1: Column, ry1: Column, rx2: Column, ry2: Column
+) -> Column:
+    """Exact area shared by a simple ring and an axis-aligned rectangle."""
+    return edges_rect_overlap(ring_edges(xs, ys), rx1, ry1, rx2, ry2)

@@ -10,7 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from airlume.functions.geometry import edge_x
 from airlume.operators.skew import known_small, salted_join
+from airlume.operators.spatial import with_edges
 from airlume.session import materialize, shuffle_width
 
 STRIP = 64
@@ -145,9 +147,10 @@ def raster_window_max(
 
 def layer_grid(polygons: DataFrame, resolution: float = RESOLUTION) -> DataFrame:
     """Raster geometry per site: the bounds of its layer cut into whole pixels."""
-    bounds = polygons.groupBy("site_id").agg(
-        F.min(F.array_min("xs")).alias("x0"), F.max(F.array_max("xs")).alias("x_end"),
-        F.max(F.array_max("ys")).alias("y0"), F.min(F.array_min("ys")).alias("y_end"),
+    starts = lambda c: F.transform("edges", lambda e: e[c])
+    bounds = with_edges(polygons).groupBy("site_id").agg(
+        F.min(F.array_min(starts("x1"))).alias("x0"), F.max(F.array_max(starts("x1"))).alias("x_end"),
+        F.max(F.array_max(starts("y1"))).alias("y0"), F.min(F.array_min(starts("y1"))).alias("y_end"),
     )
     width, height = F.col("x_end") - F.col("x0"), F.col("y0") - F.col("y_end")
     grid = bounds.withColumn("ncols", (width / resolution).cast("int") + 1).withColumn(
@@ -167,32 +170,29 @@ _ON_EDGE = 1e-6
 def burn_strips(polygons: DataFrame, grid: DataFrame, value: str = "type") -> DataFrame:
     """Strips (site_id, r, strip, px) of burned pixels, NULL where nothing was burned.
 
-    A later polygon covers an earlier one. A pixel belongs to a polygon that holds its centre; a centre on the outline
-    counts for the left and upper sides only. Each polygon is cut into pixel
-    rows, and each row into the column runs between outline crossings.
+    A later polygon covers an earlier one. A pixel belongs to a polygon that holds its
+    centre; a centre on the outline counts for the left and upper sides only. Holes stay
+    empty. Edges, not polygons, are cut into pixel rows; the crossings of a polygon in
+    a row, two by two, bound its runs of pixels there.
     """
-    # Polygons are spread out before each becomes many pixels.
-    spread = polygons.repartition(shuffle_width(polygons.sparkSession), "site_id", "poly_id")
-    boxed = salted_join(spread, grid, ["site_id"]).select(
-        "site_id", "poly_id", value, "xs", "ys", "x0", "y0", "dx", "dy", "nrows", "ncols",
-        F.ceil((F.col("y0") - F.array_max("ys")) / F.col("dy") - 0.5 - _ON_EDGE).alias("r_from"),
-        (F.ceil((F.col("y0") - F.array_min("ys")) / F.col("dy") - 0.5 - _ON_EDGE) - 1).alias("r_to"),
+    edges = with_edges(polygons).select("site_id", "poly_id", value, F.explode("edges").alias("e"))
+    # Edges are spread out before each becomes many pixel rows.
+    spread = edges.repartition(shuffle_width(polygons.sparkSession), "site_id", "poly_id", "e")
+    e = F.col("e")
+    low, high = F.least(e["y1"], e["y2"]), F.greatest(e["y1"], e["y2"])
+    placed = salted_join(spread, grid, ["site_id"]).select(
+        "site_id", "poly_id", value, "e", "x0", "y0", "dx", "dy", "nrows", "ncols",
+        # a row more at either end; the crossing itself decides
+        F.greatest(F.floor((F.col("y0") - high) / F.col("dy")) - 1, F.lit(0)).alias("r_from"),
+        F.least(F.floor((F.col("y0") - low) / F.col("dy")) + 1, F.col("nrows") - 1).alias("r_to"),
     )
-    lines = boxed.where("r_from <= r_to").withColumn(
-        "r", F.explode(F.sequence(F.greatest("r_from", F.lit(0)), F.least("r_to", F.col("nrows") - 1)))
-    )
+    lines = placed.where("r_from <= r_to").withColumn("r", F.explode(F.sequence("r_from", "r_to")))
     y = F.col("y0") - (F.col("r") + 0.5 + _ON_EDGE) * F.col("dy")
-    xs, ys = F.col("xs"), F.col("ys")
-
-    def crossing(i: Column) -> Column:
-        x1, y1 = F.element_at(xs, i), F.element_at(ys, i)
-        x2, y2 = F.element_at(xs, i + 1), F.element_at(ys, i + 1)
-        return F.when((y1 > y) != (y2 > y), x1 + (y - y1) * (x2 - x1) / (y2 - y1))
-
-    crossings = F.array_sort(F.array_compact(F.transform(F.sequence(F.lit(1), F.size("xs") - 1), crossing)))
-    runs = lines.withColumn("_x", crossings).where(F.size("_x") >= 2).withColumn(
-        "_k", F.explode(F.sequence(F.lit(1), F.size("_x") - 1, F.lit(2)))
+    crossed = lines.where((e["y1"] > y) != (e["y2"] > y)).groupBy("site_id", "poly_id", value, "r").agg(
+        F.array_sort(F.collect_list(edge_x(e, y))).alias("_x"),
+        *[F.first(c).alias(c) for c in ("x0", "dx", "ncols")],
     )
+    runs = crossed.withColumn("_k", F.explode(F.sequence(F.lit(1), F.size("_x") - 1, F.lit(2))))
 
     def column_of(x: Column) -> Column:
         return F.ceil((x - F.col("x0")) / F.col("dx") - 0.5 - _ON_EDGE)

@@ -1,33 +1,49 @@
 """Joins between points, footprints and polygon layers.
 
 There is no spatial join in Spark, so both sides are cut into square buckets of
-``bucket`` degrees and meet in an equi-join on (site_id, bx, by); the exact
-test runs only on the pairs whose bounding boxes meet.
+``bucket`` degrees and meet in an equi-join on site and bucket. A polygon is a set of
+edges, so holes and further parts need nothing of their own. A bucket holds only the
+edges that cross it and whether its lower left corner is inside; buckets that lie
+wholly inside come from the gaps between crossed ones, 64 in a row as one where they
+can. Nothing ever copies a whole outline into a bucket.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from airlume.functions.geometry import (
-    ring_contains,
-    ring_covers_rect,
-    ring_meets_rect,
-    ring_rect_overlap,
+    edge_x,
+    edges_contain_from,
+    edges_meet_rect,
+    edges_rect_overlap,
+    parts_edges,
+    ring_edges,
 )
 from airlume.operators.skew import salted_join
 from airlume.session import materialize, shuffle_width
 
 BUCKET = 0.002
 FINE_BUCKET = 0.0005
+# Buckets start at this share of their width, so that round coordinates of outlines
+# do not lie on their borders.
+OFFSET = 0.381966011
+# Buckets in a row that lie wholly inside are one from 2^WIDE on.
+WIDE = 6
 _KEYS = ["site_id", "bx", "by"]
+_FULL_KEYS = ["site_id", "level", "bx", "by"]
 
 
 def _bucket(value: Column | str, bucket: float) -> Column:
-    return F.floor((F.col(value) if isinstance(value, str) else value) / bucket)
+    return F.floor((F.col(value) if isinstance(value, str) else value) / bucket + OFFSET)
+
+
+def _start(index: Column, bucket: float) -> Column:
+    """Where a bucket starts."""
+    return (index - OFFSET) * bucket
 
 
 def _over_buckets(df: DataFrame, x1: str, y1: str, x2: str, y2: str, bucket: float) -> DataFrame:
@@ -37,23 +53,86 @@ def _over_buckets(df: DataFrame, x1: str, y1: str, x2: str, y2: str, bucket: flo
     )
 
 
-def _bucketed(polygons: DataFrame, aggregates: Sequence[Column], bucket: float) -> DataFrame:
-    """One row per outline and bucket.
+def with_edges(polygons: DataFrame) -> DataFrame:
+    """``polygons`` with ``edges`` in place of ``parts`` (arrays of rings, shell first) or of one ring ``xs``, ``ys``."""
+    if "edges" in polygons.columns:
+        return polygons
+    if "parts" in polygons.columns:
+        return polygons.withColumn("edges", parts_edges(F.col("parts"))).drop("parts")
+    return polygons.withColumn("edges", ring_edges(F.col("xs"), F.col("ys"))).drop("xs", "ys")
+
+
+def _outlines(polygons: DataFrame, aggregates: Sequence[Column]) -> DataFrame:
+    """Distinct outlines with their smallest poly_id as ``_oid``.
 
     Copies of one outline are combined by ``aggregates`` first: a layer with
     the same polygon many times over must not multiply the candidate pairs.
     """
-    outlines = polygons.groupBy("site_id", "xs", "ys").agg(*aggregates)
-    boxed = outlines.select(
-        "*",
-        F.array_min("xs").alias("x1"),
-        F.array_min("ys").alias("y1"),
-        F.array_max("xs").alias("x2"),
-        F.array_max("ys").alias("y2"),
+    edged = with_edges(polygons).where(F.size("edges") > 0)
+    outlines = edged.groupBy("site_id", "edges").agg(F.min("poly_id").alias("_oid"), *aggregates)
+    return outlines.repartition(shuffle_width(polygons.sparkSession), "site_id", "_oid")
+
+
+def _crossed_buckets(outlines: DataFrame, bucket: float) -> DataFrame:
+    """Buckets that an outline crosses, with its edges there, the corner's side and the gap to the next in the row.
+
+    The side of a corner is the parity of crossings left of it at its height, summed
+    along the row of buckets.
+    """
+    e = F.col("e")
+    hair = bucket * 1e-6  # rounding must not let an edge slip out of its bucket
+    rows = outlines.select("site_id", "_oid", "_rank", "_value", F.explode("edges").alias("e")).withColumn(
+        "by", F.explode(F.sequence(
+            _bucket(F.least(e["y1"], e["y2"]) - hair, bucket), _bucket(F.greatest(e["y1"], e["y2"]) + hair, bucket)
+        ))
+    )
+    low, high = F.least(e["x1"], e["x2"]), F.greatest(e["x1"], e["x2"])
+    floor, top = _start(F.col("by"), bucket), _start(F.col("by") + 1, bucket)
+
+    def reach(y: Column) -> Column:
+        within = F.least(F.greatest(y, F.least(e["y1"], e["y2"])), F.greatest(e["y1"], e["y2"]))
+        return F.least(F.greatest(edge_x(e, within), low), high)
+
+    level = e["y1"] == e["y2"]
+    left = F.when(level, low).otherwise(F.least(reach(floor), reach(top))) - hair
+    right = F.when(level, high).otherwise(F.greatest(reach(floor), reach(top))) + hair
+    crossing = F.when((e["y1"] > floor) != (e["y2"] > floor), _bucket(edge_x(e, floor), bucket))
+    spread = rows.withColumns({"_cross": crossing, "_left": _bucket(left, bucket), "_right": _bucket(right, bucket)}).withColumn(
+        "bx", F.explode(F.sequence(F.least("_left", F.coalesce("_cross", "_left")), F.greatest("_right", F.coalesce("_cross", "_right"))))
+    )
+    held = spread.groupBy("site_id", "_oid", "by", "bx").agg(
+        F.collect_list("e").alias("edges"), F.count(F.when(F.col("_cross") == F.col("bx"), 1)).alias("_n"),
+        F.first("_rank").alias("_rank"), F.first("_value").alias("_value"),
+    )
+    row = Window.partitionBy("site_id", "_oid", "by").orderBy("bx")
+    passed = F.sum("_n").over(row.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return held.select(
+        *_KEYS, "_oid", "_rank", "_value", "edges", ((passed - F.col("_n")) % 2 == 1).alias("_corner"),
+        F.when(passed % 2 == 1, F.lead("bx").over(row)).alias("_inside_to"),
+    )
+
+
+def _full_pieces(crossed: DataFrame) -> DataFrame:
+    """Buckets wholly inside an outline: single ones at level 0, aligned rows of 2^WIDE at level WIDE."""
+    first, last = F.col("bx") + 1, F.col("_inside_to") - 1
+    wide = 1 << WIDE
+    runs = crossed.where(F.col("_inside_to") > F.col("bx") + 1).select(
+        "site_id", "by", "_rank", "_value", first.alias("_a"), last.alias("_b"),
+        F.shiftright(first + (wide - 1), WIDE).alias("_wa"), (F.shiftright(last + 1, WIDE) - 1).alias("_wb"),
+    )
+
+    def pieces(level: int, a: Column, b: Column) -> Column:
+        none = F.array().cast("array<struct<level:int,bx:bigint>>")
+        return F.when(a <= b, F.transform(F.sequence(a, b), lambda k: F.struct(F.lit(level).alias("level"), k.alias("bx")))).otherwise(none)
+
+    a, b, wa, wb = (F.col(c) for c in ("_a", "_b", "_wa", "_wb"))
+    cut = F.when(
+        wa <= wb,
+        F.concat(pieces(0, a, wa * wide - 1), pieces(WIDE, wa, wb), pieces(0, (wb + 1) * wide, b)),
+    ).otherwise(pieces(0, a, b))
+    return runs.select("site_id", "by", "_rank", "_value", F.explode(cut).alias("p")).select(
+        "site_id", "p.level", "p.bx", "by", "_rank", "_value"
     )
-    # Outlines are spread out before each becomes many rows.
-    spread = boxed.repartition(shuffle_width(polygons.sparkSession), "site_id", "x1", "y1", "x2", "y2")
-    return _over_buckets(spread, "x1", "y1", "x2", "y2", bucket)
 
 
 def covering_index(
@@ -62,39 +141,37 @@ def covering_index(
     """Index for "the lowest-ranked polygon here": (full, partial) bucket tables.
 
     Where a bucket lies wholly inside polygons no test is needed later, and one
-    row per bucket with the best of them is enough. Polygons that reach only
-    into a part of a bucket are kept for the exact test, unless the bucket's
-    full polygon outranks them anyway. Deep stacks of polygons thus shrink to
-    one row before any point meets them.
+    row per bucket with the best of them is enough. Buckets that an outline crosses
+    are kept for the exact test, unless a full polygon of the bucket outranks it
+    anyway. Deep stacks of polygons thus shrink to one row before any point meets them.
     """
     ranked = polygons.withColumn("_rank", rank)
-    index = _bucketed(
-        ranked, [F.min("_rank").alias("_rank"), F.min_by(value, "_rank").alias("_value")], bucket
-    )
-    square = [c * F.lit(bucket) for c in (F.col("bx"), F.col("by"), F.col("bx") + 1, F.col("by") + 1)]
-    # A hair wider than the bucket, so that rounding cannot let a point slip out.
-    hair = bucket * 1e-6
-    square = [square[0] - hair, square[1] - hair, square[2] + hair, square[3] + hair]
-    covers = (
-        (F.col("x1") < square[0]) & (F.col("y1") < square[1])
-        & (F.col("x2") > square[2]) & (F.col("y2") > square[3])
-        & ring_covers_rect(F.col("xs"), F.col("ys"), *square)
-    )
-    judged = materialize(index.withColumn("_full", covers), "polygon-cover")
+    outlines = _outlines(ranked, [F.min("_rank").alias("_rank"), F.min_by(value, "_rank").alias("_value")])
+    crossed = materialize(_crossed_buckets(outlines, bucket), "crossed-buckets")
     full = materialize(
-        judged.where("_full").groupBy(*_KEYS).agg(
-            F.min("_rank").alias("_rank"), F.min_by("_value", "_rank").alias("_value")
-        ),
+        _full_pieces(crossed).groupBy(*_FULL_KEYS).agg(F.min("_rank").alias("_rank"), F.min_by("_value", "_rank").alias("_value")),
         "full-buckets",
     )
-    best = full.select(*_KEYS, F.col("_rank").alias("_full_rank"))
-    partial = (
-        judged.where("not _full")
-        .join(best, _KEYS, "left")
-        .where(F.col("_full_rank").isNull() | (F.col("_rank") < F.col("_full_rank")))
-        .drop("_full", "_full_rank")
-    )
-    return full, materialize(partial, "partial-buckets")
+    best = crossed.drop("_inside_to")
+    for level in _levels(full):
+        here = full.where(F.col("level") == level).select("site_id", "by", F.col("bx").alias("_k"), F.col("_rank").alias("_best"))
+        best = salted_join(best.withColumn("_k", F.shiftright("bx", level)), here, ["site_id", "by", "_k"], "left")
+        best = best.where(F.col("_best").isNull() | (F.col("_rank") < F.col("_best"))).drop("_best", "_k")
+    return full, materialize(best, "partial-buckets")
+
+
+def _levels(full: DataFrame) -> list[int]:
+    """Levels that the index has; they are 0 and WIDE at most."""
+    return sorted(r["level"] for r in full.select("level").distinct().collect())
+
+
+def _on_full(placed: DataFrame, full: DataFrame, hot_rows: int | None) -> DataFrame:
+    """Rows with bx and by, joined to the full buckets that hold theirs."""
+    levels = _levels(full) or [0]
+    pieces = F.array(*[F.struct(F.lit(v).alias("level"), F.shiftright("bx", v).alias("bx")) for v in levels])
+    others = [c for c in placed.columns if c != "bx"]
+    keyed = placed.withColumn("_p", F.explode(pieces)).select(*others, "_p.level", "_p.bx")
+    return salted_join(keyed, full, _FULL_KEYS, hot_rows=hot_rows)
 
 
 def point_in_polygon_join(
@@ -108,14 +185,13 @@ def point_in_polygon_join(
         _bucket("longitude", bucket).alias("bx"), _bucket("latitude", bucket).alias("by"),
     )
     x, y = F.col("longitude"), F.col("latitude")
-    in_box = (x > F.col("x1")) & (x < F.col("x2")) & (y > F.col("y1")) & (y < F.col("y2"))
+    corner = _start(F.col("bx"), bucket), _start(F.col("by"), bucket)
     tested = (
         salted_join(placed, partial, _KEYS, hot_rows=hot_rows)
-        .where(in_box)
-        .where(ring_contains(x, y, F.col("xs"), F.col("ys")))
+        .where(edges_contain_from(F.col("edges"), x, y, *corner, F.col("_corner")))
         .select(key, "_rank", "_value")
     )
-    sure = salted_join(placed, full, _KEYS, hot_rows=hot_rows).select(key, "_rank", "_value")
+    sure = _on_full(placed, full, hot_rows).select(key, "_rank", "_value")
     first = tested.unionByName(sure).groupBy(key).agg(F.min_by("_value", "_rank").alias("_value"))
     return (
         points.join(first, key, "left")
@@ -127,23 +203,6 @@ def point_in_polygon_join(
 _RECT = ("rx1", "ry1", "rx2", "ry2")
 
 
-def _meeting_pairs(
-    boxes: DataFrame, index: DataFrame, bucket: float, hot_rows: int | None
-) -> DataFrame:
-    """Pairs of a box (rx1..ry2) and a polygon whose bounding boxes meet.
-
-    A pair that shares several buckets is kept only in the one that holds the
-    lower left corner of the common area.
-    """
-    spread = _over_buckets(boxes, "rx1", "ry1", "rx2", "ry2", bucket)
-    corner_x, corner_y = F.greatest("rx1", "x1"), F.greatest("ry1", "y1")
-    return salted_join(spread, index, _KEYS, hot_rows=hot_rows).where(
-        (F.col("rx1") <= F.col("x2")) & (F.col("rx2") >= F.col("x1"))
-        & (F.col("ry1") <= F.col("y2")) & (F.col("ry2") >= F.col("y1"))
-        & (_bucket(corner_x, bucket) == F.col("bx")) & (_bucket(corner_y, bucket) == F.col("by"))
-    )
-
-
 def footprint_heights(
     cells: DataFrame, polygons: DataFrame, keys: Sequence[str], value: str = "measured_height",
     bucket: float = FINE_BUCKET, hot_rows: int | None = None,
@@ -151,18 +210,21 @@ def footprint_heights(
     """(keys, value) rows whose maximum is the highest building a footprint touches.
 
     Only cells with a match appear; several rows per cell are possible and are
-    left to the aggregate that follows.
+    left to the aggregate that follows. A footprint that no edge of an outline meets
+    lies wholly in or out of it, which the bucket of its lower left corner tells.
     """
     full, partial = covering_index(polygons, value, -F.col(value), bucket)
-    boxes = cells.select("site_id", *keys, *_RECT)
+    spread = _over_buckets(cells.select("site_id", *keys, *_RECT), *_RECT, bucket)
     rect = [F.col(c) for c in _RECT]
+    corner = _start(F.col("bx"), bucket), _start(F.col("by"), bucket)
+    own = (_bucket("rx1", bucket) == F.col("bx")) & (_bucket("ry1", bucket) == F.col("by"))
+    inside = own & edges_contain_from(F.col("edges"), rect[0], rect[1], *corner, F.col("_corner"))
     tested = (
-        _meeting_pairs(boxes, partial, bucket, hot_rows)
-        .where(ring_meets_rect(F.col("xs"), F.col("ys"), *rect))
+        salted_join(spread, partial, _KEYS, hot_rows=hot_rows)
+        .where(edges_meet_rect(F.col("edges"), *rect) | inside)
         .select(*keys, F.col("_value").alias(value))
     )
-    spread = _over_buckets(boxes, *_RECT, bucket).select(*_KEYS, *keys)
-    sure = salted_join(spread, full, _KEYS, hot_rows=hot_rows).select(*keys, F.col("_value").alias(value))
+    sure = _on_full(spread.select(*_KEYS, *keys), full, hot_rows).select(*keys, F.col("_value").alias(value))
     return tested.unionByName(sure)
 
 
@@ -182,23 +244,33 @@ def largest_overlap_join(
 ) -> DataFrame:
     """One row per box with the attribute of the polygon it shares most area with.
 
-    Equal areas go to the lower poly_id; boxes that meet nothing keep NULL.
+    Equal areas go to the lower poly_id; boxes that meet nothing keep NULL. Holes
+    take no part in the area; a box that only touches an outline meets it.
     """
-    index = materialize(
-        _bucketed(
-            polygons,
-            [F.min_by(value, "poly_id").alias("_value"), F.min("poly_id").alias("_first")],
-            bucket,
-        ),
-        "polygon-index",
+    ranked = polygons.withColumn("_rank", F.col("poly_id"))
+    outlines = materialize(
+        _outlines(ranked, [F.min("_rank").alias("_rank"), F.min_by(value, "_rank").alias("_value")]), "outlines"
     )
+    edges = F.col("edges")
+    crossed = materialize(_crossed_buckets(outlines, bucket), "crossed-buckets")
+    spread = _over_buckets(boxes.select("site_id", key, *_RECT), *_RECT, bucket)
     rect = [F.col(c) for c in _RECT]
+    corner = _start(F.col("bx"), bucket), _start(F.col("by"), bucket)
+    # Boxes that an outline meets, and those that lie in it. Each is told by one bucket.
+    own = (_bucket("rx1", bucket) == F.col("bx")) & (_bucket("ry1", bucket) == F.col("by"))
+    near = salted_join(spread, crossed, _KEYS, hot_rows=hot_rows)
+    meets = near.where(edges_meet_rect(edges, *rect)).select("site_id", key, *_RECT, "_oid").distinct()
     # Round off the last float digits so that equal areas compare equal.
-    area = F.round(ring_rect_overlap(F.col("xs"), F.col("ys"), *rect) * 1e8, 6)
-    pairs = (
-        _meeting_pairs(boxes.select("site_id", key, *_RECT), index, bucket, hot_rows)
-        .where(ring_meets_rect(F.col("xs"), F.col("ys"), *rect))
-        .select(key, "_value", F.struct(area.alias("area"), (-F.col("_first")).alias("f")).alias("_rank"))
+    shared = F.round(edges_rect_overlap(edges, *rect) * 1e8, 6)
+    met = salted_join(meets, outlines, ["site_id", "_oid"], hot_rows=hot_rows).select(key, "_oid", "_value", shared.alias("_area"))
+    whole = F.round((rect[2] - rect[0]) * (rect[3] - rect[1]) * 1e8, 6)
+    inside = near.where(own & ~edges_meet_rect(edges, *rect) & edges_contain_from(edges, rect[0], rect[1], *corner, F.col("_corner")))
+    full = materialize(_full_pieces(crossed.withColumn("_rank", F.col("_oid"))), "full-outlines")
+    within = _on_full(spread.where(own), full, hot_rows).withColumn("_oid", F.col("_rank"))
+    kept = [df.select(key, "_oid", "_value", whole.alias("_area")) for df in (inside, within)]
+    # A box that starts in a full bucket may meet the outline elsewhere; its exact area is smaller.
+    pairs = met.unionByName(kept[0]).unionByName(kept[1]).groupBy(key, "_oid").agg(
+        F.min("_area").alias("_area"), F.first("_value").alias("_value")
     )
-    best = pairs.groupBy(key).agg(F.max_by("_value", "_rank").alias(value))
+    best = pairs.groupBy(key).agg(F.max_by("_value", F.struct("_area", (-F.col("_oid")).alias("f"))).alias(value))
     return boxes.join(best, key, "left")

@@ -76,9 +76,16 @@ PARTS["boxes"] = """
            degrees(2 * atan(exp((my - wid / 2) / 6378137e0)) - pi() / 2) ry1,
            degrees(2 * atan(exp((my + wid / 2) / 6378137e0)) - pi() / 2) ry2
     from {mercator}"""
+# Both sides cut into squares of 0.002 degrees, so that the join has keys.
 PARTS["box_heights"] = """
     select c.sample_id, c.cell_idx, max(b.measured_height) bh
-    from {boxes} c join {buildings} b on b.site_id = c.site_id
+    from (select c.*, u.k kx, v.k ky from {boxes} c,
+               lateral (select unnest(range(cast(floor(rx1 * 500) as bigint), cast(floor(rx2 * 500) as bigint) + 1)) k) u,
+               lateral (select unnest(range(cast(floor(ry1 * 500) as bigint), cast(floor(ry2 * 500) as bigint) + 1)) k) v) c
+    join (select b.*, u.k kx, v.k ky from {buildings} b,
+               lateral (select unnest(range(cast(floor(xmin * 500) as bigint), cast(floor((xmin + w) * 500) as bigint) + 1)) k) u,
+               lateral (select unnest(range(cast(floor(ymin * 500) as bigint), cast(floor((ymin + h) * 500) as bigint) + 1)) k) v) b
+      on b.site_id = c.site_id and b.kx = c.kx and b.ky = c.ky
      and c.rx1 <= b.xmin + b.w and c.rx2 >= b.xmin and c.ry1 <= b.ymin + b.h and c.ry2 >= b.ymin
     group by 1, 2"""
 PARTS["dem_windows"] = """
