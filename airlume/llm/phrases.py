@@ -38,8 +38,9 @@ FILTER_BITS = 27
 # n-grams for one summary at most, until there are MAX_BUCKETS of them.
 BUCKET_MASS = 1 << 24
 MIN_BUCKETS, MAX_BUCKETS = 32, 1 << 16
-# Entries added to a summary at a time.
+# Entries added to a summary at a time, and exact counts that a task holds before it sends them.
 FOLD_ENTRIES = 1 << 20
+HELD_ENTRIES = 1 << 18
 _lists = "lang array<string>, phrase array<string>, words array<int>, count array<long>"
 # Pieces a language's candidates are dealt over to be ranked.
 RANK_PIECES = 64
@@ -270,7 +271,7 @@ def _summary(buckets: int, capacity: int, min_count: int):
 
 
 def _count(shared, buckets: int, block_bytes: int):
-    """Exact counts, block by block, of the n-grams that the filter lets through, one row per bucket.
+    """Exact counts of the n-grams that the filter lets through, folded over the blocks of a task as far as they fit.
 
     n-grams are told apart by the numbers of their words, not by hashes. One can only
     be frequent if what it has left without its last word is, and that word too.
@@ -280,6 +281,7 @@ def _count(shared, buckets: int, block_bytes: int):
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks = shared.value
+        held: pa.Table | None = None
 
         def passes(keys: np.ndarray) -> np.ndarray:
             bit = (keys >> shift).astype(np.int64)
@@ -317,41 +319,53 @@ def _count(shared, buckets: int, block_bytes: int):
                 found.append(((keys[first] >> width).astype(np.int64), part[first], phrases, k, n))
                 shorter = np.full(len(code), -1, np.int64)
                 shorter[at] = number
-            yield _by_bucket(names, found)
+            held = _added(held, names, found)
+            if len(held) > HELD_ENTRIES:
+                yield _by_bucket(held)
+                held = None
+        if held:
+            yield _by_bucket(held)
 
     return work
 
 
-def _by_bucket(names: np.ndarray, found: list[tuple]) -> pa.RecordBatch:
-    """(bucket, part, phrases, words, n) of each length as one row per bucket."""
-    bucket = np.concatenate([b for b, *_ in found])
-    order = np.argsort(bucket, kind="stable")
-    bucket = bucket[order]
+_PHRASE = ["lang", "phrase", "words"]
+
+
+def _added(held: pa.Table | None, names: np.ndarray, found: list[tuple]) -> pa.Table:
+    """Counts so far with those of a block: (bucket, part, phrases, words, n) of each length."""
+    part = np.concatenate([p for _, p, *_ in found])
+    block = pa.table({
+        "bucket": pa.array(np.concatenate([b for b, *_ in found]).astype(np.int32)),
+        "lang": pa.array(names.tolist(), pa.string()).take(pa.array(part)),
+        "phrase": pa.array([x for f in found for x in f[2]], pa.string()),
+        "words": pa.array(np.concatenate([np.full(len(f[4]), f[3], np.int32) for f in found])),
+        "count": pa.array(np.concatenate([f[4] for f in found]).astype(np.int64)),
+    })
+    return _summed(pa.concat_tables([held, block]), ["bucket", *_PHRASE]) if held else block
+
+
+def _summed(table: pa.Table, keys: list[str]) -> pa.Table:
+    return table.group_by(keys).aggregate([("count", "sum")]).select([*keys, "count_sum"]).rename_columns([*keys, "count"])
+
+
+def _by_bucket(held: pa.Table) -> pa.RecordBatch:
+    """The counts as one row per bucket."""
+    held = held.sort_by("bucket").combine_chunks()
+    bucket = held.column("bucket").to_numpy()
     at = np.flatnonzero(np.diff(bucket, prepend=-1))
     offsets = pa.array([*at, len(bucket)], pa.int32())
-    part = np.concatenate([p for _, p, *_ in found])
-    columns = [
-        pa.array(names[part[order]].tolist(), pa.string()),
-        pa.array([x for f in found for x in f[2]], pa.string()).take(pa.array(order)),
-        pa.array(np.concatenate([np.full(len(f[4]), f[3], np.int32) for f in found])[order]),
-        pa.array(np.concatenate([f[4] for f in found]).astype(np.int64)[order]),
-    ]
-    return pa.RecordBatch.from_arrays(
-        [pa.array(bucket[at], pa.int32()), *(pa.ListArray.from_arrays(offsets, c) for c in columns)],
-        names=["bucket", "lang", "phrase", "words", "count"],
-    )
+    lists = [pa.ListArray.from_arrays(offsets, pa.concat_arrays(held.column(c).chunks)) for c in [*_PHRASE, "count"]]
+    return pa.RecordBatch.from_arrays([pa.array(bucket[at], pa.int32()), *lists], names=["bucket", *_PHRASE, "count"])
 
 
 def _sums(min_count: int):
     """Counts of a bucket over all blocks; those below the threshold go."""
-    keys = ["lang", "phrase", "words"]
-
     def work(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
         for batch in slices(batches):
-            part = pa.table({c: batch.column(c).flatten() for c in [*keys, "count"]})
-            held = pa.concat_tables([held, part]) if held else part
-            held = held.group_by(keys).aggregate([("count", "sum")]).select([*keys, "count_sum"]).rename_columns([*keys, "count"])
+            part = pa.table({c: batch.column(c).flatten() for c in [*_PHRASE, "count"]})
+            held = _summed(pa.concat_tables([held, part]) if held else part, _PHRASE)
         often = pc.or_(pc.greater_equal(held.column("count"), min_count), pc.equal(held.column("words"), 0))
         yield from held.filter(often).to_batches()
 
