@@ -1,26 +1,30 @@
 """Byte-level BPE over overlapping chunks of text, and its inverse.
 
-A text longer than one chunk is cut into chunks that overlap. Each chunk is split
-into pre-tokens on its own. A chunk that starts inside a pre-token splits wrongly
-at first, but once it shares one boundary with the chunk before it, both agree from
-there on, because the pattern never looks back. The pieces between such boundaries
-are encoded apart from each other, and their ids are joined in order.
+A text longer than one chunk is cut into chunks that overlap and are dealt over all
+tasks. Each chunk is split into pre-tokens where it lies. A chunk that starts inside
+a pre-token splits wrongly at first, but once it shares one boundary with the chunk
+before it, both agree from there on, because the pattern never looks back. Only the
+boundaries inside overlaps travel; they settle where each chunk hands over to the
+next. The pieces between are encoded where their chunks lie, and their ids are joined
+in order. Chunks that share no boundary are joined to one and split again.
 """
 
 from __future__ import annotations
 
 import base64
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import pairwise
 
 import pyarrow as pa
 import regex
 import tiktoken
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from airlume.llm.textblocks import slices
+from airlume.session import materialize, shuffle_width
 
 # Code points of a chunk and of the part it shares with the next one.
 CHUNK = 16_384
@@ -30,6 +34,10 @@ OVERLAP = 512
 LOOKAHEAD = 3
 # Rows handed over together; texts are long.
 ROWS = 128
+# What a long text is known by, and the columns of its chunks.
+KEY = ("row", "version")
+_TEXT = "row long, version long, doc_id long"
+_PART = f"{_TEXT}, start int, part string, size int, head array<int>, tail array<int>"
 
 
 def _ranks(path: str) -> dict[bytes, int]:
@@ -69,19 +77,82 @@ def encode(docs: DataFrame, path: str, pattern: str, chunk: int = CHUNK, overlap
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     single = F.length("text") <= chunk
     whole = source.where(single).mapInArrow(_encode_whole(path, pattern), "doc_id long, ids array<int>")
-    # Numbered rows keep long texts with equal ids apart while their chunks travel.
-    parts = _chunks(source.where(~single), chunk, overlap).groupBy("row", "doc_id")
-    long = parts.applyInArrow(_encode_chunks(path, pattern), "doc_id long, ids array<int>")
-    return whole.unionByName(long)
+    chunks = _chunks(source.where(~single), chunk, overlap)
+    long = _pieces(chunks, path, pattern, overlap).mapInArrow(
+        _encode_pieces(path, pattern), f"{_TEXT}, start int, ids array<int>"
+    )
+    in_order = F.array_sort(F.collect_list(F.struct("start", "ids")))
+    joined = long.groupBy(*KEY, "doc_id").agg(F.flatten(F.transform(in_order, lambda x: x["ids"])).alias("ids"))
+    return whole.unionByName(joined.select("doc_id", "ids"))
 
 
 def _chunks(long: DataFrame, chunk: int, overlap: int) -> DataFrame:
-    """(row, doc_id, start, part): chunks of ``chunk`` code points, ``overlap`` of them shared."""
-    step = chunk - overlap
-    starts = F.sequence(F.lit(0), F.length("text") - overlap - 1, F.lit(step))
-    numbered = long.withColumn("row", F.xxhash64("text", F.monotonically_increasing_id()))
-    return numbered.select("row", "doc_id", "text", F.explode(starts).alias("start")).select(
-        "row", "doc_id", "start", F.substring("text", F.col("start") + 1, F.lit(chunk)).alias("part")
+    """Chunks of ``chunk`` code points, ``overlap`` of them shared, dealt over all tasks."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for one in slices([batch], 1):
+                row, version, doc_id, text = (column[0].as_py() for column in one.columns)
+                starts = range(0, len(text) - overlap, chunk - overlap)
+                for a in range(0, len(starts), ROWS):
+                    some = starts[a : a + ROWS]
+                    yield _batch(
+                        f"{_TEXT}, start int, part string",
+                        [row] * len(some), [version] * len(some), [doc_id] * len(some),
+                        list(some), [text[x : x + chunk] for x in some],
+                    )
+
+    # A number and a hash keep texts with equal ids apart while their chunks travel.
+    numbered = long.select(
+        F.monotonically_increasing_id().alias("row"), F.xxhash64("text").alias("version"), "doc_id", "text"
+    )
+    parts = numbered.mapInArrow(work, f"{_TEXT}, start int, part string")
+    # A stated width: small chunks cost much work each, so they are not to be coalesced.
+    return parts.repartition(shuffle_width(long.sparkSession), *KEY, "start")
+
+
+def _pieces(chunks: DataFrame, path: str, pattern: str, overlap: int) -> DataFrame:
+    """Chunks with the places ``begin`` and ``until`` between which each is encoded.
+
+    Texts whose chunks all meet are settled; the others join the chunks that do not
+    meet and are settled with these longer chunks, which only few texts need.
+    """
+    parts = materialize(chunks.mapInArrow(_edges(path, pattern, overlap), _PART), "bpe-chunks")
+    found = None
+    while True:
+        seams = materialize(_seams(parts), "bpe-seams")
+        placed = parts.drop("head", "tail").join(seams, [*KEY, "start"])
+        settled = placed.where(~F.col("open")).drop("open", "run")
+        found = settled if found is None else found.unionByName(settled)
+        if seams.where("open").isEmpty():
+            return found
+        again = placed.where("open").groupBy(*KEY, "doc_id", "run")
+        parts = materialize(again.applyInArrow(_join_run(path, pattern, overlap), _PART), "bpe-joined")
+
+
+def _seams(parts: DataFrame) -> DataFrame:
+    """Where each chunk begins and ends to count, from the boundaries in overlaps alone.
+
+    ``open`` is true for a text with neighbours that do not meet, and ``run`` numbers
+    the runs of such neighbours.
+    """
+    text = Window.partitionBy(*KEY)
+    order = text.orderBy("start")
+    following = F.lead("head").over(order)
+    meets = parts.select(
+        *KEY, "start", "size", F.array_min(F.array_intersect("tail", following)).alias("until"),
+        following.isNull().alias("last"),
+    ).withColumn("begin", F.lag("until").over(order))
+    # Where overlaps are longer than half a chunk, a seam may lie before the one ahead of it.
+    parted = ~F.col("last") & (F.col("until").isNull() | F.coalesce(F.col("until") < F.col("begin"), F.lit(False)))
+    flagged = meets.withColumn("parted", parted)
+    follows = F.coalesce(F.lag("parted").over(order), F.lit(False))
+    return flagged.select(
+        *KEY, "start",
+        F.coalesce("begin", "start").alias("begin"),
+        F.coalesce("until", F.col("start") + F.col("size")).alias("until"),
+        F.max("parted").over(text).alias("open"),
+        F.sum((~follows).cast("int")).over(order).alias("run"),
     )
 
 
@@ -98,15 +169,46 @@ def _with_ids(doc_id: pa.Array, ids: list[list[int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([doc_id, pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
 
-def _encode_chunks(path: str, pattern: str):
-    def work(table: pa.Table) -> pa.Table:
-        encoding, split = vocabulary(path, pattern)
-        table = table.sort_by("start")
-        chunks = list(zip(table.column("start").to_pylist(), table.column("part").to_pylist(), strict=True))
-        ids: list[int] = []
-        for piece in pieces(chunks, split):
-            ids += encoding.encode_ordinary(piece)
-        return pa.Table.from_batches([_with_ids(table.column("doc_id").combine_chunks()[:1], [ids])])
+def _batch(schema: str, *columns: list) -> pa.RecordBatch:
+    arrays = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "array<int>": pa.list_(pa.int32())}
+    names, kinds = zip(*(x.split() for x in schema.split(", ")), strict=True)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(c, arrays[k]) for c, k in zip(columns, kinds, strict=True)], names=list(names)
+    )
+
+
+def _edges(path: str, pattern: str, overlap: int):
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        split = vocabulary(path, pattern)[1]
+        for batch in slices(batches, ROWS):
+            *key, starts, parts = (column.to_pylist() for column in batch.columns)
+            marks = [edges(a, x, split, overlap) for a, x in zip(starts, parts, strict=True)]
+            sizes = [len(x) for x in parts]
+            yield _batch(_PART, *key, starts, parts, sizes, [x for x, _ in marks], [x for _, x in marks])
+
+    return work
+
+
+def _join_run(path: str, pattern: str, overlap: int):
+    def work(run: pa.Table) -> pa.Table:
+        split = vocabulary(path, pattern)[1]
+        run = run.sort_by("start")
+        start, part = joined(list(zip(run["start"].to_pylist(), run["part"].to_pylist(), strict=True)))
+        head, tail = edges(start, part, split, overlap)
+        key = [run[x].to_pylist()[:1] for x in (*KEY, "doc_id")]
+        return pa.Table.from_batches([_batch(_PART, *key, [start], [part], [len(part)], [head], [tail])])
+
+    return work
+
+
+def _encode_pieces(path: str, pattern: str):
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoding = vocabulary(path, pattern)[0]
+        for batch in slices(batches, ROWS):
+            get = lambda name: batch.column(name).to_pylist()  # noqa: B023, E731
+            spans = zip(get("part"), get("start"), get("begin"), get("until"), strict=True)
+            ids = [encoding.encode_ordinary(x[b - a : c - a]) for x, a, b, c in spans]
+            yield _batch(f"{_TEXT}, start int, ids array<int>", *map(get, (*KEY, "doc_id", "start")), ids)
 
     return work
 
@@ -116,45 +218,48 @@ def boundaries(text: str, split: regex.Pattern) -> list[int]:
     return [m.start() for m in split.finditer(text)]
 
 
-def pieces(chunks: list[tuple[int, str]], split: regex.Pattern) -> Iterator[str]:
-    """The whole text in pieces that begin and end at its pre-token boundaries.
+def edges(start: int, part: str, split: regex.Pattern, overlap: int) -> tuple[list[int], list[int]]:
+    """Boundaries in the first and in the last ``overlap`` of a chunk, as places of the whole text.
 
-    ``chunks`` are (start, part) in order, each overlapping the next. Where two
-    chunks share no boundary both can be trusted with, they are taken as one.
+    Of the last ones only those that the chunk is sure of and that do not follow white
+    space: at the end of a piece such a run would be taken whole, while before a word
+    its last character stands alone.
     """
-    start, part = chunks[0]
     cuts = boundaries(part, split)
-    begin = 0  # a boundary of the whole text, inside part
-    for at, following in chunks[1:]:
-        ahead = boundaries(following, split)
-        shift = at - start
-        meet = _meeting(part, cuts, ahead, shift, begin)
-        if meet is None:
-            part = part[:shift] + following
-            # Boundaries short of the end of the old part still hold.
-            trusted = cuts[: max(1, bisect_left(cuts, shift - LOOKAHEAD))]
-            from_here = trusted[-1]
-            cuts = trusted[:-1] + [from_here + x for x in boundaries(part[from_here:], split)]
-            continue
-        if meet > begin:
-            yield part[begin:meet]
-        start, part, cuts, begin = at, following, [x for x in ahead if x >= meet - shift], meet - shift
-    yield part[begin:]
-
-
-def _meeting(part: str, cuts: list[int], ahead: list[int], shift: int, begin: int) -> int | None:
-    """First place where both chunks have a boundary that the first one is sure of.
-
-    It does not follow white space: at the end of a piece such a run would be taken
-    whole, while before a word its last character stands alone.
+    sure = cuts[bisect_left(cuts, len(part) - overlap) : bisect_right(cuts, len(part) - LOOKAHEAD)]
+    tail = [start + x for x in sure if not (x and part[x - 1].isspace())]
+    return [start + x for x in cuts[: bisect_left(cuts, overlap)]], tail
+
+
+def joined(chunks: list[tuple[int, str]]) -> tuple[int, str]:
+    """One chunk from several (start, part), each overlapping the next."""
+    ends = [b for b, _ in chunks[1:]]
+    own = [x[: b - a] for (a, x), b in zip(chunks, ends)]
+    return chunks[0][0], "".join([*own, chunks[-1][1]])
+
+
+def pieces(chunks: list[tuple[int, str]], split: regex.Pattern) -> Iterator[str]:
+    """The pieces of one text whose chunks are at hand, by the steps of ``encode``.
+
+    ``chunks`` are (start, part) in order, each overlapping the next.
     """
-    inside = set(ahead)
-    for cut in cuts[bisect_left(cuts, max(shift, begin)) :]:
-        if cut + LOOKAHEAD > len(part):
-            return None
-        if cut - shift in inside and not (cut and part[cut - 1].isspace()):
-            return cut
-    return None
+    while True:
+        runs, seams = [[chunks[0]]], [chunks[0][0]]
+        for (a, x), (b, y) in pairwise(chunks):
+            overlap = a + len(x) - b
+            shared = set(edges(a, x, split, overlap)[1]) & set(edges(b, y, split, overlap)[0])
+            meet = min(shared, default=-1)
+            if meet < seams[-1]:
+                runs[-1].append((b, y))
+            else:
+                runs.append([(b, y)])
+                seams.append(meet)
+        if len(runs) == len(chunks):
+            break
+        chunks = [joined(x) for x in runs]
+    ends = [*seams[1:], chunks[-1][0] + len(chunks[-1][1])]
+    for (a, x), begin, until in zip(chunks, seams, ends, strict=True):
+        yield x[begin - a : until - a]
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:

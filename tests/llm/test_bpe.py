@@ -5,7 +5,9 @@ import random
 import public_tokenizers
 import pytest
 
-from airlume.llm.bpe import boundaries, decode, encode, pieces, vocabulary
+from pyspark.sql import functions as F
+
+from airlume.llm.bpe import _chunks, _pieces, boundaries, decode, encode, pieces, vocabulary
 
 PATH, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
@@ -46,3 +48,18 @@ def test_equals_the_library_and_comes_back(spark, texts, chunk, overlap):
 
 def test_empty_table(spark, texts):
     assert decode(encode(texts([]), PATH, PATTERN), PATH).count() == 0
+
+
+def test_one_long_text_is_split_and_encoded_over_many_tasks(spark, texts):
+    encoding, _ = vocabulary(PATH, PATTERN)
+    text = "".join(f"word{i % 977} it's {i}, " for i in range(200_000)) + "y" * 70_000 + " end"
+    source = texts([(1, text)]).select("doc_id", "text")
+    chunks = _chunks(source, 16_384, 512)
+    assert chunks.groupBy(F.spark_partition_id()).count().count() > 4
+    found = _pieces(chunks, PATH, PATTERN, 512)
+    spans = sorted((r.begin, r.until) for r in found.select("begin", "until").collect())
+    assert [a for a, _ in spans[1:]] == [b for _, b in spans[:-1]]
+    assert (spans[0][0], spans[-1][1]) == (0, len(text))
+    # Only the run of one letter, longer than four chunks, is held as one.
+    assert len(spans) > 200 and sorted(b - a for a, b in spans)[-2] < 17_000
+    assert encode(source, PATH, PATTERN).first().ids == encoding.encode_ordinary(text)
