@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from airlume.session import materialize
+from airlume.session import materialize, shuffle_width
 
 # Required columns and accepted aliases of the upload form.
 REQUIRED = ("latitude", "longitude", "rssi")
@@ -29,6 +29,8 @@ LOG_COLUMNS = ("id", "NodeID", "RouteInfo", "DestID", "SendTime", "SeqID", "Recv
 _NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)(e[+-]?[0-9]+)?$|^[+-]?(nan|inf|infinity)$"
 # Tasks a stored dataset is written by.
 WRITE_PIECES = 8
+# Points of a mesh that one row expands to.
+MESH_BLOCK = 1 << 16
 
 _MEASUREMENT = ("longitude", "latitude", "rssi")
 
@@ -272,11 +274,14 @@ def read_ensemble(spark: SparkSession, folder: str) -> list:
     return [Expert(stages[e]) for e in sorted(stages)]
 
 
-def grid_points(areas: DataFrame) -> DataFrame:
+def grid_points(areas: DataFrame, block: int = MESH_BLOCK) -> DataFrame:
     """n x m mesh per area, both ends included, latitude in the outer loop.
 
     ``areas``: area_id, lon_min, lon_max, lat_min, lat_max, n, m. A box without
-    extent gives one point. Emits the raw-log columns with an impossible RSSI.
+    extent gives one point; an area without lines or columns, or of unknown size,
+    gives none. Emits the raw-log columns with an impossible RSSI. Points are made
+    in blocks of ``block``, dealt evenly over all tasks, so an area of any size is
+    no single task's work.
     """
     one = (F.col("lon_min") == F.col("lon_max")) & (F.col("lat_min") == F.col("lat_max"))
     sized = areas.withColumns(
@@ -285,12 +290,17 @@ def grid_points(areas: DataFrame) -> DataFrame:
     n, m = F.col("_n"), F.col("_m")
     lon_step = F.when(n > 1, (F.col("lon_max") - F.col("lon_min")) / (n - 1)).otherwise(0.0)
     lat_step = F.when(m > 1, (F.col("lat_max") - F.col("lat_min")) / (m - 1)).otherwise(0.0)
-    mesh = (
-        sized.withColumns({"_dx": lon_step, "_dy": lat_step})
-        # Lines first, then points of a line: no long array per area.
-        .withColumn("_i", F.explode(F.sequence(F.lit(0), m - 1)))
-        .withColumn("_j", F.explode(F.sequence(F.lit(0), n - 1)))
+    points = n.cast("long") * m
+    first = F.col("_block") * F.lit(block)
+    blocks = (
+        sized.withColumns({"_dx": lon_step, "_dy": lat_step, "_points": points})
+        .where((n > 0) & (m > 0))
+        .withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_points") - 1) / block))))
+        .repartition(shuffle_width(areas.sparkSession))
     )
+    mesh = blocks.withColumn(
+        "_point", F.explode(F.sequence(first, F.least(first + F.lit(block), F.col("_points")) - 1))
+    ).withColumns({"_i": (F.col("_point") - F.col("_point") % n) / n, "_j": F.col("_point") % n})
     zero = F.lit(0)
     values = {
         "Latitude": F.col("lat_min") + F.col("_i") * F.col("_dy"),
@@ -298,7 +308,7 @@ def grid_points(areas: DataFrame) -> DataFrame:
         "RSSI": F.lit(-999),
     }
     return mesh.select(
-        "area_id", (F.col("_i") * n + F.col("_j")).cast("long").alias("point_idx"),
+        "area_id", F.col("_point").alias("point_idx"),
         *[values.get(c, zero).alias(c) for c in LOG_COLUMNS],
     )
 
