@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from airlume.functions import radio
@@ -111,7 +111,19 @@ def predict(fits: Sequence, features: DataFrame, judge=None) -> DataFrame:
     return (out if judge is None else experts.apply_judge(judge, out)).drop("x")
 
 
-def predict_area(areas: DataFrame, fits: Sequence, maps: Maps, folder: str, stamp: str) -> DataFrame:
+def fit_judge(features: DataFrame, k: int, folds: int = 5, seed: int = SEED, **fit):
+    """Judge of what the experts' median misses, from out-of-fold predictions of ``features``."""
+    ready = splits.fold_of(experts.with_model_input(features).drop(*ARRAYS), "sample_id", folds, seed)
+    ready = materialize(ready, "judge-rows")
+    members = materialize(splits.expert_splits(ready.select("sample_id"), "sample_id", k, seed), "members")
+    oof = materialize(experts.kfold_oof(ready, members, k, folds, **fit), "judge-oof")
+    judged = ensemble.ensemble_stats(oof, [f"model_{i}" for i in range(k)])
+    return experts.fit_judge(judged.withColumn("median_prediction", F.col("predicted_value")), "target_db")
+
+
+def predict_area(
+    areas: DataFrame, fits: Sequence, maps: Maps, folder: str, stamp: str, judge=None
+) -> DataFrame:
     """Mesh over each area, features, prediction, and the table written as CSV."""
     mesh = files.grid_points(areas).join(areas.select("area_id", "site_id"), "area_id")
     points = mesh.select(
@@ -119,7 +131,25 @@ def predict_area(areas: DataFrame, fits: Sequence, maps: Maps, folder: str, stam
         F.col("Longitude").alias("longitude"), F.col("Latitude").alias("latitude"),
         F.col("RSSI").cast("double").alias("rssi"),
     )
-    return predict_points(points, fits, maps, folder, stamp)
+    return predict_points(points, fits, maps, folder, stamp, judge)
+
+
+def predict_file(
+    spark: SparkSession, source: str, fits: Sequence, maps: Maps, folder: str, stamp: str, judge=None,
+    site_id: int | None = None,
+) -> DataFrame:
+    """Prediction for the distinct points of a user's CSV files below ``source``.
+
+    A point belongs to the site its ``site_id`` column names, else to ``site_id``;
+    a point of neither is left out. ``sample_id`` is a digest of the point, the same in
+    every run. Files that cannot be read as measurements are passed over.
+    """
+    rows = files.read_measurements(spark, source, extra=("site_id",))
+    owner = F.coalesce(F.expr("try_cast(trim(site_id) as int)"), F.lit(site_id).cast("int"))
+    points = rows.withColumn("site_id", owner).where("site_id is not null").distinct()
+    digest = F.md5(F.concat_ws(",", "site_id", "longitude", "latitude", "rssi"))
+    named = points.select(digest.alias("sample_id"), "site_id", "longitude", "latitude", "rssi")
+    return predict_points(materialize(named, "file-points"), fits, maps, folder, stamp, judge)
 
 
 def predict_points(

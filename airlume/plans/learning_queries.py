@@ -436,3 +436,35 @@ def _job_predict_area(spark: SparkSession, sf: str) -> DataFrame:
         "sample_id", "longitude", "latitude", "distance_m", *_MODELS, "predicted_value", "uncertainty",
         "path_loss_eta_2", "path_loss_eta_3",
     )
+
+
+@query("job_predict_file", f"""
+    select site_id, {rd('longitude', 6)} longitude, {rd('latitude', 6)} latitude, {rd('rssi', 6)} rssi,
+           true is_median, true judged
+    from (select distinct site_id, longitude, latitude, rssi from {{measurements}}) q""")
+def _job_predict_file(spark: SparkSession, sf: str) -> DataFrame:
+    """Every measured point from a user's file, with the judge read back from the bundle.
+
+    Shown are the points and facts that hold for any fit: the prediction is the median
+    of the experts, and the judge moved it by a finite amount.
+    """
+    maps, source, bundle = _maps(spark, sf), new_folder(spark, "point-file"), new_folder(spark, "ensemble")
+    measured = table(spark, sf, "measurements")
+    own = measured.select(
+        F.col("latitude").alias("Latitude"), F.col("longitude").alias("Longitude"), F.col("rssi").alias("RSSI"), "site_id"
+    )
+    files.write_csv(own.unionByName(own), f"{source}/points.csv")
+    features = materialize(maps.features(measured), "features")
+    trained = jobs.train(features, K)
+    files.write_ensemble(trained.experts, bundle, spark, judge=jobs.fit_judge(features, K), n_experts=K)
+    stored = files.read_bundle(spark, bundle)
+    out = jobs.predict_file(
+        spark, source, stored["experts"], maps, new_folder(spark, "file"), "20240101_000000", stored["judge"]
+    )
+    shift = F.col("predicted_value_judge") - F.col("predicted_value")
+    middle = F.sort_array(F.array(*_MODELS))[K // 2]
+    return out.select(
+        F.col("site_id").cast("int").alias("site_id"), *[r(c, 6).alias(c) for c in ("longitude", "latitude", "rssi")],
+        (F.abs(F.col("predicted_value") - middle) < 1e-9).alias("is_median"),
+        (shift.isNotNull() & (F.abs(shift) < F.lit(1e6))).alias("judged"),
+    )

@@ -93,8 +93,13 @@ def _alias_names(header: Sequence[str]) -> dict[str, str] | None:
     return None if None in found.values() else found
 
 
-def _union_matching(spark: SparkSession, folder: str, resolve) -> tuple[DataFrame, list[str]]:
-    """Rows (source, text cells) of all readable sources, and the skipped sources."""
+def _union_matching(
+    spark: SparkSession, folder: str, resolve, extra: Sequence[str] = ()
+) -> tuple[DataFrame, list[str]]:
+    """Rows (source, text cells) of all readable sources, and the skipped sources.
+
+    Of ``extra`` columns the first of that name in any case is taken, null where absent.
+    """
     frames, skipped = [], []
     for header, sources in _headers(spark, folder).items():
         names = resolve(header)
@@ -102,14 +107,16 @@ def _union_matching(spark: SparkSession, folder: str, resolve) -> tuple[DataFram
             skipped += sources
             continue
         raw = _read_text(spark, folder, header, sources)
+        also = {c: next((h for h in header if h.lower() == c.lower()), None) for c in extra}
         frames.append(
             raw.select(
                 _source_of(F.col("_metadata.file_path")).alias("source"),
                 *[F.col(f"`{names[c]}`").alias(c) for c in _MEASUREMENT],
+                *[(F.col(f"`{h}`") if h else F.lit(None).cast("string")).alias(c) for c, h in also.items()],
             )
         )
     if not frames:
-        empty = "source string, longitude string, latitude string, rssi string"
+        empty = ", ".join(f"`{c}` string" for c in ("source", *_MEASUREMENT, *extra))
         return spark.createDataFrame([], empty), skipped
     return reduce(DataFrame.unionByName, frames), skipped
 
@@ -130,19 +137,21 @@ def _unreadable(c: str) -> Column:
 
 
 def read_measurements(
-    spark: SparkSession, folder: str, dedupe: bool = True, lone_source_quirk: bool = False
-) -> DataFrame:
+    spark: SparkSession, folder: str, dedupe: bool = True, lone_source_quirk: bool = False,
+    extra: Sequence[str] = (),
+) -> DataFrame:
     """Union of all CSVs with latitude, longitude and rssi columns in any case.
 
     A source with text in a needed cell is skipped as a whole; rows with a
     missing value and repeated rows are dropped. With ``lone_source_quirk`` a
-    single readable source keeps its repeats.
+    single readable source keeps its repeats. ``extra`` columns come along as text,
+    null where a source lacks them.
     """
-    rows, _ = _union_matching(spark, folder, _exact_names)
+    rows, _ = _union_matching(spark, folder, _exact_names, extra)
     bad_cell = _unreadable("longitude") | _unreadable("latitude") | _unreadable("rssi")
     broken = materialize(rows.where(bad_cell).select("source").distinct(), "broken-sources")
     kept = _numbers(rows.join(broken, "source", "left_anti")).na.drop(subset=list(_MEASUREMENT))
-    kept = kept.select("source", *_MEASUREMENT)
+    kept = kept.select("source", *_MEASUREMENT, *extra)
     if lone_source_quirk and kept.select("source").distinct().limit(2).count() < 2:
         dedupe = False
     out = kept.drop("source")
