@@ -6,9 +6,9 @@ directory as Spark writes it.
 
 from __future__ import annotations
 
-from collections import defaultdict
+import csv
+from collections import Counter, defaultdict
 from collections.abc import Sequence
-from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -40,28 +40,63 @@ def _source_of(path: Column) -> Column:
     return F.regexp_extract(path, r"([^/]+\.csv)(?:/[^/]*)?$", 1)
 
 
+def _file_source() -> Column:
+    """Source of the file a scanned row comes from; the path there is percent-encoded."""
+    # url_decode would also turn a plus sign into a blank.
+    path = F.url_decode(F.regexp_replace(F.col("_metadata.file_path"), r"\+", "%2B"))
+    return _source_of(path)
+
+
 def list_files(spark: SparkSession, folder: str, pattern: str = "*.csv") -> DataFrame:
-    """(source, path, modified) of every file below ``folder``; contents are not read."""
+    """(source, path, modified, size) of every file below ``folder`` that is not empty; contents are not read."""
     return (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", True)
         .option("pathGlobFilter", pattern)
         .load(folder)
-        .select(_source_of(F.col("path")).alias("source"), "path", F.col("modificationTime").alias("modified"))
+        .select(
+            _source_of(F.col("path")).alias("source"), "path", F.col("modificationTime").alias("modified"),
+            F.col("length").alias("size"),
+        )
+    )
+
+
+def _column_names(line: str) -> tuple[str, ...]:
+    """Names in a header line: a missing one counts its place, repeated ones get theirs appended.
+
+    A quote inside quotes is written with a backslash, as in the cells below.
+    """
+    cells = next(csv.reader([line], escapechar="\\", doublequote=False))
+    lower = Counter(c.lower() for c in cells)
+    return tuple(
+        f"_c{i}" if not c else f"{c}{i}" if lower[c.lower()] > 1 else c for i, c in enumerate(cells)
     )
 
 
 def _headers(spark: SparkSession, folder: str) -> dict[tuple[str, ...], list[str]]:
-    """Distinct headers and the sources that have them; reads one line per source."""
-    sources = [r["source"] for r in list_files(spark, folder).select("source").distinct().collect()]
-
-    def header(source: str) -> tuple[str, ...]:
-        return tuple(spark.read.option("header", True).csv(f"{folder}/{source}").columns)
+    """Distinct headers and the sources that have them, in a fixed number of Spark jobs.
 
+    Tasks take the first line that is not blank of each source's smallest file, so a source
+    in many parts is not read for it. A source without such a line has the empty header; one
+    of empty files only is not a source. The driver, whose file index names every source
+    anyway, gets one line per source.
+    """
+    files = list_files(spark, folder)
+    smallest = F.min(F.struct("size", "path"))["path"]
+    chosen = {r["source"]: r["path"] for r in files.groupBy("source").agg(smallest.alias("path")).collect()}
+    lines: dict[str, str] = {}
+    if chosen:
+        # Only a file's first block has its header, and in a task rows are numbered in file order.
+        first = (
+            spark.read.text(sorted(chosen.values()))
+            .where((F.col("_metadata.file_block_start") == 0) & (F.trim("value") != ""))
+            .select(_file_source().alias("source"), "value", F.monotonically_increasing_id().alias("_row"))
+            .groupBy("source").agg(F.min_by("value", "_row").alias("line"))
+        )
+        lines = {r["source"]: r["line"] for r in first.collect()}
     grouped: dict[tuple[str, ...], list[str]] = defaultdict(list)
-    with ThreadPoolExecutor(max_workers=16) as pool:
-        for source, columns in zip(sorted(sources), pool.map(header, sorted(sources)), strict=True):
-            grouped[columns].append(source)
+    for source in sorted(chosen):
+        grouped[_column_names(lines[source]) if source in lines else ()].append(source)
     return grouped
 
 
@@ -110,7 +145,7 @@ def _union_matching(
         also = {c: next((h for h in header if h.lower() == c.lower()), None) for c in extra}
         frames.append(
             raw.select(
-                _source_of(F.col("_metadata.file_path")).alias("source"),
+                _file_source().alias("source"),
                 *[F.col(f"`{names[c]}`").alias(c) for c in _MEASUREMENT],
                 *[(F.col(f"`{h}`") if h else F.lit(None).cast("string")).alias(c) for c, h in also.items()],
             )
