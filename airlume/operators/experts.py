@@ -175,27 +175,48 @@ def forest_parameters(n: int) -> dict[str, int]:
     return {"numTrees": 100, "maxDepth": 30, "minInstancesPerNode": 1}
 
 
+# Size of a judge's forest where the caller chooses none.
+FOREST = {"numTrees": 100, "maxDepth": 30, "minInstancesPerNode": 1}
 # Labelled rows a judge is fitted on, at most: its trees live on the driver and have
 # up to a leaf per row.
 JUDGE_ROWS = 100_000
 
 
+def _smallest_hashes(df: DataFrame, key: str, n: int) -> DataFrame:
+    """The ``n`` rows with the smallest hash of their unique ``key``; whole rows stay where they are."""
+    place = F.struct(F.xxhash64(key).alias("h"), F.col(key).alias("k"))
+    total = df.count()
+    if total <= n:
+        return df
+    keys, share = df.select(place.alias("_place")), 2.0 * n / total
+
+    def below(share: float) -> DataFrame:
+        return keys if share >= 1 else keys.where(F.col("_place.h") < F.lit(-(2**63) + int(share * 2**64)))
+
+    near = below(share)
+    while near.count() < n:
+        share *= 2
+        near = below(share)
+    cut = near.orderBy("_place").limit(n).agg(F.max("_place").alias("m")).first()["m"]
+    last = F.struct(F.lit(cut["h"]).alias("h"), F.lit(cut["k"]).alias("k"))
+    return df.where(place <= last)
+
+
 def fit_judge(
     train: DataFrame, truth: str, key: str = "sample_id", parameters: dict[str, int] | None = None,
     max_rows: int = JUDGE_ROWS,
 ) -> RandomForestRegressionModel:
     """Forest of truth minus median by environment.
 
-    ``train`` has ``x``, the truth and ``median_prediction`` (out-of-fold). The fit
-    takes the ``max_rows`` rows with the smallest hash of ``key``; ``parameters``
-    are by default ``forest_parameters`` of their number.
+    ``train`` has ``x``, the truth, ``median_prediction`` (out-of-fold) and a unique ``key``.
+    The fit takes the ``max_rows`` rows with the smallest hash of it. ``parameters`` size the
+    forest, ``FOREST`` by default at any number of rows; ``forest_parameters`` suggests some.
     """
-    chosen = train.orderBy(F.xxhash64(key), key).limit(max_rows)
+    chosen = _smallest_hashes(train, key, max_rows)
     rows = materialize(
         chosen.select("x", (F.col(truth) - F.col("median_prediction")).alias("_residual")), "residuals"
     )
-    parameters = parameters or forest_parameters(rows.count())
-    return RandomForestRegressor(featuresCol="x", labelCol="_residual", seed=42, **parameters).fit(rows)
+    return RandomForestRegressor(featuresCol="x", labelCol="_residual", seed=42, **(parameters or FOREST)).fit(rows)
 
 
 def apply_judge(judge: RandomForestRegressionModel, test: DataFrame) -> DataFrame:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from airlume.functions import geometry as geo
 from airlume.operators import ensemble, experts, linear, splits
-from airlume.plans import jobs
+from airlume.operators.skew import salted_join
+from airlume.plans import jobs, parts
 from airlume.plans.geometry_queries import r, surface_features
 from airlume.plans.ingest_queries import benches, predictions
 from airlume.plans.registry import PARTS, query, rd
@@ -259,7 +262,10 @@ def _job_evaluate(spark: SparkSession, sf: str) -> DataFrame:
     return cdf.select("model", r("error", 6).alias("error"), r("cdf", 9).alias("cdf"))
 
 
-# ---- nonlinear experts (rows only) --------------------------------------------------------
+# ---- nonlinear experts: ids, and facts that hold for any fit ------------------------------
+#
+# SQL cannot say what a boosted tree predicts. These queries run the whole fit and show what it
+# must give whatever the trees are: the rows, and whether the predictions keep to a known rule.
 
 
 def model_rows(spark: SparkSession, sf: str) -> DataFrame:
@@ -272,18 +278,35 @@ def model_rows(spark: SparkSession, sf: str) -> DataFrame:
 _MODELS = [f"model_{i}" for i in range(K)]
 
 
+def _middle() -> Column:
+    """Median of the experts, by sorting."""
+    return F.sort_array(F.array(*_MODELS))[K // 2]
+
+
 def _members(rows: DataFrame, k: int = K) -> DataFrame:
     return splits.expert_splits(rows.select("sample_id"), "sample_id", k, SEED)
 
 
-def _shown(df: DataFrame) -> DataFrame:
-    return df.select("sample_id", "site_id", *[c for c in df.columns if c.startswith("model_")])
+def _error(df: DataFrame, truth: str = "target_db", guess: Column | None = None) -> float:
+    """Mean absolute error of the experts' median, or of another guess."""
+    return df.agg(F.avg(F.abs((_middle() if guess is None else guess) - F.col(truth)))).first()[0]
+
+
+def _mean_error(rows: DataFrame) -> float:
+    """Mean absolute error of guessing the mean target everywhere."""
+    return _error(rows, guess=F.lit(rows.agg(F.avg("target_db")).first()[0]))
 
 
-@query("train_experts")
+def _close(a: Column, b: Column, by: float = 1e-9) -> Column:
+    return F.abs(a - b) < by
+
+
+@query("train_experts", "select sample_id, site_id, true learned from {links}")
 def _train_experts(spark: SparkSession, sf: str) -> DataFrame:
+    """learned: over all rows the experts err less than the mean target does."""
     rows = model_rows(spark, sf)
-    return _shown(experts.predict_experts(experts.train_experts(rows, _members(rows), K), rows))
+    out = materialize(experts.predict_experts(experts.train_experts(rows, _members(rows), K), rows), "predicted")
+    return out.select("sample_id", "site_id", F.lit(_error(out) < _mean_error(rows)).alias("learned"))
 
 
 def _old_and_new(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -291,71 +314,156 @@ def _old_and_new(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows.where("site_id < 13"), rows.where("site_id >= 13")
 
 
-@query("fine_tune_experts")
+@query("fine_tune_experts", "select sample_id, site_id, true improved, true base_kept from {links}")
 def _fine_tune_experts(spark: SparkSession, sf: str) -> DataFrame:
+    """improved: tuned experts err less on the new sites than their base; base_kept: it predicts as before."""
     rows = model_rows(spark, sf)
     old, new = _old_and_new(rows)
     base = experts.train_experts(old, _members(old), K)
-    return _shown(experts.predict_experts(experts.fine_tune_experts(base, new, _members(new)), rows))
+    before = materialize(experts.predict_experts(base, rows), "base")
+    out = materialize(experts.predict_experts(experts.fine_tune_experts(base, new, _members(new)), rows), "tuned")
+    again = experts.predict_experts(base, rows).select("sample_id", _middle().alias("_again"))
+    kept = before.select("sample_id", _middle().alias("_first")).join(again, "sample_id")
+    same = kept.where(~F.col("_first").eqNullSafe(F.col("_again"))).isEmpty()
+    better = _error(out.where("site_id >= 13")) < _error(before.where("site_id >= 13"))
+    return out.select("sample_id", "site_id", F.lit(better).alias("improved"), F.lit(same).alias("base_kept"))
 
 
-@query("incremental_experts")
+@query("incremental_experts", "select sample_id, site_id, true learned from {links}")
 def _incremental_experts(spark: SparkSession, sf: str) -> DataFrame:
+    """learned: over old and new rows the experts err less than the mean target does."""
     rows = model_rows(spark, sf)
     old, new = _old_and_new(rows)
-    return _shown(experts.predict_experts(experts.incremental_experts(old, new, _members(rows), K), rows))
+    fits = experts.incremental_experts(old, new, _members(rows), K)
+    out = materialize(experts.predict_experts(fits, rows), "predicted")
+    return out.select("sample_id", "site_id", F.lit(_error(out) < _mean_error(rows)).alias("learned"))
+
 
+def _deviation() -> Column:
+    mean = sum((F.col(m) for m in _MODELS), F.lit(0.0)) / K
+    return F.sqrt(sum((F.pow(F.col(m) - mean, 2) for m in _MODELS), F.lit(0.0)) / K)
 
-@query("predict_ensemble")
+
+@query("predict_ensemble", f"""
+    select sample_id, {rd(parts.loss(2))} path_loss_eta_2, {rd(parts.loss(3))} path_loss_eta_3, true is_median,
+           true is_spread
+    from {{links}}""")
 def _predict_ensemble(spark: SparkSession, sf: str) -> DataFrame:
+    """is_median, is_spread: value and uncertainty are the experts' median and deviation."""
     rows = surface_features(spark, sf).withColumn("target_db", F.col("rssi") + 90)
     rows = materialize(rows, "surface")
     ready = experts.with_model_input(rows)
     fits = experts.train_experts(ready, _members(ready), K)
-    out = jobs.predict(fits, rows)
-    return out.select("sample_id", *_MODELS, "predicted_value", "uncertainty", "path_loss_eta_2", "path_loss_eta_3")
+    return jobs.predict(fits, rows).select(
+        "sample_id", r("path_loss_eta_2").alias("path_loss_eta_2"), r("path_loss_eta_3").alias("path_loss_eta_3"),
+        _close(F.col("predicted_value"), _middle()).alias("is_median"),
+        _close(F.col("uncertainty"), _deviation(), 1e-6).alias("is_spread"),
+    )
 
 
-@query("write_ensemble")
+def _same_models(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    """(key, same): whether both predict exactly the same for a row."""
+    renamed = b.select(key, *[F.col(m).alias(f"_{m}") for m in _MODELS])
+    same = reduce(Column.__and__, [F.col(m).eqNullSafe(F.col(f"_{m}")) for m in _MODELS])
+    return a.join(renamed, key).select(key, (same & _middle().isNotNull()).alias("same"))
+
+
+@query("write_ensemble", "select sample_id, true same from {links}")
 def _write_ensemble(spark: SparkSession, sf: str) -> DataFrame:
+    """same: experts read back predict exactly what the fitted ones do."""
     rows, folder = model_rows(spark, sf), new_folder(spark, "ensemble")
     fits = experts.train_experts(rows, _members(rows), K)
     files.write_ensemble(fits, folder, spark, n_experts=K, channels="height,slope,landuse,freq,step")
-    return _shown(experts.predict_experts(files.read_ensemble(spark, folder), rows))
+    stored = files.read_ensemble(spark, folder)
+    return _same_models(
+        experts.predict_experts(fits, rows), experts.predict_experts(stored, rows), "sample_id"
+    )
 
 
-@query("judge_residual_forest")
+@query("judge_residual_forest", f"""
+    select sample_id, true in_range
+    from (select sample_id, row_number() over (order by md5('{SEED}-' || sample_id), sample_id) position from {{links}}) q
+    where position % {K} = 0""")
 def _judge_residual_forest(spark: SparkSession, sf: str) -> DataFrame:
+    """The judge on a fold it was not fitted on.
+
+    in_range: a forest averages what it saw, so its shift lies between the least and
+    the greatest residual of the other folds.
+    """
     rows = splits.fold_of(model_rows(spark, sf), "sample_id", K, SEED)
     oof = experts.kfold_oof(materialize(rows, "folds"), _members(rows), K)
-    models = [f"model_{i}" for i in range(K)]
-    judged = ensemble.ensemble_stats(materialize(oof, "oof"), models)
-    train = judged.withColumn("median_prediction", F.col("predicted_value"))
-    out = experts.judge_residual_forest(train, judged, "target_db")
-    return out.select("sample_id", "predicted_value", "predicted_value_judge")
+    judged = materialize(
+        ensemble.ensemble_stats(oof, _MODELS).withColumn("median_prediction", F.col("predicted_value")), "oof"
+    )
+    train, held_out = judged.where("fold <> 0"), judged.where("fold = 0")
+    residual = F.col("target_db") - F.col("median_prediction")
+    low, high = train.agg(F.min(residual), F.max(residual)).first()
+    shift = F.col("predicted_value_judge") - F.col("predicted_value")
+    out = experts.judge_residual_forest(train, held_out, "target_db")
+    return out.select("sample_id", shift.between(low - 1e-9, high + 1e-9).alias("in_range"))
+
+
+CLUSTERS, BAD_ERROR = 3, 4.79
+PARTS["bad_points"] = f"""
+    select *, 2 * atan2(sqrt(a), sqrt(1 - a)) * 6371.0088e0 * 1000 calc_dist
+    from (select *, power(sin(radians(33e0 - latitude) / 2), 2)
+             + cos(radians(latitude)) * cos(radians(33e0)) * power(sin(radians(133e0 - longitude) / 2), 2) a
+          from {{stats}} where abs_error > {BAD_ERROR}e0) q"""
 
 
 def _clustered(spark: SparkSession, sf: str) -> DataFrame:
     d = geo.haversine(F.col("longitude"), F.col("latitude"), F.lit(133.0), F.lit(33.0))
-    return experts.cluster_bad_points(predictions(spark, sf).withColumn("calc_dist", d), 3, 4.79)
+    return experts.cluster_bad_points(predictions(spark, sf).withColumn("calc_dist", d), CLUSTERS, BAD_ERROR)
 
 
-@query("cluster_bad_points")
+@query("cluster_bad_points", f"""
+    select sample_id, {rd('calc_dist')} calc_dist, {rd('dn')} dn, {rd('abs_error')} abs_error, true in_range
+    from {{bad_points}}""")
 def _cluster_bad_points(spark: SparkSession, sf: str) -> DataFrame:
-    return _clustered(spark, sf).select("sample_id", "calc_dist", "dn", "abs_error", "cluster")
+    """in_range: every bad point is in one of the clusters."""
+    return _clustered(spark, sf).select(
+        "sample_id", *[r(c).alias(c) for c in ("calc_dist", "dn", "abs_error")],
+        F.col("cluster").between(0, CLUSTERS - 1).alias("in_range"),
+    )
 
 
-@query("cluster_summary")
+@query("cluster_summary", f"""
+    select cast({CLUSTERS} as bigint) clusters, count(*) n, {rd('max(abs_error)', 6)} max_error, {rd('avg(calc_dist)', 3)} distance,
+           {rd('avg(dn)')} dn
+    from {{bad_points}}""")
 def _cluster_summary(spark: SparkSession, sf: str) -> DataFrame:
-    return experts.cluster_summary(_clustered(spark, sf))
+    """What the rows of the summary add up to, whichever points are in which cluster."""
+    def overall(c: str) -> Column:
+        return F.sum(F.col("n") * F.col(c)) / F.sum("n")
+
+    return experts.cluster_summary(_clustered(spark, sf)).agg(
+        F.count(F.lit(1)).alias("clusters"), F.sum("n").alias("n"), r(F.max("max_error"), 6).alias("max_error"),
+        r(overall("center_distance"), 3).alias("distance"), r(overall("center_dn")).alias("dn"),
+    )
 
 
-@query("cluster_hulls")
+@query("cluster_hulls", "select sample_id, true inside, true corners_are_points from {bad_points}")
 def _cluster_hulls(spark: SparkSession, sf: str) -> DataFrame:
-    return experts.cluster_hulls(_clustered(spark, sf))
+    """inside: the hull of a point's cluster holds it; corners_are_points: hulls have no other corners."""
+    points = materialize(_clustered(spark, sf), "clustered")
+    hulls = materialize(experts.cluster_hulls(points), "hulls")
+    foreign = hulls.join(points.select("cluster", F.col("calc_dist").alias("px"), F.col("dn").alias("py")),
+                         ["cluster", "px", "py"], "left_anti")
+    rings = hulls.groupBy("cluster").agg(F.array_sort(F.collect_list(F.struct("vertex", "px", "py"))).alias("_ring"))
+
+    def left_of(a: Column, i: Column) -> Column:
+        b = F.get("_ring", (i + 1) % F.size("_ring"))
+        dx, dy = b["px"] - a["px"], b["py"] - a["py"]
+        side = dx * (F.col("dn") - a["py"]) - dy * (F.col("calc_dist") - a["px"])
+        return side >= -1e-9 * (F.abs(dx) + F.abs(dy)) * (1 + F.abs("calc_dist") + F.abs("dn"))
+
+    misses = F.exists(F.transform("_ring", lambda a, i: left_of(a, i)), lambda ok: ~ok)
+    return salted_join(points, materialize(rings, "rings"), ["cluster"]).select(
+        "sample_id", (~misses).alias("inside"), F.lit(foreign.isEmpty()).alias("corners_are_points")
+    )
 
 
-# ---- jobs on the real map features (rows only) --------------------------------------------
+# ---- jobs on the real map features --------------------------------------------------------
 
 
 def _maps(spark: SparkSession, sf: str) -> jobs.Maps:
@@ -373,43 +481,77 @@ def _all_features(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(folder).drop("dataset_id")
 
 
-def _job_rows(trained: jobs.Trained) -> DataFrame:
-    """Held-out predictions of both kinds of experts."""
-    loss = jobs._path_loss(trained.test)
-    models = [f"model_{i}" for i in range(len(trained.experts))]
-    boosted = experts.predict_experts(trained.experts, trained.test, loss)
-    line = linear.experts_wide(trained.linear, len(models), ["row_id"]).select(
-        "row_id", *[F.col(m).alias(f"linear_{m}") for m in models]
+def _held_out_sql(rows: str, share: str, *facts: str) -> str:
+    """Both twins of the first ``share`` of the permuted samples of ``rows`` (sample_id, rssi)."""
+    return f"""
+    select sample_id || '-' || flipped row_id, sample_id, {rd('rssi', 6)} rssi, {', '.join(f'true {f}' for f in facts)}
+    from (select sample_id, rssi, count(*) over () n,
+                 row_number() over (order by md5('{SEED}-' || sample_id), sample_id) position from {rows}) q,
+         (select unnest(['false', 'true']) flipped) t
+    where position <= floor(n * {share})"""
+
+
+def _held_out(trained: jobs.Trained) -> DataFrame:
+    """Held-out predictions of the boosted experts."""
+    return materialize(
+        experts.predict_experts(trained.experts, trained.test, jobs._path_loss(trained.test)), "held-out"
     )
-    return boosted.join(line, "row_id").select("row_id", "sample_id", "rssi", *models, *[f"linear_{m}" for m in models])
 
 
-@query("job_train")
+def _job_rows(trained: jobs.Trained, **facts: Column | bool) -> DataFrame:
+    """Held-out rows and facts.
+
+    linear_rows: every row has one finite linear prediction of each expert;
+    beats_free_space: the experts' median errs less than free-space loss does.
+    """
+    out = _held_out(trained)
+    line = trained.linear.groupBy("row_id").agg(
+        (F.count_if(F.col("pred").isNotNull() & ~F.isnan("pred")) == len(trained.experts)).alias("linear_rows")
+    )
+    free = _error(out, "rssi", jobs._path_loss(out))
+    beats = F.lit(out.isEmpty() or _error(out, "rssi") < free)
+    return out.join(line, "row_id", "left").select(
+        "row_id", "sample_id", r("rssi", 6).alias("rssi"), F.coalesce("linear_rows", F.lit(False)).alias("linear_rows"),
+        beats.alias("beats_free_space"),
+    )
+
+
+_JOB_FACTS = ("linear_rows", "beats_free_space")
+
+
+@query("job_train", _held_out_sql("{measurements}", "0.15e0", *_JOB_FACTS, "same"))
 def _job_train(spark: SparkSession, sf: str) -> DataFrame:
+    """same: the stored bundle predicts exactly what the fitted experts do."""
     trained = jobs.train(_all_features(spark, sf), K)
     folder = new_folder(spark, "ensemble")
     files.write_ensemble(
         trained.experts, folder, spark, linear=trained.linear, held_out=trained.test, n_experts=K
     )
     stored = files.read_bundle(spark, folder)
-    return _job_rows(jobs.Trained(stored["experts"], stored["held_out"], stored["linear"]))
+    back = jobs.Trained(stored["experts"], stored["held_out"], stored["linear"])
+    return _job_rows(back).join(_same_models(_held_out(trained), _held_out(back), "row_id"), "row_id")
 
 
-@query("job_transfer")
+_NEW_SITES = "(select * from {measurements} where site_id >= 13) m"
+
+
+@query("job_transfer", _held_out_sql(_NEW_SITES, "0.1e0", *_JOB_FACTS))
 def _job_transfer(spark: SparkSession, sf: str) -> DataFrame:
     old, new = _old_and_new(_all_features(spark, sf))
     base = jobs.train(old, K)
     return _job_rows(jobs.transfer(base.experts, new, 0.1))
 
 
-@query("job_transfer_incremental")
+@query("job_transfer_incremental", _held_out_sql(_NEW_SITES, "0.1e0", *_JOB_FACTS))
 def _job_transfer_incremental(spark: SparkSession, sf: str) -> DataFrame:
     old, new = _old_and_new(_all_features(spark, sf))
     base = jobs.train(old, K)
     return _job_rows(jobs.transfer(base.experts, new, 0.1, incremental_from=old))
 
 
-@query("job_nearfield_finetune")
+@query("job_nearfield_finetune", _held_out_sql("""
+    (select bench_id || '-' || i sample_id, first_rssi - i * 0.5e0 rssi
+     from {nearfield}, range(0, 5) t(i) where i < n_readings) m""", "0.1e0", *_JOB_FACTS))
 def _job_nearfield_finetune(spark: SparkSession, sf: str) -> DataFrame:
     maps = _maps(spark, sf)
     base = jobs.train(maps.features(table(spark, sf, "measurements")), K)
@@ -425,16 +567,30 @@ def _site_areas(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@query("job_predict_area")
+PARTS["site_areas"] = """
+    select site_id, min(longitude) lon_min, max(longitude) lon_max, min(latitude) lat_min, max(latitude) lat_max,
+           case when min(longitude) = max(longitude) and min(latitude) = max(latitude) then 1
+                else 1 + cast(ceil(sqrt(count(*)) / 2) as bigint) end side
+    from {measurements} group by site_id"""
+
+
+@query("job_predict_area", f"""
+    select site_id || '-' || (i * side + j) sample_id,
+           {rd('lon_min + j * case when side > 1 then (lon_max - lon_min) / (side - 1) else 0e0 end', 6)} longitude,
+           {rd('lat_min + i * case when side > 1 then (lat_max - lat_min) / (side - 1) else 0e0 end', 6)} latitude,
+           true is_median, true is_spread
+    from {{site_areas}}, lateral (select unnest(range(0, side)) j) a, lateral (select unnest(range(0, side)) i) b""")
 def _job_predict_area(spark: SparkSession, sf: str) -> DataFrame:
+    """is_median, is_spread: value and uncertainty of every mesh point are the experts' median and deviation."""
     maps = _maps(spark, sf)
     trained = jobs.train(maps.features(table(spark, sf, "measurements")), K)
     out = jobs.predict_area(
         materialize(_site_areas(spark, sf), "areas"), trained.experts, maps, new_folder(spark, "area"), "20240101_000000"
     )
     return out.select(
-        "sample_id", "longitude", "latitude", "distance_m", *_MODELS, "predicted_value", "uncertainty",
-        "path_loss_eta_2", "path_loss_eta_3",
+        "sample_id", r("longitude", 6).alias("longitude"), r("latitude", 6).alias("latitude"),
+        _close(F.col("predicted_value"), _middle()).alias("is_median"),
+        _close(F.col("uncertainty"), _deviation(), 1e-6).alias("is_spread"),
     )
 
 
