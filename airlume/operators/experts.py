@@ -71,11 +71,14 @@ class Expert:
         return df.withColumn(name, total).drop(*[f"_p{i}" for i in range(len(self.stages))])
 
 
-def _booster(label: str, max_iter: int, step: float, depth: int, weight: str | None = None) -> GBTRegressor:
+def _booster(
+    label: str, max_iter: int, step: float, depth: int, validated: bool, weight: str | None = None
+) -> GBTRegressor:
     booster = GBTRegressor(
-        featuresCol="x", labelCol=label, maxIter=max_iter, stepSize=step, maxDepth=depth,
-        validationIndicatorCol="is_val", seed=42,
+        featuresCol="x", labelCol=label, maxIter=max_iter, stepSize=step, maxDepth=depth, seed=42,
     )
+    if validated:
+        booster = booster.setValidationIndicatorCol("is_val")
     return booster.setWeightCol(weight) if weight else booster
 
 
@@ -85,10 +88,15 @@ def train_experts(
 ) -> list[Expert]:
     """One boosted model per expert on its own split, stopped by its validation rows.
 
-    The loop runs over at most 30 experts; every fit is a distributed job.
+    The loop runs over at most 30 experts; every fit is a distributed job. An expert
+    whose split is too small for a validation row runs all its steps.
     """
     rows = _with_flags(train, splits, key)
-    return [Expert([_booster("target_db", max_iter, step, depth).fit(_of_expert(rows, e))]) for e in range(k)]
+    _, validated = _split_kinds(rows)
+    return [
+        Expert([_booster("target_db", max_iter, step, depth, e in validated).fit(_of_expert(rows, e))])
+        for e in range(k)
+    ]
 
 
 def _with_flags(rows: DataFrame, splits: DataFrame, key: str) -> DataFrame:
@@ -102,6 +110,12 @@ def _with_flags(rows: DataFrame, splits: DataFrame, key: str) -> DataFrame:
     return materialize(rows.join(flags, key), "expert-rows")
 
 
+def _split_kinds(rows: DataFrame) -> tuple[set[int], set[int]]:
+    """Experts that have training rows, and those that have validation rows."""
+    kinds = rows.select(F.explode("_flags").alias("e", "is_val")).distinct().collect()
+    return {r["e"] for r in kinds if not r["is_val"]}, {r["e"] for r in kinds if r["is_val"]}
+
+
 def _of_expert(rows: DataFrame, e: int) -> DataFrame:
     """Rows in the split of expert ``e``."""
     marked = rows.withColumn("is_val", F.try_element_at("_flags", F.lit(e)))
@@ -112,12 +126,20 @@ def fine_tune_experts(
     experts: Sequence[Expert], new: DataFrame, splits: DataFrame, max_iter: int = 10, step: float = 0.05,
     depth: int = 2, key: str = "sample_id",
 ) -> list[Expert]:
-    """Transfer: the base stays frozen, a small model learns its error on the new site."""
+    """Transfer: the base stays frozen, a small model learns its error on the new site.
+
+    Without a new training row an expert stays what it is; without a validation row its
+    small model runs all its steps.
+    """
     rows = _with_flags(new, splits, key)
+    trained, validated = _split_kinds(rows)
     tuned = []
     for e, expert in enumerate(experts):
+        if e not in trained:
+            tuned.append(expert)
+            continue
         missed = expert.predict(_of_expert(rows, e), "_base").withColumn("_missed", F.col("target_db") - F.col("_base"))
-        tuned.append(Expert([*expert.stages, _booster("_missed", max_iter, step, depth).fit(missed)]))
+        tuned.append(Expert([*expert.stages, _booster("_missed", max_iter, step, depth, e in validated).fit(missed)]))
     return tuned
 
 
@@ -128,8 +150,10 @@ def incremental_experts(
     """Refit everything on old and new rows together, new rows weighing more."""
     both = old.withColumn("_w", F.lit(1.0)).unionByName(new.withColumn("_w", F.lit(new_weight)))
     rows = _with_flags(both, splits, key)
+    _, validated = _split_kinds(rows)
     return [
-        Expert([_booster("target_db", max_iter, step, depth, "_w").fit(_of_expert(rows, e))]) for e in range(k)
+        Expert([_booster("target_db", max_iter, step, depth, e in validated, "_w").fit(_of_expert(rows, e))])
+        for e in range(k)
     ]
 
 

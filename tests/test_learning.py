@@ -59,6 +59,29 @@ def test_bundle_comes_back_whole(spark, rows, fits, tmp_path):
     assert shown(stored["judge"]) == shown(judge)
 
 
+def test_few_new_rows_still_tune(rows, fits):
+    few = rows.where("sample_id < 4").withColumn("target_db", F.lit(50.0))
+    members = splits.expert_splits(few.select("sample_id"), "sample_id", K, 42)
+    assert members.where("is_val").isEmpty()
+    before, after = _predicted(fits, few), _predicted(experts.fine_tune_experts(fits, few, members, **FIT), few)
+    assert all(abs(50 - b) < abs(50 - a) for pair in zip(before, after, strict=True) for a, b in zip(*pair, strict=True))
+    assert len(experts.train_experts(few, members, K, **FIT)) == K
+    weighed = experts.incremental_experts(few, few.withColumn("sample_id", F.col("sample_id") + 100), members, K, **FIT)
+    assert len(weighed) == K
+
+
+def test_no_new_rows_leave_the_base(rows, members, fits):
+    none = rows.where("sample_id < 0")
+    assert _predicted(experts.fine_tune_experts(fits, none, members, **FIT), rows) == _predicted(fits, rows)
+
+
+def test_smallest_hashes_are_exact(spark):
+    df = spark.range(5000).withColumnRenamed("id", "sample_id")
+    for n in (1, 7, 2600, 4999, 5000, 9000):
+        want = {r[0] for r in df.orderBy(F.xxhash64("sample_id"), "sample_id").limit(n).collect()}
+        assert {r[0] for r in experts._smallest_hashes(df, "sample_id", n).collect()} == want
+
+
 def test_judge_takes_a_bounded_number_of_rows(rows):
     train = rows.withColumn("median_prediction", F.lit(0.0))
     small = experts.fit_judge(train, "target_db", parameters={"numTrees": 1, "maxDepth": 2, "subsamplingRate": 1.0}, max_rows=1)
