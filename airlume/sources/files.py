@@ -277,7 +277,7 @@ def write_ensemble(
     A fitted judge, the linear experts' results and the held-out rows go along.
     """
     if judge is not None:
-        judge.write().overwrite().save(f"{folder}/judge")
+        judge.save(f"{folder}/judge")
     for name, rows in (("linear", linear), ("held_out", held_out)):
         if rows is not None:
             rows.write.mode("overwrite").parquet(f"{folder}/{name}")
@@ -295,14 +295,14 @@ def write_ensemble(
 
 def read_bundle(spark: SparkSession, folder: str) -> dict:
     """All that ``write_ensemble`` stored: experts, facts, judge, linear and held_out (None if absent)."""
-    from pyspark.ml.regression import RandomForestRegressionModel
+    from airlume.operators.forest import Forest
 
     facts = spark.read.parquet(f"{folder}/metadata").select("facts").first()["facts"]
     parts = facts.get("parts", "").split(",")
     read = lambda n: spark.read.parquet(f"{folder}/{n}") if n in parts else None
     return {
         "experts": read_ensemble(spark, folder), "facts": facts,
-        "judge": RandomForestRegressionModel.load(f"{folder}/judge") if "judge" in parts else None,
+        "judge": Forest.load(spark, f"{folder}/judge") if "judge" in parts else None,
         "linear": read("linear"), "held_out": read("held_out"),
     }
 
